@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import decontaminate, kneser_ney, mixing, paragraphs, simhash
+from quillon.llm import attention_lm, decontaminate, kneser_ney, language_id, mixing, paragraphs, simhash, suffix_index
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_index.long_matches(_table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return kneser_ney.train(docs, _table(spark, sf_dir, "labels")).scored(docs)
@@ -26,6 +30,10 @@ def op6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.repeats(_table(spark, sf_dir, "documents"))
 
 
+def op7_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.scores(_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -34,8 +42,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op5_quality, op6_paragraphs, op8_simhash, op9_decontamination)}
+    return {f.__name__: f for f in (op2_mixing, op4_suffix_index, op5_quality, op6_paragraphs, op7_attention_lm, op8_simhash, op9_decontamination, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
