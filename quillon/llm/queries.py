@@ -6,17 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import attention_lm, decontaminate, kneser_ney, language_id, mixing, paragraphs, simhash, suffix_index
+from quillon.llm import attention_lm, decontaminate, html_density, kneser_ney, language_id, mixing, paragraphs, simhash, suffix_index, webp
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding as a lossless WebP image, decoded to its pixel array."""
+    return webp.decode_images(webp.gray_images(_table(spark, sf_dir, "embeddings"))).select("vec_id", "width", "height", "pixels", "error")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op3_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_density.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op4_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_index.long_matches(_table(spark, sf_dir, "documents"))
 
@@ -47,8 +56,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op4_suffix_index, op5_quality, op6_paragraphs, op7_attention_lm, op8_simhash, op9_decontamination, op10_language_id)}
+    return {f.__name__: f for f in (op1_webp, op2_mixing, op3_html_density, op4_suffix_index, op5_quality, op6_paragraphs, op7_attention_lm, op8_simhash, op9_decontamination, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.mix_sql()}
+    return {"op1_webp": webp.gray_sql(), "op2_mixing": mixing.mix_sql()}

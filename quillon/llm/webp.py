@@ -627,3 +627,18 @@ def gray_images(vectors: DataFrame, across: int = 8) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(images, pa.binary())], names=["vec_id", "image"])
 
     return vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id long, image binary")
+
+
+def gray_sql(vectors: str = "embeddings", across: int = 8) -> str:
+    """DuckDB SQL for what decoding :func:`gray_images` gives: the gray levels as signed ARGB pixels."""
+    level = "CASE WHEN v IS NULL OR isnan(v) THEN 0 ELSE floor(least(greatest((v::DOUBLE + 1) * 127.5, 0), 255))::BIGINT END"
+    return f"""
+WITH filled AS (
+  SELECT vec_id, CASE WHEN len(embedding) > 0 THEN embedding END AS e, (-len(embedding) % {across} + {across}) % {across} AS missing
+  FROM {vectors}),
+images AS (
+  SELECT vec_id, list_concat(list_transform(e, lambda v: ({level} * 65793 - 16777216)::INTEGER), list_transform(range(missing), lambda i: (-16777216)::INTEGER)) AS pixels, e IS NULL AS none
+  FROM filled)
+SELECT vec_id, CASE WHEN NOT none THEN {across} END AS width, CASE WHEN NOT none THEN (len(pixels) // {across})::INTEGER END AS height,
+       CASE WHEN NOT none THEN pixels END AS pixels, NULL::VARCHAR AS error
+FROM images"""
