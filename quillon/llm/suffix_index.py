@@ -102,8 +102,8 @@ def suffix_table(docs: DataFrame) -> DataFrame:
 
 
 def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The number of leading bytes that rows of a and b share."""
-    differ = a != b
+    """The number of leading bytes that rows of a and b share; what lies beyond a document is shared with nothing."""
+    differ = (a != b) | (a == 0)
     return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
 
 
