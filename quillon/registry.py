@@ -42,9 +42,29 @@ def shipped(query: Query) -> Query:
     return run
 
 
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name, with the DuckDB SQL that gives the same rows, if there is any."""
+
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
 def queries() -> dict[str, Query]:
-    return {}
+    from quillon import plans  # noqa: F401
+
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from quillon import plans  # noqa: F401
+
+    return dict(_sql)
