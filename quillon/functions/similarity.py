@@ -46,24 +46,23 @@ def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ratio_at_least(x, y) for x, y in zip(a, b)], dtype="Float64")
 
 
-def lz_set(data: bytes) -> set[bytes]:
-    """The phrases of a Lempel-Ziv walk: each grows until it is new."""
-    out: set[bytes] = set()
-    start = 0
-    for end in range(1, len(data) + 1):
-        piece = data[start:end]
-        if piece not in out:
-            out.add(piece)
-            start = end
+def lz_set(data: bytes) -> set[int]:
+    """Hashes of the phrases of a Lempel-Ziv walk: each grows until it is new."""
+    out: set[int] = set()
+    h = 0
+    for x in data:
+        h = (h * 0x100000001B3 + x + 1) & 0x7FFFFFFFFFFFFFFF
+        if h not in out:
+            out.add(h)
+            h = 0
     return out
 
 
 @pandas_udf(T.ArrayType(T.LongType()))
 def lz_hashes(text: pd.Series) -> pd.Series:
-    """The phrases' hashes, sorted and distinct."""
-    import xxhash
-
-    return pd.Series([None if t is None else np.unique(np.array([xxhash.xxh64_intdigest(p) for p in lz_set(t.encode() if isinstance(t, str) else bytes(t))], np.uint64).view(np.int64)) for t in text])
+    """The phrases' hashes, distinct and in an order that mixes them: the first are a sketch of the set."""
+    mixed = lambda x: np.array(sorted(x, key=lambda v: (v * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF), np.int64)
+    return pd.Series([None if t is None else mixed(lz_set(t.encode() if isinstance(t, str) else bytes(t))) for t in text])
 
 
 def path_edits(a: str, b: str) -> int:

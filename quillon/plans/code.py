@@ -1 +1,45 @@
-"""."""
+"""Python sources made of the documents, analysed."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillon.operators import code
+from quillon.plans.scans import documents
+from quillon.registry import query
+
+_SOURCE = '''import os
+import subprocess as sp
+from flask import Flask, request
+app = Flask(__name__)
+TITLE = "%TITLE%"
+run = os.system
+
+@app.route("/x/<name>/<int:n>")
+def view(name, n):
+    q = "SELECT a FROM b WHERE c = " + name
+    sp.call("ls " + name, shell=True)
+    run("echo %d" % n)
+    return request.args.get("z")
+'''
+
+
+def _sources(spark, sf_dir):
+    """A source for each document, with its first letters as a string."""
+    title = F.regexp_replace(F.substring("text", 1, 60), "[^A-Za-z ]", "")
+    return documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("file_id"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.replace(F.lit(_SOURCE), F.lit("%TITLE%"), title).alias("source"))
+
+
+@query("""SELECT doc_id::VARCHAR AS file_id, class, line_no FROM documents, (VALUES ('TaintAnomaly', 11), ('TaintAnomaly', 13), ('SQLInjection', 10), ('FunctionCall', 11), ('FunctionCall', 11), ('FunctionCall', 12)) AS v(class, line_no)""")
+def code_detections(spark, sf_dir):
+    return code.detections(_sources(spark, sf_dir)).where("NOT informational").select("file_id", "class", "line_no")
+
+
+@query("""SELECT name, count(*) * k AS n FROM documents, (VALUES ('flask.Flask', 1), ('subprocess.call', 1), ('os.system', 1), ('flask.request.args.get', 1), ('flask.Flask.route', 1)) AS v(name, k) GROUP BY name, k""")
+def code_calls(spark, sf_dir):
+    return code.calls(_sources(spark, sf_dir)).groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query("SELECT module, count(*) AS n FROM documents, (VALUES ('os'), ('subprocess'), ('flask.Flask'), ('flask.request')) AS v(module) GROUP BY module")
+def code_imports(spark, sf_dir):
+    return code.imports(_sources(spark, sf_dir)).groupBy("module").agg(F.count("*").alias("n"))
