@@ -1,19 +1,14 @@
-"""Schemas of the tables that the engine passes on."""
+"""Schemas, in DDL, of the tables that the engine passes on, and what holds for all detections."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
-def _fields(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
-FILES = _fields("scan_id string, file_id string, parent string, depth int, path string, size long, content binary")
-DETECTIONS = _fields("scan_id string, file_id string, class string, signature string, message string, score int, line_no int, line string, informational boolean, tags array<string>, extra string")
-RELEASES = _fields("name string, version string, filename string, packagetype string, python_version string, md5 string, size long, uploaded string")
+FILES = "scan_id string, file_id string, parent string, depth int, path string, size long, content binary"
+DETECTIONS = "scan_id string, file_id string, class string, signature string, message string, score int, line_no int, line string, informational boolean, tags array<string>, extra string"
+RELEASES = "name string, version string, filename string, packagetype string, python_version string, md5 string, size long, uploaded string"
 
 #: In this order the first that fits is a detection's severity: by score, by type or by tag.
 SEVERITIES = (
