@@ -96,9 +96,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, shares: tuple[
 def keep_mixed(docs: DataFrame, weights: dict[str, float] | None = None, share: float = 1.0, seed: str = "mix") -> DataFrame:
     """The rows of ``docs`` that the mixture at one share keeps."""
     named = None if weights is None else {f"={k}": v for k, v in weights.items()}
-    ends = thresholds(_counted(docs, seed), named, (share,)).select(F.col("__source").alias("__s"), F.col("below").alias("__below"))
+    s, below = storage.fresh(docs, "__s", "__below")
+    ends = thresholds(_counted(docs, seed), named, (share,)).select(F.col("__source").alias(s), F.col("below").alias(below))
     key = F.coalesce(F.concat(F.lit("="), docs["source"]), F.lit(""))
-    return docs.join(ends, key == F.col("__s")).where(place(F.col("doc_id"), seed) < F.col("__below")).select(docs.columns)
+    own = storage.same_columns(docs)
+    return docs.join(ends, key == F.col(s)).where(place(F.col("doc_id"), seed) < F.col(below)).select(own)
 
 
 def mix_sql(shares: tuple[float, ...] = (0.25, 0.5, 1.0), seed: str = "mix", docs: str = "documents") -> str:

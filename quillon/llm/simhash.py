@@ -199,5 +199,5 @@ def near_duplicates(docs: DataFrame, distance: int = 8, min_bytes: int = 5) -> D
 
 def drop_near_duplicates(docs: DataFrame, distance: int = 8, min_bytes: int = 5) -> DataFrame:
     """``docs`` with one document of each group, that with the least doc_id, and all that are in none."""
-    gone = storage.keep(near_duplicates(docs, distance, min_bytes).select("doc_id"), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = storage.keep(near_duplicates(docs, distance, min_bytes).select(F.col("doc_id").alias("__gone")), "gone")
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
