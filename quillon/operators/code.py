@@ -59,6 +59,29 @@ def imports(files: DataFrame) -> DataFrame:
     return files.select(F.col("file_id").cast("string"), "path", "source").mapInArrow(run, "file_id string, module string, line_no int")
 
 
+def structure(files: DataFrame, p: int = 2, q: int = 3) -> DataFrame:
+    """(file_id, grams): hashes of the distinct pq-grams of each source's tree; null if it can't be parsed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ast
+
+        import xxhash
+
+        from quillon.code.pqgrams import pq_grams
+
+        for batch in batches:
+            out = []
+            for source in batch.column(1).to_pylist():
+                try:
+                    grams = pq_grams(ast.parse(source or ""), p, q)
+                    out.append(sorted(xxhash.xxh64_intdigest("|".join(g)) - (1 << 63) for g in grams))
+                except (SyntaxError, ValueError, RecursionError):
+                    out.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["file_id", "grams"])
+
+    return files.select(F.col("file_id").cast("string"), "source").mapInArrow(run, "file_id string, grams array<long>")
+
+
 def resolved_imports(found: DataFrame, files: DataFrame) -> DataFrame:
     """Relative imports joined with the file, ``x.py`` or ``x/__init__.py``, that they name: (file_id, module, target)."""
     own = files.select(F.col("file_id").cast("string"), "path")

@@ -101,6 +101,20 @@ def trust_score(packages: DataFrame) -> DataFrame:
     return packages.select("name", *(v.alias(k) for k, v in each.items())).withColumn("total", functools.reduce(lambda a, b: a + b, map(F.col, each)))
 
 
+def facts(packages: DataFrame) -> DataFrame:
+    """(name, source_url, homepage, documentation, author) of packages with home_page, docs_url, author, author_email, maintainer and project_urls.
+
+    A source that isn't named is the home page, if that is at a code host.
+    """
+    urls = F.col("project_urls")
+    first = lambda *keys: F.coalesce(*(F.try_element_at(urls, F.lit(k)) for k in keys))
+    host = F.expr("try_parse_url(home_page, 'HOST')")
+    home = F.coalesce(F.when(F.trim("home_page") != "", F.col("home_page")), first("Homepage", "Home"))
+    source = F.coalesce(first("Source", "Source Code", "Repository", "Code"), F.when(host.isin("github.com", "www.github.com", "gitlab.com"), F.col("home_page")))
+    author = F.coalesce(*(F.when(F.trim(c) != "", F.col(c)) for c in ("author", "maintainer", "author_email")))
+    return packages.select("name", source.alias("source_url"), home.alias("homepage"), F.coalesce(F.col("docs_url"), first("Documentation", "Docs")).alias("documentation"), author.alias("author"))
+
+
 def licence_ids(packages: DataFrame, table: DataFrame) -> DataFrame:
     """(name, licence) with the SPDX id of each classifier; a value that is an id already stays, with spaces as dashes."""
     raw = packages.select("name", F.explode(F.array_distinct(F.array_compact(F.concat(F.array("license"), F.filter("classifiers", lambda x: x.startswith("License")))))).alias("raw"))

@@ -43,3 +43,11 @@ def code_calls(spark, sf_dir):
 @query("SELECT module, count(*) AS n FROM documents, (VALUES ('os'), ('subprocess'), ('flask.Flask'), ('flask.request')) AS v(module) GROUP BY module")
 def code_imports(spark, sf_dir):
     return code.imports(_sources(spark, sf_dir)).groupBy("module").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id::VARCHAR AS file_id, true AS same FROM documents")
+def code_structure(spark, sf_dir):
+    """Sources that differ in their strings alone have the same structure."""
+    t = code.structure(_sources(spark, sf_dir))
+    own = code.structure(spark.createDataFrame([("0", _SOURCE)], "file_id string, source string")).select(F.col("grams").alias("model"))
+    return t.crossJoin(own).select("file_id", (F.col("grams") == F.col("model")).alias("same"))

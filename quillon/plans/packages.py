@@ -153,6 +153,16 @@ def downloads_lookup(spark, sf_dir):
     return asked.join(first, "c", "left").select("s_suppkey", "f.name", "f.downloads")
 
 
+@query("""WITH p AS (SELECT p_partkey::VARCHAR AS name, CASE WHEN p_partkey % 3 = 0 THEN 'https://github.com/' || p_brand WHEN p_partkey % 3 = 1 THEN 'https://example.org/' || p_brand ELSE '' END AS h, p_brand AS b, p_partkey AS k FROM part)
+SELECT name, CASE WHEN k % 5 = 0 THEN 'https://src/' || b WHEN k % 3 = 0 THEN h END AS source_url, CASE WHEN h <> '' THEN h ELSE 'https://home/' || b END AS homepage, CASE WHEN k % 2 = 0 THEN 'https://docs/' || b END AS documentation, CASE WHEN k % 4 = 0 THEN 'maintainer' ELSE b END AS author FROM p""")
+def package_facts(spark, sf_dir):
+    k, b = F.col("p_partkey"), F.col("p_brand")
+    link = lambda head: F.concat(F.lit(head), b)
+    urls = F.when(k % 5 == 0, F.create_map(F.lit("Homepage"), link("https://home/"), F.lit("Source"), link("https://src/"))).otherwise(F.create_map(F.lit("Homepage"), link("https://home/")))
+    t = _of(spark, sf_dir, "part").select(k.cast("string").alias("name"), F.when(k % 3 == 0, link("https://github.com/")).when(k % 3 == 1, link("https://example.org/")).otherwise("").alias("home_page"), F.when(k % 2 == 0, link("https://docs/")).alias("docs_url"), F.when(k % 4 == 0, " ").otherwise(b).alias("author"), F.lit("maintainer").alias("maintainer"), F.lit("m@x").alias("author_email"), urls.alias("project_urls"))
+    return pk.facts(t)
+
+
 _LICENCES = [("License :: OSI :: ECONOMY", "MIT"), ("License :: OSI :: STANDARD", "Apache-2.0"), ("License :: OSI :: PROMO", "BSD-3-Clause")]
 
 

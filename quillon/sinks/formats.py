@@ -109,6 +109,35 @@ def parse_output(uri: str, **given) -> dict:
     return {"format": parts.scheme or "text", "path": (parts.netloc + parts.path) or "-"} | found | given
 
 
+def to_sqlite(detections: DataFrame, path: str) -> int:
+    """Scans, locations and detections as three tables of a local SQLite file, in one transaction; of a signature the first stays.
+
+    For reports of a size for one machine: rows stream through the driver. Larger ones go to parquet. Returns the number of detections added.
+    """
+    import sqlite3
+
+    con = sqlite3.connect(path)
+    try:
+        with con:
+            con.execute("CREATE TABLE IF NOT EXISTS scans (id INTEGER PRIMARY KEY, input TEXT UNIQUE)")
+            con.execute("CREATE TABLE IF NOT EXISTS locations (id INTEGER PRIMARY KEY, scan_id INTEGER REFERENCES scans, name TEXT, UNIQUE (scan_id, name))")
+            con.execute("CREATE TABLE IF NOT EXISTS detections (id INTEGER PRIMARY KEY, signature TEXT UNIQUE, score INTEGER, type TEXT, data TEXT, location INTEGER REFERENCES locations)")
+            before = con.execute("SELECT count(*) FROM detections").fetchone()[0]
+            rows = detections.select("scan_id", F.col("file_id").cast("string").alias("file_id"), "signature", "score", "class", detection_json().alias("data")).orderBy("scan_id", "file_id", "signature")
+            for r in rows.toLocalIterator():
+                con.execute("INSERT OR IGNORE INTO scans (input) VALUES (?)", (r.scan_id,))
+                con.execute("INSERT OR IGNORE INTO locations (scan_id, name) SELECT id, ? FROM scans WHERE input = ?", (r.file_id, r.scan_id))
+                con.execute("INSERT OR IGNORE INTO detections (signature, score, type, data, location) SELECT ?, ?, ?, ?, l.id FROM locations l JOIN scans s ON l.scan_id = s.id WHERE s.input = ? AND l.name = ?", (r.signature, r.score, r["class"], r.data, r.scan_id, r.file_id))
+            return con.execute("SELECT count(*) FROM detections").fetchone()[0] - before
+    finally:
+        con.close()
+
+
+def to_jdbc(detections: DataFrame, url: str, table: str, **properties: str) -> None:
+    """Appends detections to a database's table, tags and the rest as JSON; executors write in parallel."""
+    detections.select("scan_id", "signature", "score", F.col("class").alias("type"), "severity", detection_json().alias("data")).write.jdbc(url, table, mode="append", properties=properties)
+
+
 FORMATS = {"json": scan_documents, "gitlab": gitlab, "sarif": sarif}
 
 
@@ -126,6 +155,8 @@ def write(detections: DataFrame, uri: str, **given) -> None:
         t.write.mode("overwrite").partitionBy("scan_id").parquet(o["path"])
     elif o["format"] == "jsonl":
         t.select(detection_json().alias("value")).write.mode("overwrite").text(o["path"])
+    elif o["format"] == "sqlite":
+        to_sqlite(t, o["path"])
     elif o["format"] in FORMATS:
         FORMATS[o["format"]](t).select(F.col("json").alias("value")).write.mode("overwrite").text(o["path"])
     else:

@@ -127,3 +127,11 @@ def test_import_order():
     order = import_order([("a", "b"), ("b", "c"), ("d", "a"), ("e", "e")])
     assert order.index("c") < order.index("b") < order.index("a") < order.index("d")
     assert sorted(import_order([("x", "y"), ("y", "x")])) == ["x", "y"]
+
+
+def test_pq_grams():
+    from quillon.code.pqgrams import distance, pq_grams
+
+    a, b, c = (pq_grams(ast.parse(x)) for x in ("x = f(1) + 2", "y = g(3) + 4", "for i in z: print(i)"))
+    assert distance(a, b) == 0 and 0 < distance(a, c) <= 1 and distance(a, a) == 0
+    assert pq_grams(ast.parse(""))[("*", "Module", "*", "*", "*")] == 1

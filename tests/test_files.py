@@ -119,6 +119,8 @@ def test_scan_and_sinks(spark, tmp_path):
     for f in ("json", "gitlab", "sarif"):
         formats.write(found, f"{f}://{tmp_path}/{f}")
         assert json.loads(spark.read.text(str(tmp_path / f)).first()[0])
+    n = formats.to_sqlite(found, str(tmp_path / "db"))
+    assert n == found.select("signature").distinct().count() and formats.to_sqlite(found, str(tmp_path / "db")) == 0
     formats.write(found, f"jsonl://{tmp_path}/jsonl", min_score=10**6)
     assert spark.read.text(str(tmp_path / "jsonl")).count() == 0
     assert any("TaintAnomaly" in x for x in formats.text_report(found))
