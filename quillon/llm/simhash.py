@@ -2,9 +2,10 @@
 
 Each document gets a 64-bit fingerprint: the bitwise majority over the hashes of its words
 of at least ``min_bytes`` bytes, each as often as it occurs. Pairs within ``distance`` bits
-are found without a comparison of all pairs: fingerprints are split into ``distance + 1``
-blocks, of which a pair within the distance must share one (pigeonhole), so each fingerprint
-is sent once for each block, and each block group is searched with the index. There,
+are found without a comparison of all pairs: fingerprints are split into ``distance + k``
+blocks, of which a pair within the distance must share k (pigeonhole), so each fingerprint
+is sent once for each choice of k blocks, and each group is searched with the index. k grows with the
+number of fingerprints, so that a group stays of a size for one task. There,
 fingerprints are sorted by Gray rank; runs of the order become leaves and, level by level,
 nodes. A node holds the mask of bits on which all below it agree and their pattern. Two nodes
 differ by at least the bits in which their agreed patterns differ; a child only adds the bits
@@ -21,6 +22,7 @@ Other columns are neither read nor changed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ U64 = np.uint64
 _LANES = U64(0x0101010101010101)
 LEAF = 64
 FANOUT = 8
+#: Fingerprints of a group, about, beyond which groups are cut finer.
+MOST_GROUP = 1_000_000
 
 
 def majority(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,19 +161,33 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def blocks(distance: int) -> list[tuple[int, int]]:
-    """(shift, width) of ``distance + 1`` blocks that cover 64 bits."""
-    ends = np.linspace(0, 64, distance + 2).round().astype(int)
+def blocks(n: int) -> list[tuple[int, int]]:
+    """(shift, width) of ``n`` blocks that cover 64 bits."""
+    ends = np.linspace(0, 64, n + 1).round().astype(int)
     return [(int(s), int(e - s)) for s, e in zip(ends[:-1], ends[1:])]
 
 
-def near_edges(prints: DataFrame, distance: int) -> DataFrame:
+def agreeing(n: int, distance: int) -> int:
+    """How many of ``distance`` plus as many blocks must agree so that a group of ``n`` even fingerprints has MOST_GROUP at most."""
+    agree = 1
+    while n >> (64 * agree // (distance + agree)) > MOST_GROUP and agree < 8:
+        agree += 1
+    return agree
+
+
+def near_edges(prints: DataFrame, distance: int, agree: int = 1) -> DataFrame:
     """Edges (a, b) of fingerprints that connect just those that chains of pairs within ``distance`` connect.
 
-    ``prints`` has distinct fp. Of each block group only a spanning forest leaves the search, so
-    the edges stay in proportion to the fingerprints however many pairs there are.
+    ``prints`` has distinct fp. A pair within the distance agrees on ``agree`` of the ``distance + agree`` blocks, whatever
+    ``agree`` is; the more it is, the more and the smaller are the groups. Of each group only a spanning forest
+    leaves the search, so the edges stay in proportion to the fingerprints however many pairs there are.
     """
-    keys = [F.concat(F.lit(f"{i}:"), F.shiftrightunsigned("fp", s).bitwiseAND((1 << w) - 1).cast("string")) for i, (s, w) in enumerate(blocks(distance))]
+    keys = []
+    for i, chosen in enumerate(combinations(blocks(distance + agree), agree)):
+        key = F.lit(i).cast("long")
+        for s, w in chosen:
+            key = F.shiftleft(key, w).bitwiseOR(F.shiftrightunsigned("fp", s).bitwiseAND((1 << w) - 1))
+        keys.append(key)
 
     def search(table: pa.Table) -> pa.Table:
         codes = table.column("fp").to_numpy().view(U64)
@@ -187,7 +205,8 @@ def near_duplicates(docs: DataFrame, distance: int = 8, min_bytes: int = 5) -> D
     ``distance`` in the result is that between the two fingerprints; along a chain it can exceed the bound.
     """
     prints = storage.keep(fingerprints(docs, min_bytes).groupBy("doc_id").agg(F.min("fp").alias("fp")), "prints")
-    roots = storage.components(near_edges(prints.select("fp").distinct(), distance)).withColumnsRenamed({"node": "fp"})
+    edges = near_edges(prints.select("fp").distinct(), distance, agreeing(prints.count(), distance))
+    roots = storage.components(edges).withColumnsRenamed({"node": "fp"})
     grouped = prints.join(roots, "fp", "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("grp"))
     kept = grouped.groupBy("grp").agg(F.min_by("fp", "doc_id").alias("kept_fp"), F.min("doc_id").alias("duplicate_of"), F.count("*").alias("n")).where("n > 1")
     return (

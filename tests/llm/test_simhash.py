@@ -64,9 +64,24 @@ def test_index_against_all_pairs(n, distance):
 
 
 def test_blocks():
-    for d in (0, 1, 3, 8, 10):
-        b = sh.blocks(d)
-        assert len(b) == d + 1 and sum(w for _, w in b) == 64
+    for n in (1, 2, 4, 9, 11):
+        b = sh.blocks(n)
+        assert len(b) == n and sum(w for _, w in b) == 64
+    assert [sh.agreeing(n, 8) for n in (0, 10**8, 10**9, 10**10)] == [1, 1, 2, 3]
+
+
+@pytest.mark.parametrize("agree", [1, 2, 3])
+def test_more_blocks_find_the_same(spark, agree):
+    r = np.random.default_rng(agree)
+    base = r.integers(0, 1 << 63, 60, dtype=np.uint64)
+    codes = np.unique(np.concatenate([base ^ np.bitwise_or.reduce(U64(1) << r.integers(0, 64, (k, 60)).astype(U64), axis=0) for k in (1, 2, 4)]))
+    t = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "fp long")
+    edges = {(x.a, x.b) for x in sh.near_edges(t, 4, agree).collect()}
+    at = {int(c): i for i, c in enumerate(codes.view(np.int64))}
+    got = sh.forest(len(codes), *(np.array([at[e[k]] for e in edges], np.int64) for k in (0, 1)))
+    i, j = np.triu_indices(len(codes), 1)
+    near = np.bitwise_count(codes[i] ^ codes[j]) <= 4
+    assert (got == sh.forest(len(codes), i[near], j[near])).all() and near.any()
 
 
 def fixture():
