@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillon.llm import storage
+from quillon.llm import sieve, storage
 from quillon.llm import textwords as tw
 
 U64 = np.uint64
@@ -137,8 +138,8 @@ def bands_of(docs: DataFrame, reach: int, min_words: int, bands: int, rows: int)
     return _batches(docs).mapInArrow(run, "band long, pid long")
 
 
-def contents(docs: DataFrame, reach: int, min_words: int) -> DataFrame:
-    """(pid, grams): the sorted distinct trigram hashes of each paragraph, once a batch."""
+def contents(docs: DataFrame, reach: int, min_words: int, wanted) -> DataFrame:
+    """(pid, grams): the trigram hashes of each paragraph that the sieve ``wanted`` lets through, once a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,6 +147,8 @@ def contents(docs: DataFrame, reach: int, min_words: int) -> DataFrame:
                 p = Paragraphs(w, reach, min_words)
                 grams, first = p.shingles()
                 pid, at = np.unique(p.ids(), return_index=True)
+                use = wanted.value.has(pid)
+                pid, at = pid[use], at[use]
                 count = np.diff(first)[at]
                 ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
                 index = np.arange(ends[-1]) + np.repeat(first[at] - ends[:-1], count)
@@ -161,7 +164,7 @@ def repeats(docs: DataFrame, threshold: float = 0.8, recall: float = 0.95, most_
     found = storage.keep(found.select(F.array_sort("pids").alias("pids")).distinct(), "collisions")
     pairs = storage.keep(found.select("pids", F.posexplode("pids").alias("i", "a")).select("a", F.explode(F.expr("slice(pids, i + 2, size(pids))")).alias("b")).distinct(), "pairs")
     wanted = storage.keep(pairs.select(F.col("a").alias("pid")).union(pairs.select("b")).distinct(), "wanted")
-    grams = storage.keep(contents(docs, reach, min_words).join(wanted, "pid", "left_semi").dropDuplicates(["pid"]), "grams")
+    grams = storage.keep(contents(docs, reach, min_words, sieve.of(wanted, "pid")).join(wanted, "pid", "left_semi").dropDuplicates(["pid"]), "grams")
     both = pairs.join(grams.select(F.col("pid").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("pid").alias("b"), F.col("grams").alias("y")), "b")
     similar = both.where(F.size(F.array_intersect("x", "y")) >= threshold * F.size(F.array_union("x", "y"))).select("a", "b")
     roots = storage.components(similar).withColumnRenamed("node", "pid")
@@ -174,18 +177,26 @@ def repeats(docs: DataFrame, threshold: float = 0.8, recall: float = 0.95, most_
 def without_repeats(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with the repeated paragraphs cut out of their texts. A text of which nothing is left is empty; its row stays."""
     reach = settings.get("reach", 8)
-    gone = storage.keep(repeats(docs, **settings).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("position").alias("__gone")), "gone")
-    columns = docs.columns
+    key, mark = storage.fresh(docs, "__id", "__gone")
+    gone = storage.keep(repeats(docs, **settings).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("position").alias(mark)), "gone")
+    columns, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, gone_at = batch.column("text").to_pylist(), batch.column("__gone").to_pylist()
-            texts = [t if not g else _cut(t, reach, set(g)) for t, g in zip(texts, gone_at)]
-            out = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays(out, names=columns)
+            texts = [t if not g else _cut(t, reach, set(g)) for t, g in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(columns))], names=columns)
 
-    joined = docs.join(gone, F.col("doc_id") == F.col("__id"), "left").drop("__id")
-    return joined.mapInArrow(run, docs.schema)
+    # Only texts that may lose something are moved to where it says what.
+    some = sieve.of(gone, key)
+
+    @F.arrow_udf(T.BooleanType())
+    def may_lose(ids: pa.Array) -> pa.Array:
+        return pa.array(some.value.has(ids.fill_null(0).cast(pa.int64()).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False))
+
+    own = storage.same_columns(docs)
+    touched = docs.where(may_lose("doc_id"))
+    joined = touched.join(gone, touched["doc_id"] == gone[key], "left").select(*own, mark)
+    return docs.where(~may_lose("doc_id")).union(joined.mapInArrow(run, docs.schema))
 
 
 def _cut(text: str, reach: int, gone: set[int]) -> str:
