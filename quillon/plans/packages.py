@@ -22,12 +22,12 @@ def _stats(spark, sf_dir):
     return _of(spark, sf_dir, "part").select(c.alias("ord"), F.concat("p_name", F.lit("."), c.cast("string")).alias("name"), (100000 - c * 37 + (c * 7919) % 5000).alias("downloads"))
 
 
-@query(f"WITH {_STATS} SELECT name, downloads FROM stats WHERE ord < coalesce((SELECT min(ord) FROM stats WHERE downloads < 90000), 1 << 60)")
+@query(f"WITH {_STATS} SELECT name, downloads FROM stats WHERE ord < coalesce((SELECT min(ord) FROM stats WHERE downloads < 90000), 1000000000000)")
 def popular_takewhile(spark, sf_dir):
     return pk.popular(_stats(spark, sf_dir), 90000).select("name", "downloads")
 
 
-@query(f"WITH {_STATS} SELECT name, downloads FROM stats WHERE ord <= coalesce((SELECT min(ord) FROM stats WHERE p_hit), 1 << 60)".replace("SELECT min(ord) FROM stats WHERE p_hit", "SELECT min(ord) - 1 FROM stats WHERE name LIKE 'hot%' AND ord > 5"))
+@query(f"WITH {_STATS} SELECT name, downloads FROM stats WHERE ord <= coalesce((SELECT min(ord) FROM stats WHERE p_hit), 1000000000000)".replace("SELECT min(ord) FROM stats WHERE p_hit", "SELECT min(ord) - 1 FROM stats WHERE name LIKE 'hot%' AND ord > 5"))
 def stop_at_self(spark, sf_dir):
     """The names before the first that is the looked-up one."""
     t = _stats(spark, sf_dir)
