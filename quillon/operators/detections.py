@@ -10,9 +10,12 @@ from quillon.model import severity
 
 
 def from_lines(docs: DataFrame, found: list[rules.Rule], key: str = "doc_id", scan: str = "source") -> DataFrame:
-    """One detection for each line and rule that hits it. Lines that no rule hits go no further than the scan."""
+    """One detection for each line and rule that hits it. Lines that no rule hits go no further than the scan.
+
+    The outer explode keeps the optimizer from trying all rules once more in a filter before it.
+    """
     t = docs.select(F.col(scan).alias("scan_id"), F.col(key).alias("file_id"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    t = t.select("scan_id", "file_id", (F.col("n") + 1).alias("line_no"), "line", F.explode(rules.hits(F.col("line"), found)).alias("h"))
+    t = t.select("scan_id", "file_id", (F.col("n") + 1).alias("line_no"), "line", F.explode_outer(rules.hits(F.col("line"), found)).alias("h")).where("h IS NOT NULL")
     return t.select(
         "scan_id",
         "file_id",

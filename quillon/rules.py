@@ -23,6 +23,8 @@ class Rule:
     tags: tuple[str, ...] = ()
     ignore_case: bool = False
     target: str = "full"
+    #: A literal that every hit holds; it is looked for before an expression is tried.
+    needs: str = ""
 
 
 def rule_of(spec: str | dict, number: int = 0) -> Rule:
@@ -74,7 +76,8 @@ KINDS = {
 
 def matches(value: Column, rule: Rule) -> Column:
     """Whether the rule hits; null gives false."""
-    return F.coalesce(KINDS[rule.kind](value, rule), F.lit(False))
+    test = KINDS[rule.kind](value, rule)
+    return F.coalesce(value.contains(rule.needs) & test if rule.needs else test, F.lit(False))
 
 
 def path_matches(path: Column, rule: Rule) -> Column:
@@ -144,8 +147,8 @@ def behavior(tags: Column, tree) -> Column:
 
 
 STRING_RULES = [
-    Rule("secret_token", "regex", '.*token = "[0-9a-f]{40}"', "A secret in the text", 100, ("leak:secret",)),
-    Rule("email", "regex", "(?:.*[^A-Za-z0-9._-])?[a-z0-9._]+@[a-z0-9]+[.][a-z]+", "An e-mail address", 10, ("leak:email", "personal_data")),
+    Rule("secret_token", "regex", '.*token = "[0-9a-f]{40}"', "A secret in the text", 100, ("leak:secret",), needs='token = "'),
+    Rule("email", "regex", "(?:.*[^A-Za-z0-9._-])?[a-z0-9._]+@[a-z0-9]+[.][a-z]+", "An e-mail address", 10, ("leak:email", "personal_data"), needs="@"),
     Rule("ipv4", "regex", "(?:.*[^0-9.])?[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}", "An address of a host", 20, ("network:address",)),
     Rule("license", "contains", "icense", "A license line", 0, ("legal",)),
     Rule("shouting", "glob", "*!!*", "Many exclamation marks", 1, ("style",)),
