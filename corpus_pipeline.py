@@ -21,7 +21,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents without the paragraphs that an earlier document holds; n_chars follows the text."""
     from pyspark.sql import functions as F
 
-    return paragraphs.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return paragraphs.without_repeats(docs, natural=True).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Substring dedup by paragraph MinHash banding.
 
-Texts are cut into paragraphs: at every newline, and inside longer lines after each word whose
-hash with its predecessor's is the least of the ``reach`` words around it. Such cuts depend only
-on the words near them, so a passage pasted anywhere is cut alike wherever it occurs. Each
-paragraph's set of word trigrams (of all its words where there are fewer) gets MinHash values;
+Texts are cut into natural paragraphs, which are lines, and these into pieces: after each word whose hash with its predecessor's is the
+least of the ``reach`` words around it. Such cuts depend only on the words near them, so a passage pasted anywhere is cut alike wherever
+it occurs. With ``natural``, as in the query and the pipeline, natural paragraphs of several pieces are
+compared whole too: a few changed words leave most of a paragraph's trigrams as they are, but few of
+its pieces'. Each paragraph's set of word trigrams (of all its words where there are fewer) gets MinHash values;
 they are banded so that pairs at the similarity threshold collide with the wanted recall
 (:func:`tune_bands`). Equal paragraphs share an id from the start, so copies by the thousand
 cost one candidate; colliding ids are joined, and each pair is verified by exact Jaccard of the
@@ -17,7 +18,7 @@ paragraphs, not repeats. Empty tables give no rows. Other columns are kept as th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,14 +46,18 @@ def tune_bands(threshold: float, recall: float, most_bands: int) -> tuple[int, i
 class Paragraphs:
     """The paragraphs of a run of documents: word ranges, their documents, positions within them, and byte ranges."""
 
-    def __init__(self, w: tw.Words, reach: int, min_words: int) -> None:
+    def __init__(self, w: tw.Words, reach: int, min_words: int, natural: bool = False) -> None:
         n = len(w.hash)
+        line = np.zeros(n + 1, bool)
+        line[w.first] = True
+        if n:
+            line[np.searchsorted(w.start, np.flatnonzero(w.data == 10))] = True
+        # Natural paragraphs are lines.
+        opens = np.flatnonzero(line[:-1])
+        closes = np.append(opens[1:], n)[: len(opens)]
         cut = np.zeros(n + 1, bool)
-        cut[w.first] = True
+        cut[opens] = True
         if n:
-            # A newline between two words ends a paragraph.
-            newlines = np.flatnonzero(w.data == 10)
-            cut[np.searchsorted(w.start, newlines)] = True
             pair = w.hash.copy()
             pair[1:] ^= tw.mix(w.hash[:-1])
             heads = w.first[:-1][np.diff(w.first) > 0]
@@ -70,12 +75,21 @@ class Paragraphs:
             least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
             # A cut comes after the word that is the least.
             cut[1:] |= pair == least[at - reach]
-        self.starts = np.flatnonzero(cut[:-1]) if n else np.zeros(0, np.int64)
-        self.ends = np.append(self.starts[1:], n) if n else self.starts
+        self.starts = np.flatnonzero(cut[:-1])
+        self.ends = np.append(self.starts[1:], n)[: len(self.starts)]
         self.doc = np.searchsorted(w.first, self.starts, side="right") - 1
         self.position = np.arange(len(self.starts)) - np.searchsorted(self.doc, self.doc)
+        # How many pieces a natural paragraph has; 0 for the pieces of those that have several.
+        first = np.searchsorted(self.starts, opens)
+        count = np.diff(np.append(first, len(self.starts)))
+        self.pieces = np.repeat((count == 1).astype(np.int64), count)
+        if natural:
+            whole = np.flatnonzero(count > 1)
+            self.starts, self.ends = np.append(self.starts, opens[whole]), np.append(self.ends, closes[whole])
+            self.doc, self.position = np.append(self.doc, self.doc[first[whole]]), np.append(self.position, self.position[first[whole]])
+            self.pieces = np.append(self.pieces, count[whole])
         keep = self.ends - self.starts >= min_words
-        self.starts, self.ends, self.doc, self.position = self.starts[keep], self.ends[keep], self.doc[keep], self.position[keep]
+        self.starts, self.ends, self.doc, self.position, self.pieces = self.starts[keep], self.ends[keep], self.doc[keep], self.position[keep], self.pieces[keep]
         self.words = w
 
     def ids(self) -> np.ndarray:
@@ -108,25 +122,25 @@ def _batches(docs: DataFrame):
     return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
 
 
-def occurrences(docs: DataFrame, reach: int, min_words: int) -> DataFrame:
-    """(pid, doc_id, position): each paragraph of each document by the id of its words."""
+def occurrences(docs: DataFrame, reach: int, min_words: int, natural: bool = False) -> DataFrame:
+    """(pid, doc_id, position, pieces): each paragraph of each document by the id of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, w in tw.split(batch.column(1)):
-                p = Paragraphs(w, reach, min_words)
-                yield pa.RecordBatch.from_arrays([pa.array(p.ids().view(np.int64)), batch.column(0).take(pa.array(at + p.doc)), pa.array(p.position)], names=["pid", "doc_id", "position"])
+                p = Paragraphs(w, reach, min_words, natural)
+                yield pa.RecordBatch.from_arrays([pa.array(p.ids().view(np.int64)), batch.column(0).take(pa.array(at + p.doc)), pa.array(p.position), pa.array(p.pieces)], names=["pid", "doc_id", "position", "pieces"])
 
-    return _batches(docs).mapInArrow(run, "pid long, doc_id long, position long")
+    return _batches(docs).mapInArrow(run, "pid long, doc_id long, position long, pieces long")
 
 
-def bands_of(docs: DataFrame, reach: int, min_words: int, bands: int, rows: int) -> DataFrame:
+def bands_of(docs: DataFrame, reach: int, min_words: int, bands: int, rows: int, natural: bool = False) -> DataFrame:
     """(band, pid): the band keys of each paragraph; the same key twice in a batch is sent once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, w in tw.split(batch.column(1)):
-                p = Paragraphs(w, reach, min_words)
+                p = Paragraphs(w, reach, min_words, natural)
                 pid, first = np.unique(p.ids(), return_index=True)
                 mins = p.minhashes(bands * rows)[first].astype(U64)
                 for b in range(bands):
@@ -138,13 +152,13 @@ def bands_of(docs: DataFrame, reach: int, min_words: int, bands: int, rows: int)
     return _batches(docs).mapInArrow(run, "band long, pid long")
 
 
-def contents(docs: DataFrame, reach: int, min_words: int, wanted) -> DataFrame:
+def contents(docs: DataFrame, reach: int, min_words: int, wanted, natural: bool = False) -> DataFrame:
     """(pid, grams): the trigram hashes of each paragraph that the sieve ``wanted`` lets through, once a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, w in tw.split(batch.column(1)):
-                p = Paragraphs(w, reach, min_words)
+                p = Paragraphs(w, reach, min_words, natural)
                 grams, first = p.shingles()
                 pid, at = np.unique(p.ids(), return_index=True)
                 use = wanted.value.has(pid)
@@ -157,21 +171,52 @@ def contents(docs: DataFrame, reach: int, min_words: int, wanted) -> DataFrame:
     return _batches(docs).mapInArrow(run, "pid long, grams array<int>")
 
 
-def repeats(docs: DataFrame, threshold: float = 0.8, recall: float = 0.95, most_bands: int = 5, reach: int = 8, min_words: int = 8) -> DataFrame:
-    """(doc_id, position, duplicate_of, duplicate_position): each paragraph to remove, and the one of its component that stays."""
+def _through(some) -> Callable:
+    """Whether the sieve ``some`` lets a key through."""
+
+    @F.arrow_udf(T.BooleanType())
+    def may(ids: pa.Array) -> pa.Array:
+        return pa.array(some.value.has(ids.fill_null(0).cast(pa.int64()).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False))
+
+    return may
+
+
+def _later(placed: DataFrame) -> DataFrame:
+    """The rows of ``placed`` after the first of their group, which is ``k``; only rows of groups of several are moved."""
+    place = F.struct("doc_id", "position", "pieces")
+    kept = placed.groupBy("grp").agg(F.min(place).alias("k"), F.max(F.struct("doc_id", "position")).alias("last")).where(F.struct("k.doc_id", "k.position") < F.col("last"))
+    kept = storage.keep(kept.select("grp", "k"), "kept")
+    return placed.where(_through(sieve.of(kept, "grp"))("grp")).join(kept, "grp").where(F.struct("doc_id", "position") > F.struct("k.doc_id", "k.position"))
+
+
+def repeats(docs: DataFrame, threshold: float = 0.8, recall: float = 0.95, most_bands: int = 5, reach: int = 8, min_words: int = 8, natural: bool = False) -> DataFrame:
+    """(doc_id, position, duplicate_of, duplicate_position): each paragraph to remove, and the one of its component that stays.
+
+    With ``natural``, natural paragraphs go whole where an earlier one is like them, and then pieces of what is left.
+    """
     bands, rows = tune_bands(threshold, recall, most_bands)
-    found = bands_of(docs, reach, min_words, bands, rows).groupBy("band").agg(F.collect_set("pid").alias("pids")).where("size(pids) > 1")
+    found = bands_of(docs, reach, min_words, bands, rows, natural).groupBy("band").agg(F.collect_set("pid").alias("pids")).where("size(pids) > 1")
     found = storage.keep(found.select(F.array_sort("pids").alias("pids")).distinct(), "collisions")
     pairs = storage.keep(found.select("pids", F.posexplode("pids").alias("i", "a")).select("a", F.explode(F.expr("slice(pids, i + 2, size(pids))")).alias("b")).distinct(), "pairs")
     wanted = storage.keep(pairs.select(F.col("a").alias("pid")).union(pairs.select("b")).distinct(), "wanted")
-    grams = storage.keep(contents(docs, reach, min_words, sieve.of(wanted, "pid")).join(wanted, "pid", "left_semi").dropDuplicates(["pid"]), "grams")
+    grams = storage.keep(contents(docs, reach, min_words, sieve.of(wanted, "pid"), natural).join(wanted, "pid", "left_semi").dropDuplicates(["pid"]), "grams")
     both = pairs.join(grams.select(F.col("pid").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("pid").alias("b"), F.col("grams").alias("y")), "b")
     similar = both.where(F.size(F.array_intersect("x", "y")) >= threshold * F.size(F.array_union("x", "y"))).select("a", "b")
-    roots = storage.components(similar).withColumnRenamed("node", "pid")
-    placed = occurrences(docs, reach, min_words).distinct().join(roots, "pid", "left").select(F.coalesce("root", "pid").alias("grp"), "doc_id", "position")
+    roots = storage.keep(storage.components(similar).withColumnRenamed("node", "pid"), "roots")
+    linked = _through(sieve.of(roots, "pid"))
+    own = occurrences(docs, reach, min_words, natural).withColumn("linked", linked("pid"))
+    own = storage.keep(own, "occurrences")
+    placed = own.where("NOT linked").select(F.col("pid").alias("grp"), "doc_id", "position", "pieces").union(own.where("linked").join(roots, "pid", "left").select(F.coalesce("root", "pid").alias("grp"), "doc_id", "position", "pieces"))
     placed = storage.keep(placed, "placed")
-    kept = placed.groupBy("grp").agg(F.min(F.struct("doc_id", "position")).alias("k"), F.count("*").alias("n")).where("n > 1")
-    return placed.join(kept, "grp").where(F.struct("doc_id", "position") > F.col("k")).select("doc_id", "position", F.col("k.doc_id").alias("duplicate_of"), F.col("k.position").alias("duplicate_position"))
+    storage.drop(own)
+    result = lambda t, step: t.select("doc_id", (F.col("position") + step).alias("position"), F.col("k.doc_id").alias("duplicate_of"), (F.col("k.position") + F.least(step, F.greatest(F.lit(1), "k.pieces") - 1)).alias("duplicate_position")).distinct()
+    if not natural:
+        return result(_later(placed), F.lit(0).cast("long"))
+    whole = _later(placed.where("pieces > 0")).withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+    whole = storage.keep(result(whole, F.col("step")), "whole")
+    # What stands in a paragraph that goes keeps no other piece from staying.
+    left = storage.keep(placed.where("pieces < 2").join(whole.select("doc_id", "position"), ["doc_id", "position"], "left_anti").select("grp", "doc_id", "position", "pieces"), "left")
+    return whole.union(result(_later(left), F.lit(0).cast("long")))
 
 
 def without_repeats(docs: DataFrame, **settings) -> DataFrame:
@@ -189,10 +234,7 @@ def without_repeats(docs: DataFrame, **settings) -> DataFrame:
     # Only texts that may lose something are moved to where it says what.
     some = sieve.of(gone, key)
 
-    @F.arrow_udf(T.BooleanType())
-    def may_lose(ids: pa.Array) -> pa.Array:
-        return pa.array(some.value.has(ids.fill_null(0).cast(pa.int64()).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False))
-
+    may_lose = _through(some)
     own = storage.same_columns(docs)
     touched = docs.where(may_lose("doc_id"))
     joined = touched.join(gone, touched["doc_id"] == gone[key], "left").select(*own, mark)

@@ -36,7 +36,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.repeats(_table(spark, sf_dir, "documents"))
+    return paragraphs.repeats(_table(spark, sf_dir, "documents"), natural=True)
 
 
 def op7_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

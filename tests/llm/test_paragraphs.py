@@ -122,3 +122,32 @@ def test_sieve(spark):
     has = s.has(every)
     assert has[::3].all() and has.mean() < 0.36
     assert not sieve.of(keys.limit(0), "k").value.has(every).any()
+
+
+def test_near_copies_of_natural_paragraphs_go_whole(spark):
+    """Paragraphs of 100 words with 3 changed, as lines of their own: recall against brute force over the lines."""
+    r = random.Random(8)
+    rows, copies = [], 0
+    for i in range(40):
+        p = prose(100, f"n{i}")
+        rows.append((i, "\n".join([" ".join(prose(50, f"a{i}")), " ".join(p), " ".join(prose(50, f"b{i}"))]), 1, 2, "p"))
+        for k in r.sample(range(5, 95), 3):
+            p[k] = "changed"
+        rows.append((100 + i, "\n".join([" ".join(prose(50, f"c{i}")), " ".join(p)]), 1, 2, "p"))
+    t = spark.createDataFrame(rows, SCHEMA)
+    lines = {(i, k): set(zip(x.split(), x.split()[1:], x.split()[2:])) for i, text, *_ in rows for k, x in enumerate(text.split("\n"))}
+    want = {b[0] for a, b in combinations(sorted(lines), 2) if len(lines[a] & lines[b]) >= 0.8 * len(lines[a] | lines[b])}
+    assert len(want) == 40
+    left = {x.doc_id: x.text.split() for x in pg.without_repeats(t, natural=True).collect()}
+    whole = {i for i in want if len(left[i]) == 50}
+    assert len(whole) >= 0.9 * len(want)
+    assert all(len(left[i]) == 200 for i in range(40)) and all(len(left[i]) in (50, 150) or i in want for i in range(100, 140))
+
+
+def test_what_goes_with_a_paragraph_stays_elsewhere(spark):
+    """A changed passage in a near copy that goes whole isn't also taken from the document that quotes it."""
+    p = prose(150, "whole")
+    q = p[:60] + prose(12, "quote") + p[72:]
+    rows = [(1, " ".join(p), 1, 2, "p"), (2, " ".join(q), 1, 2, "p"), (3, " ".join(prose(40, "x") + q[50:82] + prose(40, "y")), 1, 2, "p")]
+    left = {x.doc_id: x.text for x in pg.without_repeats(spark.createDataFrame(rows, SCHEMA), natural=True).collect()}
+    assert left[2] == "" and " ".join(q[60:72]) in left[3]
