@@ -1,7 +1,9 @@
 """Substring dedup by paragraph MinHash banding.
 
-Texts are cut into natural paragraphs, which are lines, and these into pieces: after each word whose hash with its predecessor's is the
-least of the ``reach`` words around it. Such cuts depend only on the words near them, so a passage pasted anywhere is cut alike wherever
+Texts are cut into natural paragraphs, which are lines, where a run of lines of fewer than ``reach``
+words each is one; and these into pieces: after each word whose hash with its predecessor's is the
+least of the ``reach`` words around it, but not where that would leave a short remainder at either
+end. Such cuts depend only on the words near them, so a passage pasted anywhere is cut alike wherever
 it occurs. With ``natural``, as in the query and the pipeline, natural paragraphs of several pieces are
 compared whole too: a few changed words leave most of a paragraph's trigrams as they are, but few of
 its pieces'. Each paragraph's set of word trigrams (of all its words where there are fewer) gets MinHash values;
@@ -11,7 +13,7 @@ cost one candidate; colliding ids are joined, and each pair is verified by exact
 trigram sets. Verified pairs form components; of each component the first paragraph, by doc_id
 and position, stays and the others are removed.
 
-Edge cases. Paragraphs of fewer than ``min_words`` words are never removed. Null and empty texts
+Edge cases. A paragraph of fewer than ``min_words`` words, which stands alone between longer lines, is never removed. Null and empty texts
 have no paragraphs. Rows with a null doc_id take no part. Repeated rows of one doc_id are the same
 paragraphs, not repeats. Empty tables give no rows. Other columns are kept as they are.
 """
@@ -52,8 +54,14 @@ class Paragraphs:
         line[w.first] = True
         if n:
             line[np.searchsorted(w.start, np.flatnonzero(w.data == 10))] = True
-        # Natural paragraphs are lines.
-        opens = np.flatnonzero(line[:-1])
+        # Natural paragraphs: lines, and runs of lines of fewer than ``reach`` words as one.
+        lines = np.flatnonzero(line[:-1])
+        short = np.diff(np.append(lines, n)) < reach
+        joined = np.zeros(len(lines), bool)
+        joined[1:] = short[1:] & short[:-1]
+        head = np.zeros(n + 1, bool)
+        head[w.first] = True
+        opens = lines[~joined | head[lines]]
         closes = np.append(opens[1:], n)[: len(opens)]
         cut = np.zeros(n + 1, bool)
         cut[opens] = True
@@ -73,8 +81,11 @@ class Paragraphs:
                 size *= 2
             rest = 2 * reach + 1 - size
             least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
-            # A cut comes after the word that is the least.
-            cut[1:] |= pair == least[at - reach]
+            # A cut comes after the word that is the least, but leaves no remainder at either end of a natural
+            # paragraph, where words outside it would decide.
+            after = np.flatnonzero(pair == least[at - reach]) + 1
+            own = np.searchsorted(opens, after - 1, side="right") - 1
+            cut[after[(after - opens[own] >= reach + 2) & (closes[own] - after >= reach)]] = True
         self.starts = np.flatnonzero(cut[:-1])
         self.ends = np.append(self.starts[1:], n)[: len(self.starts)]
         self.doc = np.searchsorted(w.first, self.starts, side="right") - 1

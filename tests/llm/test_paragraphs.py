@@ -151,3 +151,23 @@ def test_what_goes_with_a_paragraph_stays_elsewhere(spark):
     rows = [(1, " ".join(p), 1, 2, "p"), (2, " ".join(q), 1, 2, "p"), (3, " ".join(prose(40, "x") + q[50:82] + prose(40, "y")), 1, 2, "p")]
     left = {x.doc_id: x.text for x in pg.without_repeats(spark.createDataFrame(rows, SCHEMA), natural=True).collect()}
     assert left[2] == "" and " ".join(q[60:72]) in left[3]
+
+
+@pytest.mark.parametrize("natural", [False, True])
+def test_passages_in_short_lines(spark, natural):
+    """Verse: 80 words in lines of 5 recur between other text and between other short lines."""
+    words = prose(80, "verse")
+    verse = "\n".join(" ".join(words[k : k + 5]) for k in range(0, 80, 5))
+    near = lambda seed: "\n".join(" ".join(prose(4, f"{seed}{k}")) for k in range(6))
+    rows = [(1, " ".join(prose(40, "l")) + "\n" + verse + "\n" + " ".join(prose(40, "m"))), (2, verse), (3, near("a") + "\n" + verse + "\n" + near("b"))]
+    t = spark.createDataFrame([(*r, 1, 2, "p") for r in rows], SCHEMA)
+    left = {x.doc_id: x.text for x in pg.without_repeats(t, natural=natural).collect()}
+    assert left[1] == rows[0][1] and left[2] == ""
+    kept = set(left[3].split())
+    assert len(kept & set(words)) < 40 and set(near("a").split()[:10]) <= kept
+
+
+def test_no_remainders():
+    for seed in range(20):
+        p = pg.Paragraphs(tw.words(*tw.buffers(pa.array(["\n".join(" ".join(prose(n, f"{seed}{n}")) for n in (30, 50, 9, 200))]))), REACH, 0)
+        assert (p.ends - p.starts).min() >= MIN
