@@ -31,7 +31,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, n_tokens, share): what the target weights take of the documents, by nested budgets."""
-    return mixing.mix(docs)
+    return mixing.mix(docs, least=0.25)
 
 
 STAGES = [

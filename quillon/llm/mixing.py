@@ -17,7 +17,9 @@ Edge cases. A null source is a source of its own. Null texts have 0 tokens, as h
 such documents are kept if their hash is below the threshold. Rows with a null doc_id have no
 hash and are left out. Repeated rows and others of equal hash are kept or left out together.
 Weights default to equal ones for all sources that have tokens; a named source without tokens is
-ignored; sources of no weight are left out. Empty tables give no rows.
+ignored; sources of no weight are left out. With equal weights one tiny source bounds all others; with
+``least``, as in the query and the pipeline, a null source and those of fewer tokens than that share of the
+mean named source's weigh what they have, so they are taken whole and bound no other. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -40,18 +42,30 @@ def place(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), doc_id.cast("string"))), 1, 15), 16, 10).cast("long")
 
 
-def thresholds(counted: DataFrame, weights: dict[str, float] | None, shares: tuple[float, ...]) -> DataFrame:
+def _by_availability(totals: DataFrame, least: float) -> DataFrame:
+    """(__source, total, w, full): 1 for each named source of at least ``least`` of the mean named source's tokens; else what it has of the least of those, 1 at most."""
+    named = totals.where("__source <> ''")
+    full = named.crossJoin(named.agg(F.avg("total").alias("mean"))).where(F.col("total") >= least * F.col("mean"))
+    unit = full.agg(F.min("total").alias("full_unit"))
+    # Without any named source the null source is all there is.
+    t = totals.crossJoin(unit).withColumn("full", (F.col("__source") != "") & (F.col("total") >= F.col("full_unit")))
+    return t.select("__source", "total", F.when(F.col("full") | F.col("full_unit").isNull(), 1.0).otherwise(F.least(F.lit(1.0), F.col("total") / F.col("full_unit"))).alias("w"), (F.col("full") | F.col("full_unit").isNull()).alias("full"))
+
+
+def thresholds(counted: DataFrame, weights: dict[str, float] | None, shares: tuple[float, ...], least: float = 0.0) -> DataFrame:
     """(__source, share, below): each source's documents of hash under ``below`` fit its budget. ``counted`` has __source, __hash, __tokens."""
     spark = counted.sparkSession
     shift = _BITS - _STEP
     counts = storage.keep(counted.groupBy("__source", F.shiftright("__hash", shift).alias("bucket")).agg(F.sum("__tokens").alias("t")), "histogram")
     totals = counts.groupBy("__source").agg(F.sum("t").alias("total")).where("total > 0")
-    if weights is None:
+    if weights is None and least:
+        totals = _by_availability(totals, least)
+    elif weights is None:
         totals = totals.withColumn("w", F.lit(1.0))
     else:
         given = spark.createDataFrame([(k, float(v)) for k, v in weights.items() if v > 0], "name string, w double")
         totals = totals.join(given, F.col("__source").eqNullSafe(F.col("name"))).drop("name")
-    limit = totals.agg(F.min(F.col("total") / F.col("w")).alias("unit"))
+    limit = (totals.where("full") if "full" in totals.columns else totals).agg(F.min(F.col("total") / F.col("w")).alias("unit"))
     budgets = totals.crossJoin(limit).select("__source", F.explode(F.array(*(F.struct(F.lit(float(s)).alias("share"), F.floor(F.col("w") * F.col("unit") * s + 1e-6).alias("budget")) for s in shares))).alias("b")).select("__source", "b.*")
     # pending: the budgets whose end is still sought, with what is spent before the bucket ``at`` of the last level.
     pending = storage.keep(budgets.select("__source", "share", "budget", F.lit(0).cast("long").alias("spent"), F.lit(None).cast("long").alias("at")), "budgets")
@@ -83,21 +97,21 @@ def _counted(docs: DataFrame, seed: str) -> DataFrame:
     return storage.keep(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("__id"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("__source"), place(F.col("doc_id"), seed).alias("__hash"), tokens(F.col("text")).alias("__tokens")), "counted")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, shares: tuple[float, ...] = (0.25, 0.5, 1.0), seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, shares: tuple[float, ...] = (0.25, 0.5, 1.0), seed: str = "mix", least: float = 0.0) -> DataFrame:
     """(doc_id, source, n_tokens, share): the documents kept under the largest share, with the least share that keeps each."""
     counted = _counted(docs, seed)
     named = None if weights is None else {f"={k}": v for k, v in weights.items()}
-    ends = thresholds(counted, named, shares).groupBy("__source").agg(F.array_sort(F.collect_list(F.struct("share", "below"))).alias("ends"))
+    ends = thresholds(counted, named, shares, least).groupBy("__source").agg(F.array_sort(F.collect_list(F.struct("share", "below"))).alias("ends"))
     fit = F.filter("ends", lambda e: F.col("__hash") < e["below"])
     kept = counted.join(ends, "__source").withColumn("fit", fit).where(F.size("fit") > 0)
     return kept.select(F.col("__id").alias("doc_id"), F.expr("CASE WHEN __source <> '' THEN substring(__source, 2) END").alias("source"), F.col("__tokens").alias("n_tokens"), F.col("fit")[0]["share"].alias("share"))
 
 
-def keep_mixed(docs: DataFrame, weights: dict[str, float] | None = None, share: float = 1.0, seed: str = "mix") -> DataFrame:
+def keep_mixed(docs: DataFrame, weights: dict[str, float] | None = None, share: float = 1.0, seed: str = "mix", least: float = 0.0) -> DataFrame:
     """The rows of ``docs`` that the mixture at one share keeps."""
     named = None if weights is None else {f"={k}": v for k, v in weights.items()}
     s, below = storage.fresh(docs, "__s", "__below")
-    ends = thresholds(_counted(docs, seed), named, (share,)).select(F.col("__source").alias(s), F.col("below").alias(below))
+    ends = thresholds(_counted(docs, seed), named, (share,), least).select(F.col("__source").alias(s), F.col("below").alias(below))
     key = F.coalesce(F.concat(F.lit("="), docs["source"]), F.lit(""))
     own = storage.same_columns(docs)
     return docs.join(ends, key == F.col(s)).where(place(F.col("doc_id"), seed) < F.col(below)).select(own)

@@ -19,7 +19,7 @@ def op1_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixing.mix(_table(spark, sf_dir, "documents"), least=0.25)
 
 
 def op3_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,3 +65,20 @@ def test_empty(spark):
     assert mixing.mix(t).count() == 0 and mixing.keep_mixed(t).count() == 0
     t = spark.createDataFrame([(1, None, None), (2, "", "a")], SCHEMA)
     assert mixing.mix(t).count() == 0
+
+
+def test_tiny_sources_bound_no_other(spark, tmp_path):
+    """A null source and one of two words, beside two sources of 300 documents, through the registered query."""
+    from quillon.llm import queries
+
+    r = [(i, "w " * 20, "ab"[i % 2]) for i in range(600)] + [(1000, "x y z", None), (1001, "x y", None), (1002, "only one", "c")]
+    spark.createDataFrame(r, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op2_mixing(spark, str(tmp_path)).collect()
+    assert {x.doc_id for x in out} == {i for i, *_ in r}
+    half = {s: sum(x.n_tokens for x in out if x.source == s and x.share <= 0.5) for s in "ab"}
+    assert all(2900 <= n <= 3000 for n in half.values())
+    # Without a floor the tiny source bounds all.
+    assert sum(x.n_tokens for x in mixing.mix(spark.createDataFrame(r, SCHEMA)).collect()) <= 3 * 4
+    none = spark.createDataFrame([(i, "w w", None) for i in range(50)], SCHEMA)
+    assert mixing.mix(none, least=0.25).count() == 50
+    assert mixing.mix(none.limit(0), least=0.25).count() == 0
