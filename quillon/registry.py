@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import functools
+import io
 import os
-import tempfile
 import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon import storage
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _shipped: set[str] = set()
@@ -22,14 +24,19 @@ def ship(spark: SparkSession) -> None:
         return
     _shipped.add(app)
     here = os.path.dirname(os.path.abspath(__file__))
-    folder = tempfile.mkdtemp(prefix="quillon-ship-")
-    path = os.path.join(folder, "quillon.zip")
-    with zipfile.ZipFile(path, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for at, _, names in os.walk(here):
             for name in names:
                 if not name.endswith(".pyc"):
                     full = os.path.join(at, name)
                     z.write(full, os.path.relpath(full, os.path.dirname(here)))
+    # The archive lies in the shared folder, like the tables.
+    path = f"{storage.own_dir(spark)}-package/quillon.zip"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+    out.write(packed.getvalue())
+    out.close()
     spark.sparkContext.addPyFile(path)
 
 
