@@ -7,10 +7,11 @@ looked up by a rolling hash at every word of every document; each hit names the
 the item would lie, and there Myers' algorithm (bit vectors of any length, free ends in the
 text) gives the least edit distance and where the match ends. The search is exact for this
 distance, over whole texts, and reads the documents once without a shuffle: the pieces are
-broadcast, in parts of at most ``most_pieces``, with one pass over each batch for each part.
+broadcast, in parts of about ``most_pieces``. The driver compiles and a worker holds one part at a time,
+with one pass over each batch for each part.
 
-Edge cases. Items of fewer than ``min_words`` words say too little to accuse a document and are
-left out, as are null ids and texts. Items that repeat are each reported; repeated rows of a document
+Edge cases. Items of few words have a budget of no edits and are found where they stand as they are; those
+without words, and null ids and texts, are left out. ``min_words``, 1 unless it is set, leaves shorter items out. Items that repeat are each reported; repeated rows of a document
 are each searched. Null and empty documents match nothing. Two matches of an item in a document
 count once, with the least distance and then the first place. An empty benchmark matches nothing.
 """
@@ -23,7 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quillon.llm import storage
 from quillon.llm import textwords as tw
 
 U64 = np.uint64
@@ -116,40 +119,47 @@ class Pieces:
         return [(doc, k, *found) for (doc, k), found in best.items()]
 
 
-def compiled(benchmark: DataFrame, rate: float, min_words: int, most_pieces: int) -> list[Pieces]:
-    """The benchmark's items as pieces, in parts; it is read to the driver part by part."""
-    out: list[Pieces] = []
+def compiled(benchmark: DataFrame, rate: float, min_words: int, most_pieces: int) -> Iterator[Pieces]:
+    """The benchmark's items as pieces, part by part, as the driver reads them."""
     ids: list[int] = []
     items: list[np.ndarray] = []
+    pieces = 0
     for row in benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), "text").toLocalIterator():
         words = tw.words(*tw.buffers(pa.array([row[1]]))).hash
-        if len(words) < min_words:
+        if len(words) < max(1, min_words):
             continue
         ids.append(row[0])
         items.append(words)
-        if sum(budget(len(x), rate) + 1 for x in items) >= most_pieces:
-            out.append(Pieces(ids, items, rate))
-            ids, items = [], []
-    return [*out, Pieces(ids, items, rate)] if ids else out
+        pieces += budget(len(words), rate) + 1
+        if pieces >= most_pieces:
+            yield Pieces(ids, items, rate)
+            ids, items, pieces = [], [], 0
+    if ids:
+        yield Pieces(ids, items, rate)
 
 
 def _search(parts: list, texts: pa.Array) -> tuple[list[int], list[int], list[int], list[int], list[int]]:
     rows, items, distances, starts, ends = [], [], [], [], []
-    for at, w in tw.split(texts):
-        for part in parts:
-            for doc, k, distance, start, end in part.value.search(w):
+    for part in storage.each(parts):
+        for at, w in tw.split(texts):
+            for doc, k, distance, start, end in part.search(w):
                 rows.append(at + doc)
-                items.append(part.value.ids[k])
+                items.append(part.ids[k])
                 distances.append(distance)
                 starts.append(start)
                 ends.append(end)
     return rows, items, distances, starts, ends
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, min_words: int = 8, most_pieces: int = 500_000) -> DataFrame:
-    """(doc_id, item_id, distance, start_word, end_word): the test items that each document holds within the budget."""
+def _sent(docs: DataFrame, benchmark: DataFrame, rate: float, min_words: int, most_pieces: int) -> list:
     spark = docs.sparkSession
-    parts = [spark.sparkContext.broadcast(p) for p in compiled(benchmark, rate, min_words, most_pieces)]
+    storage.lean(spark)
+    return [spark.sparkContext.broadcast(p) for p in compiled(benchmark, rate, min_words, most_pieces)]
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, min_words: int = 1, most_pieces: int = 500_000) -> DataFrame:
+    """(doc_id, item_id, distance, start_word, end_word): the test items that each document holds within the budget."""
+    parts = _sent(docs, benchmark, rate, min_words, most_pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,15 +169,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, min_w
     return docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, distance long, start_word long, end_word long")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, min_words: int = 8, most_pieces: int = 500_000) -> DataFrame:
-    """``docs`` without the documents that hold a test item; one pass, no join, nothing else changed."""
-    spark = docs.sparkSession
-    parts = [spark.sparkContext.broadcast(p) for p in compiled(benchmark, rate, min_words, most_pieces)]
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, min_words: int = 1, most_pieces: int = 500_000) -> DataFrame:
+    """``docs`` without the documents that hold a test item; one pass over the texts, no join, nothing else changed."""
+    parts = _sent(docs, benchmark, rate, min_words, most_pieces)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            clean = np.ones(batch.num_rows, bool)
-            clean[_search(parts, batch.column("text"))[0]] = False
-            yield batch.filter(pa.array(clean))
+    @F.arrow_udf(T.BooleanType())
+    def clean(texts: pa.Array) -> pa.Array:
+        out = np.ones(len(texts), bool)
+        out[_search(parts, texts)[0]] = False
+        return pa.array(out)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(clean("text"))

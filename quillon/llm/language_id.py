@@ -9,12 +9,14 @@ text. If the second best loss is within ``margin`` of the best (as shares of the
 the text is flagged as ambiguous.
 
 Training uses a bounded sample: at most ``train_docs`` documents of each language, those of least hash
-of their doc_id, one in five of them held out for the weights. All texts are then scored whole, in one
+of their doc_id, one in five of them held out for the weights. Only their trigram counts, 2**BUCKET_BITS a text at most, come to the driver. All texts are then scored whole, in one
 pass and without a shuffle; the classifiers (2**BUCKET_BITS rows of a few floats) are broadcast.
 
 Edge cases. Null and blank texts, and any text if there are no labelled languages, get a null prediction
 and count as ambiguous. With one language all other texts are of that one. Rows with a null language are
-scored, not trained on. Repeated rows are each scored. Empty tables give no rows.
+scored, not trained on. Repeated rows are each scored; of rows of one doc_id and language with different texts the least text
+is trained on. Ties of hashes go to the smaller doc_id, equal losses to the language that comes first. With fewer than ten training texts none is
+held out and all bits weigh the same. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import storage
@@ -96,19 +98,28 @@ class Coder:
         return best, gap / self.weight.sum()
 
 
+def counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, value) of the texts' cells: each bucket's share of the text's trigrams, in the order of rows and buckets."""
+    data, offsets = tw.buffers(texts)
+    bucket, first = features(data, offsets)
+    size = np.diff(first)
+    cell, count = np.unique(np.repeat(np.arange(len(size)), size) << BUCKET_BITS | bucket, return_counts=True)
+    row = cell >> BUCKET_BITS
+    return row, cell & ((1 << BUCKET_BITS) - 1), count / np.maximum(size, 1)[row]
+
+
 def fit(texts: list[str], langs: list[str], epochs: int = 30, rate: float = 2.0) -> Coder | None:
-    """Trains the bits' classifiers by gradient steps on normalised counts; one text in five sets the weights."""
+    """As :func:`fit_cells`, from the texts themselves."""
+    return fit_cells(*counts(pa.array(texts, pa.string())), langs, epochs, rate)
+
+
+def fit_cells(row: np.ndarray, column: np.ndarray, value: np.ndarray, langs: list[str], epochs: int = 30, rate: float = 2.0) -> Coder | None:
+    """Trains the bits' classifiers by gradient steps on the counts; one text in five sets the weights."""
     names = sorted(set(langs))
     if not names:
         return None
     code = codewords(len(names))
-    data, offsets = tw.buffers(pa.array(texts, pa.string()))
-    bucket, first = features(data, offsets)
-    n, width = len(texts), 1 << BUCKET_BITS
-    doc = np.repeat(np.arange(n), np.diff(first))
-    cell, count = np.unique(doc * width + bucket, return_counts=True)
-    row, column = cell // width, cell % width
-    value = count / np.maximum(np.diff(first), 1)[row]
+    n, width = len(langs), 1 << BUCKET_BITS
     target = code[[names.index(x) for x in langs]]
     held = np.arange(n) % 5 == 4
     if n < 10:
@@ -119,18 +130,20 @@ def fit(texts: list[str], langs: list[str], epochs: int = 30, rate: float = 2.0)
     table, bias = np.zeros((width, code.shape[1])), np.zeros(code.shape[1])
     square = np.full(width, 1e-8)
     np.add.at(square, column_t, value_t**2)
-    scale = (rate / np.sqrt(square))[:, None]
+    scale = rate / np.sqrt(square)
+
     def apply(r: np.ndarray, c: np.ndarray, v: np.ndarray) -> np.ndarray:
         out = np.empty((n, code.shape[1]))
         for b in range(code.shape[1]):
             out[:, b] = np.bincount(r, v * table[c, b], minlength=n)
         return out + bias
+
     for _ in range(epochs):
         f = apply(row_t, column_t, value_t)
         g = -target / (1 + np.exp(np.clip(target * f, -30, 30))) * train[:, None]
         for b in range(code.shape[1]):
             step = np.bincount(column_t, value_t * g[row_t, b], minlength=width)
-            table[:, b] -= scale[:, 0] * step / np.sqrt(max(1, train.sum()))
+            table[:, b] -= scale * step / np.sqrt(max(1, train.sum()))
         bias -= 0.1 * g.sum(axis=0) / max(1, train.sum())
     if held.any():
         f = apply(row, column, value)
@@ -142,11 +155,27 @@ def fit(texts: list[str], langs: list[str], epochs: int = 30, rate: float = 2.0)
 
 def train(docs: DataFrame, train_docs: int = 400) -> Coder | None:
     """Fits the classifiers on the bounded sample of ``docs``."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL AND trim(text) <> ''").select("doc_id", "lang").distinct().withColumn("r", rank).where(F.col("r") <= train_docs).select("doc_id", "lang")
-    rows = docs.select("doc_id", "lang", "text").join(storage.keep(chosen, "chosen"), ["doc_id", "lang"]).orderBy(F.xxhash64("doc_id"), "doc_id").dropDuplicates(["doc_id", "lang"]).orderBy(F.xxhash64("doc_id"), "doc_id")
-    table = rows.select("lang", "text").toArrow()
-    return fit(table.column("text").to_pylist(), table.column("lang").to_pylist())
+    storage.lean(docs.sparkSession)
+    texts = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL AND trim(text) <> ''").select("doc_id", "lang", "text")
+    ids = storage.keep(texts.select("doc_id", "lang").distinct(), "ids")
+    chosen = storage.keep(storage.least_by_hash(ids, "lang", "doc_id", train_docs), "chosen")
+    sample = texts.join(chosen.select("doc_id", "lang"), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, bucket, value = counts(batch.column(2))
+            ends = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, pa.array(bucket.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(value))], names=["doc_id", "lang", "bucket", "value"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    rows = storage.keep(sample.select("doc_id", "lang", "text").mapInArrow(run, f"doc_id {kind}, lang string, bucket array<int>, value array<double>"), "counts")
+    table = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").toArrow()
+    storage.drop(ids, chosen, rows)
+    if not table.num_rows:
+        return None
+    bucket, value = table.column("bucket").combine_chunks(), table.column("value").combine_chunks()
+    row = np.repeat(np.arange(table.num_rows), np.diff(bucket.offsets.to_numpy()))
+    return fit_cells(row, bucket.flatten().to_numpy().astype(np.int64), value.flatten().to_numpy(), table.column("lang").to_pylist())
 
 
 def identify(docs: DataFrame, train_docs: int = 400, margin: float = 0.02) -> DataFrame:

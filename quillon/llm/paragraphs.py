@@ -8,14 +8,20 @@ it occurs. With ``natural``, as in the query and the pipeline, natural paragraph
 compared whole too: a few changed words leave most of a paragraph's trigrams as they are, but few of
 its pieces'. Each paragraph's set of word trigrams (of all its words where there are fewer) gets MinHash values;
 they are banded so that pairs at the similarity threshold collide with the wanted recall
-(:func:`tune_bands`). Equal paragraphs share an id from the start, so copies by the thousand
-cost one candidate; colliding ids are joined, and each pair is verified by exact Jaccard of the
-trigram sets. Verified pairs form components; of each component the first paragraph, by doc_id
-and position, stays and the others are removed.
+(:func:`tune_bands`). Equal paragraphs share an id from the start, so copies by the thousand cost one candidate.
+
+One aggregation over band keys and ids says which keys several paragraphs share, with partial minima and maxima, so
+no group is gathered; only what a sieve of those keys lets through is read again. Of each band, all are first compared with
+the least id by exact Jaccard of the trigram sets, and components are formed. Only those that this leaves outside the
+least one's component are then compared with the rest of their band that is in another component, hot bands in salted parts. So a
+template with a million variants costs a million comparisons, and no link between different paragraphs that share a band is lost.
+Verified pairs form components; of each component the first paragraph, by doc_id and position, stays and later ones are repeats.
+Repeats are removed where they stand in runs of ``min_run`` words at least: a stock line of a few words is no passage.
 
 Edge cases. A paragraph of fewer than ``min_words`` words, which stands alone between longer lines, is never removed. Null and empty texts
-have no paragraphs. Rows with a null doc_id take no part. Repeated rows of one doc_id are the same
-paragraphs, not repeats. Empty tables give no rows. Other columns are kept as they are.
+have no paragraphs. Rows with a null doc_id take no part. Repeated rows of one doc_id are the same paragraphs, not repeats; rows of
+one doc_id with different texts are different documents, ordered by their texts' hashes. Ties in doc_id and position can't
+occur otherwise. Empty tables give no rows. Other columns are kept as they are, whatever they are called.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +51,14 @@ def tune_bands(threshold: float, recall: float, most_bands: int) -> tuple[int, i
     return best
 
 
+def spans(w: tw.Words, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the words from each start to its end."""
+    total = np.zeros(len(w.hash) + 1, U64)
+    tw._tables.need(len(total) + 1)
+    np.cumsum(w.hash * tw._tables.up[: len(w.hash)], out=total[1:])
+    return tw.mix((total[ends] - total[starts]) * tw._tables.down[starts] + (ends - starts).astype(U64))
+
+
 class Paragraphs:
     """The paragraphs of a run of documents: word ranges, their documents, positions within them, and byte ranges."""
 
@@ -105,10 +119,24 @@ class Paragraphs:
 
     def ids(self) -> np.ndarray:
         """A hash of each paragraph's words in their order."""
-        total = np.zeros(len(self.words.hash) + 1, U64)
-        tw._tables.need(len(total) + 1)
-        np.cumsum(self.words.hash * tw._tables.up[: len(self.words.hash)], out=total[1:])
-        return tw.mix((total[self.ends] - total[self.starts]) * tw._tables.down[self.starts] + (self.ends - self.starts).astype(U64))
+        return spans(self.words, self.starts, self.ends)
+
+    def texts(self) -> np.ndarray:
+        """For each paragraph a hash of all words of its document."""
+        return spans(self.words, self.words.first[:-1], self.words.first[1:])[self.doc]
+
+    def sets(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct trigram hashes of the chosen paragraphs in rising order, one after another, and their offsets."""
+        grams, first = self.shingles()
+        count = np.diff(first)[chosen]
+        own = np.repeat(np.arange(len(chosen)), count)
+        at = np.arange(len(own)) + np.repeat(first[chosen] - np.concatenate([[0], np.cumsum(count)[:-1]]) if len(chosen) else 0, count)
+        g = grams[at.astype(np.int64)]
+        order = np.lexsort((g, own))
+        g, own = g[order], own[order]
+        new = np.ones(len(g), bool)
+        new[1:] = (g[1:] != g[:-1]) | (own[1:] != own[:-1])
+        return g[new], np.concatenate([[0], np.cumsum(np.bincount(own[new], minlength=len(chosen)))])
 
     def shingles(self) -> tuple[np.ndarray, np.ndarray]:
         """Trigram hashes of all paragraphs, one after another, and their offsets."""
@@ -133,53 +161,81 @@ def _batches(docs: DataFrame):
     return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
 
 
-def occurrences(docs: DataFrame, reach: int, min_words: int, natural: bool = False) -> DataFrame:
-    """(pid, doc_id, position, pieces): each paragraph of each document by the id of its words."""
+def _bands(p: Paragraphs, chosen: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """The band keys of the chosen paragraphs, a column a band."""
+    mins = p.minhashes(bands * rows)[chosen].astype(U64)
+    out = np.empty((len(chosen), bands), U64)
+    for b in range(bands):
+        key = np.full(len(chosen), U64(b + 1))
+        for r in range(rows):
+            key = tw.mix(key * U64(0x9E3779B97F4A7C15) + mins[:, b * rows + r])
+        out[:, b] = key
+    return out
+
+
+def keys_of(docs: DataFrame, reach: int, min_words: int, bands: int, rows: int, natural: bool = False) -> DataFrame:
+    """(key, value): each band key of each paragraph with the paragraph's id, and each id with a hash of where it stands.
+
+    A key with two values is shared by two paragraphs, or an id by two places. The same key twice in a batch is sent twice at most.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, w in tw.split(batch.column(1)):
                 p = Paragraphs(w, reach, min_words, natural)
-                yield pa.RecordBatch.from_arrays([pa.array(p.ids().view(np.int64)), batch.column(0).take(pa.array(at + p.doc)), pa.array(p.position), pa.array(p.pieces)], names=["pid", "doc_id", "position", "pieces"])
-
-    return _batches(docs).mapInArrow(run, "pid long, doc_id long, position long, pieces long")
-
-
-def bands_of(docs: DataFrame, reach: int, min_words: int, bands: int, rows: int, natural: bool = False) -> DataFrame:
-    """(band, pid): the band keys of each paragraph; the same key twice in a batch is sent once."""
+                ids = p.ids()
+                doc = batch.column(0).take(pa.array(at + p.doc)).to_numpy().view(U64)
+                place = tw.mix(tw.mix(doc + U64(1)) ^ p.texts()) + p.position.astype(U64)
+                order = np.lexsort((place, ids))
+                first = np.ones(len(ids), bool)
+                first[1:] = ids[order[1:]] != ids[order[:-1]]
+                last = np.append(first[1:], True)[: len(ids)]
+                pid, low = ids[order[first]], place[order[first]]
+                more = place[order[last]] != low
+                own = _bands(p, order[first], bands, rows)
+                key = np.concatenate([own.T.ravel(), pid, pid[more]])
+                value = np.concatenate([np.tile(pid, bands), low, place[order[last]][more]])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(value.view(np.int64))], names=["key", "value"])
+
+    return _batches(docs).mapInArrow(run, "key long, value long")
+
+
+def candidates(docs: DataFrame, reach: int, min_words: int, bands: int, rows: int, shared, natural: bool = False) -> DataFrame:
+    """(pid, bands, grams): the paragraphs of which the sieve ``shared`` lets band keys through, with those keys and the trigram set; once a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, w in tw.split(batch.column(1)):
                 p = Paragraphs(w, reach, min_words, natural)
-                pid, first = np.unique(p.ids(), return_index=True)
-                mins = p.minhashes(bands * rows)[first].astype(U64)
-                for b in range(bands):
-                    key = np.full(len(pid), U64(b + 1))
-                    for r in range(rows):
-                        key = tw.mix(key * U64(0x9E3779B97F4A7C15) + mins[:, b * rows + r])
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(pid.view(np.int64))], names=["band", "pid"])
+                pid, at = np.unique(p.ids(), return_index=True)
+                own = _bands(p, at, bands, rows)
+                through = shared.value.has(own.ravel()).reshape(own.shape)
+                use = through.any(axis=1)
+                if not use.any():
+                    continue
+                grams, first = p.sets(at[use])
+                ends = np.concatenate([[0], np.cumsum(through[use].sum(axis=1))])
+                lists = [pa.ListArray.from_arrays(pa.array(e.astype(np.int32)), pa.array(x.view(np.int64))) for e, x in ((ends, own[use][through[use]]), (first, grams))]
+                yield pa.RecordBatch.from_arrays([pa.array(pid[use].view(np.int64)), *lists], names=["pid", "bands", "grams"])
 
-    return _batches(docs).mapInArrow(run, "band long, pid long")
+    return _batches(docs).mapInArrow(run, "pid long, bands array<long>, grams array<long>")
 
 
-def contents(docs: DataFrame, reach: int, min_words: int, wanted, natural: bool = False) -> DataFrame:
-    """(pid, grams): the trigram hashes of each paragraph that the sieve ``wanted`` lets through, once a batch."""
+def occurrences(docs: DataFrame, reach: int, min_words: int, wanted, natural: bool = False) -> DataFrame:
+    """(pid, doc_id, txt, position, pieces, words) of the paragraphs whose ids the sieve ``wanted`` lets through; txt is a hash of the document's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, w in tw.split(batch.column(1)):
+            for at, w in tw.split(batch.column(1)):
                 p = Paragraphs(w, reach, min_words, natural)
-                grams, first = p.shingles()
-                pid, at = np.unique(p.ids(), return_index=True)
-                use = wanted.value.has(pid)
-                pid, at = pid[use], at[use]
-                count = np.diff(first)[at]
-                ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
-                index = np.arange(ends[-1]) + np.repeat(first[at] - ends[:-1], count)
-                yield pa.RecordBatch.from_arrays([pa.array(pid.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array((grams[index] >> U64(32)).astype(np.uint32).view(np.int32)))], names=["pid", "grams"])
+                ids = p.ids()
+                use = np.flatnonzero(wanted.value.has(ids))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[use].view(np.int64)), batch.column(0).take(pa.array(at + p.doc[use])), pa.array(p.texts()[use].view(np.int64)), pa.array(p.position[use]), pa.array(p.pieces[use]), pa.array((p.ends - p.starts)[use])],
+                    names=["pid", "doc_id", "txt", "position", "pieces", "words"],
+                )
 
-    return _batches(docs).mapInArrow(run, "pid long, grams array<int>")
+    return _batches(docs).mapInArrow(run, "pid long, doc_id long, txt long, position long, pieces long, words long")
 
 
 def _through(some) -> Callable:
@@ -192,64 +248,132 @@ def _through(some) -> Callable:
     return may
 
 
+_PLACE = ("doc_id", "txt", "position")
+
+
 def _later(placed: DataFrame) -> DataFrame:
-    """The rows of ``placed`` after the first of their group, which is ``k``; only rows of groups of several are moved."""
-    place = F.struct("doc_id", "position", "pieces")
-    kept = placed.groupBy("grp").agg(F.min(place).alias("k"), F.max(F.struct("doc_id", "position")).alias("last")).where(F.struct("k.doc_id", "k.position") < F.col("last"))
-    kept = storage.keep(kept.select("grp", "k"), "kept")
-    return placed.where(_through(sieve.of(kept, "grp"))("grp")).join(kept, "grp").where(F.struct("doc_id", "position") > F.struct("k.doc_id", "k.position"))
+    """The rows of ``placed`` after the first of their group, which is ``k``; only groups in several places are joined."""
+    place = F.struct(*_PLACE, "pieces")
+    kept = placed.groupBy("grp").agg(F.min(place).alias("k"), F.max(F.struct(*_PLACE)).alias("last")).where(F.struct(*(f"k.{c}" for c in _PLACE)) < F.col("last"))
+    return placed.join(kept.select("grp", "k"), "grp").where(F.struct(*_PLACE) > F.struct(*(f"k.{c}" for c in _PLACE)))
 
 
-def repeats(docs: DataFrame, threshold: float = 0.8, recall: float = 0.95, most_bands: int = 5, reach: int = 8, min_words: int = 8, natural: bool = False) -> DataFrame:
+def similar(pairs: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of which the exact Jaccard of the trigram sets reaches the threshold."""
+    both = pairs.join(grams.select(F.col("pid").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("pid").alias("b"), F.col("grams").alias("y")), "b")
+    both = both.where(F.least(F.size("x"), F.size("y")) >= threshold * F.greatest(F.size("x"), F.size("y")))
+    common = F.size(F.array_intersect("x", "y"))
+    return both.where(common >= threshold * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+#: Members of a band that are compared in one part with those that its first comparison left over.
+SALTED = 4096
+
+
+def linked(members: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
+    """(node, root): components of the paragraphs (band, pid) under the similar pairs that share a band. ``grams`` has each pid's set."""
+    lows = members.groupBy("band").agg(F.min("pid").alias("low"), F.count("*").alias("n"))
+    members = storage.keep(members.join(lows, "band"), "members")
+    star = storage.keep(similar(members.where("pid <> low").select(F.col("low").alias("a"), F.col("pid").alias("b")).distinct(), grams, threshold), "star")
+    roots = storage.keep(storage.components(star), "roots")
+    # A band of two is done; in others, what isn't in the least one's component meets the rest that is in another.
+    root = lambda of: roots.select(F.col("node").alias(of), F.col("root").alias(f"{of}_root"))
+    rest = members.where("n > 2").join(root("pid"), "pid", "left").join(root("low"), "low", "left")
+    rest = rest.select("band", "pid", "low", "n", F.coalesce("pid_root", "pid").alias("root"), F.coalesce("low_root", "low").alias("low_root"))
+    rest = storage.keep(rest, "rest")
+    parts = F.ceil(F.col("n") / SALTED).cast("int")
+    out = rest.where("root <> low_root").select("band", F.pmod(F.xxhash64("pid"), parts.cast("long")).cast("int").alias("part"), F.col("pid").alias("a"), F.col("root").alias("a_root"))
+    met = rest.where("pid <> low").select("band", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("pid").alias("b"), F.col("root").alias("b_root"), (F.col("root") == F.col("low_root")).alias("inside"))
+    pairs = out.join(met, ["band", "part"]).where("a_root <> b_root AND (inside OR a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = storage.keep(similar(storage.keep(pairs, "pairs"), grams, threshold), "more")
+    return storage.keep(storage.components(star.union(more)), "roots") if more.take(1) else roots
+
+
+def _marks(docs: DataFrame, threshold: float, recall: float, most_bands: int, reach: int, min_words: int, min_run: int, natural: bool) -> DataFrame:
+    """(doc_id, txt, position, kept_doc, kept_position) of the pieces to remove."""
+    storage.lean(docs.sparkSession)
+    bands, rows = tune_bands(threshold, recall, most_bands)
+    shared = keys_of(docs, reach, min_words, bands, rows, natural).groupBy("key").agg(F.min("value").alias("low"), F.max("value").alias("high")).where("low <> high")
+    shared = storage.keep(shared.select("key"), "shared")
+    sieved = sieve.of(shared, "key")
+    found = storage.keep(candidates(docs, reach, min_words, bands, rows, sieved, natural).dropDuplicates(["pid"]), "candidates")
+    sieved.destroy()
+    # The sieve lets some keys through by mistake, which have one paragraph.
+    members = found.select(F.explode("bands").alias("band"), "pid").join(shared.withColumnRenamed("key", "band"), "band", "left_semi")
+    roots = linked(members, found.select("pid", "grams"), threshold)
+    wanted = sieve.of(shared.union(roots.select("node")).union(roots.select("root")), "key")
+    own = occurrences(docs, reach, min_words, wanted, natural).join(roots.withColumnRenamed("node", "pid"), "pid", "left")
+    placed = storage.keep(own.select(F.coalesce("root", "pid").alias("grp"), *_PLACE, "pieces", "words"), "placed")
+    wanted.destroy()
+    storage.drop(found, shared)
+
+    def result(t: DataFrame, step) -> DataFrame:
+        t = t.withColumn("at", F.col("position") + step).withColumn("share", F.col("words") / F.greatest("pieces", F.lit(1)))
+        place = F.struct(F.col("k.doc_id").alias("kept_doc"), (F.col("k.position") + F.least(step, F.greatest(F.lit(1), "k.pieces") - 1)).alias("kept_position"))
+        return t.groupBy("doc_id", "txt", F.col("at").alias("position")).agg(F.max("share").alias("words"), F.min(place).alias("kept"))
+
+    if natural:
+        whole = _later(placed.where("pieces > 0")).withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+        whole = storage.keep(result(whole, F.col("step")), "whole")
+        # What stands in a paragraph that goes keeps no other piece from staying.
+        left = placed.where("pieces < 2").join(whole.select(*_PLACE), [*_PLACE], "left_anti")
+        marks = whole.union(result(_later(storage.keep(left.select("grp", *_PLACE, "pieces", "words"), "left")), F.lit(0).cast("long")))
+    else:
+        marks = result(_later(placed), F.lit(0).cast("long"))
+    # Runs of neighbouring repeats, document by document.
+    by_doc = Window.partitionBy("doc_id", "txt")
+    runs = marks.withColumn("run", F.col("position") - F.row_number().over(by_doc.orderBy("position")))
+    runs = runs.withColumn("in_run", F.sum("words").over(Window.partitionBy("doc_id", "txt", "run"))).where(F.col("in_run") >= min_run - 1e-6)
+    return runs.select(*_PLACE, "kept.kept_doc", "kept.kept_position")
+
+
+def repeats(docs: DataFrame, threshold: float = 0.8, recall: float = 0.95, most_bands: int = 5, reach: int = 8, min_words: int = 8, min_run: int = 18, natural: bool = False) -> DataFrame:
     """(doc_id, position, duplicate_of, duplicate_position): each paragraph to remove, and the one of its component that stays.
 
     With ``natural``, natural paragraphs go whole where an earlier one is like them, and then pieces of what is left.
     """
-    bands, rows = tune_bands(threshold, recall, most_bands)
-    found = bands_of(docs, reach, min_words, bands, rows, natural).groupBy("band").agg(F.collect_set("pid").alias("pids")).where("size(pids) > 1")
-    found = storage.keep(found.select(F.array_sort("pids").alias("pids")).distinct(), "collisions")
-    pairs = storage.keep(found.select("pids", F.posexplode("pids").alias("i", "a")).select("a", F.explode(F.expr("slice(pids, i + 2, size(pids))")).alias("b")).distinct(), "pairs")
-    wanted = storage.keep(pairs.select(F.col("a").alias("pid")).union(pairs.select("b")).distinct(), "wanted")
-    grams = storage.keep(contents(docs, reach, min_words, sieve.of(wanted, "pid"), natural).join(wanted, "pid", "left_semi").dropDuplicates(["pid"]), "grams")
-    both = pairs.join(grams.select(F.col("pid").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("pid").alias("b"), F.col("grams").alias("y")), "b")
-    similar = both.where(F.size(F.array_intersect("x", "y")) >= threshold * F.size(F.array_union("x", "y"))).select("a", "b")
-    roots = storage.keep(storage.components(similar).withColumnRenamed("node", "pid"), "roots")
-    linked = _through(sieve.of(roots, "pid"))
-    own = occurrences(docs, reach, min_words, natural).withColumn("linked", linked("pid"))
-    own = storage.keep(own, "occurrences")
-    placed = own.where("NOT linked").select(F.col("pid").alias("grp"), "doc_id", "position", "pieces").union(own.where("linked").join(roots, "pid", "left").select(F.coalesce("root", "pid").alias("grp"), "doc_id", "position", "pieces"))
-    placed = storage.keep(placed, "placed")
-    storage.drop(own)
-    result = lambda t, step: t.select("doc_id", (F.col("position") + step).alias("position"), F.col("k.doc_id").alias("duplicate_of"), (F.col("k.position") + F.least(step, F.greatest(F.lit(1), "k.pieces") - 1)).alias("duplicate_position")).distinct()
-    if not natural:
-        return result(_later(placed), F.lit(0).cast("long"))
-    whole = _later(placed.where("pieces > 0")).withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
-    whole = storage.keep(result(whole, F.col("step")), "whole")
-    # What stands in a paragraph that goes keeps no other piece from staying.
-    left = storage.keep(placed.where("pieces < 2").join(whole.select("doc_id", "position"), ["doc_id", "position"], "left_anti").select("grp", "doc_id", "position", "pieces"), "left")
-    return whole.union(result(_later(left), F.lit(0).cast("long")))
-
-
-def without_repeats(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` with the repeated paragraphs cut out of their texts. A text of which nothing is left is empty; its row stays."""
-    reach = settings.get("reach", 8)
-    key, mark = storage.fresh(docs, "__id", "__gone")
-    gone = storage.keep(repeats(docs, **settings).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("position").alias(mark)), "gone")
-    columns, at = docs.columns, docs.columns.index("text")
+    marks = _marks(docs, threshold, recall, most_bands, reach, min_words, min_run, natural)
+    return marks.select("doc_id", "position", F.col("kept_doc").alias("duplicate_of"), F.col("kept_position").alias("duplicate_position")).distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t if not g else _cut(t, reach, set(g)) for t, g in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(columns))], names=columns)
 
-    # Only texts that may lose something are moved to where it says what.
-    some = sieve.of(gone, key)
+def without_repeats(docs: DataFrame, threshold: float = 0.8, recall: float = 0.95, most_bands: int = 5, reach: int = 8, min_words: int = 8, min_run: int = 18, natural: bool = False, length: str | None = None) -> DataFrame:
+    """``docs`` with the repeated paragraphs cut out of their texts. A text of which nothing is left is empty; its row stays.
+
+    A cut is of one doc_id and one text: another row of the doc_id that has another text loses only its own repeats.
+    Where there is a column ``length``, it follows the texts that were cut, in characters.
+    """
+    key, txt, own_txt, mark = storage.fresh(docs, "__id", "__txt", "__own", "__gone")
+    marks = _marks(docs, threshold, recall, most_bands, reach, min_words, min_run, natural)
+    gone = storage.keep(marks.groupBy(F.col("doc_id").alias(key), F.col("txt").alias(txt)).agg(F.collect_set("position").alias(mark)), "gone")
 
-    may_lose = _through(some)
-    own = storage.same_columns(docs)
-    touched = docs.where(may_lose("doc_id"))
-    joined = touched.join(gone, touched["doc_id"] == gone[key], "left").select(*own, mark)
-    return docs.where(~may_lose("doc_id")).union(joined.mapInArrow(run, docs.schema))
+    @F.arrow_udf(T.LongType())
+    def hashed(texts: pa.Array) -> pa.Array:
+        out = np.zeros(len(texts), U64)
+        for at, w in tw.split(texts):
+            out[at : at + len(w.first) - 1] = spans(w, w.first[:-1], w.first[1:])
+        return pa.array(out.view(np.int64))
+
+    @F.arrow_udf(T.StringType())
+    def cut(texts: pa.Array, positions: pa.Array) -> pa.Array:
+        return pa.array([t if not g or t is None else _cut(t, reach, set(g)) for t, g in zip(texts.to_pylist(), positions.to_pylist())], pa.string())
+
+    # Only texts that may lose something are moved to where it says what.
+    may_lose = _through(sieve.of(gone, key))
+    touched = docs.where(may_lose("doc_id")).withColumn(own_txt, hashed("text"))
+    joined = touched.join(gone, (touched["doc_id"].cast("long") == gone[key]) & (touched[own_txt] == gone[txt]), "left")
+    # What isn't cut has a null here; the cut text is made once, and measured.
+    less = storage.fresh(docs, "__less")[0]
+    joined = joined.withColumn(less, F.when(F.col(mark).isNotNull(), cut("text", mark)))
+    kinds = dict(docs.dtypes)
+
+    def column(c: str):
+        if c.lower() == "text":
+            return F.coalesce(less, "text").alias(c)
+        if length and c.lower() == length.lower():
+            return F.coalesce(F.length(less).cast(kinds[c]), F.col(c)).alias(c)
+        return F.col("`" + c.replace("`", "``") + "`")
+
+    return docs.where(~may_lose("doc_id")).union(joined.select([column(c) for c in docs.columns]))
 
 
 def _cut(text: str, reach: int, gone: set[int]) -> str:

@@ -10,7 +10,8 @@ fingerprints are sorted by Gray rank; runs of the order become leaves and, level
 nodes. A node holds the mask of bits on which all below it agree and their pattern. Two nodes
 differ by at least the bits in which their agreed patterns differ; a child only adds the bits
 that its parent hadn't settled. Once the accumulated differences pass the distance, the whole
-group is left out. The search is exact for the Hamming distance.
+group is left out. The search is exact for the Hamming distance. Pairs of nodes are taken in runs of bounded size, and those
+whose fingerprints are all in one component by then are left out, so a group of like fingerprints takes no more room than others.
 
 Edge cases. Null texts, and texts without any word, have no fingerprint and are in no group.
 A text whose words are all short uses all of its words. Equal texts are at distance 0. Rows
@@ -38,6 +39,8 @@ LEAF = 64
 FANOUT = 8
 #: Fingerprints of a group, about, beyond which groups are cut finer.
 MOST_GROUP = 1_000_000
+#: Pairs of nodes that are looked at together.
+MOST_PAIRS = 1 << 18
 
 
 def majority(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,58 +110,109 @@ class GrayIndex:
             every, some = np.bitwise_and.reduceat(every, cuts), np.bitwise_or.reduceat(some, cuts)
             self.levels.append((~(every ^ some), every))
             if len(every) == 1:
-                return
+                break
             size = FANOUT
+        self.tiles = np.append(self.codes, np.zeros(LEAF, U64))
 
     def near(self, distance: int) -> tuple[np.ndarray, np.ndarray]:
         """All pairs of positions (in the order given to the index) within ``distance``, each once."""
-        a = b = np.zeros(1, np.int64)
-        settled, gone = np.zeros(1, U64), np.zeros(1, np.int64)
-        for k in range(len(self.levels) - 1, -1, -1):
+        found = [*self.walk(distance), (np.zeros(0, np.int64),) * 2]
+        p, q = (np.concatenate(x) for x in zip(*found))
+        return self.order[p], self.order[q]
+
+    def walk(self, distance: int, root: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of places in Gray order within ``distance``, run by run, with at most MOST_PAIRS pairs of nodes looked at together.
+
+        With ``root``, which the caller keeps up to date, pairs of nodes that lie in one component are left out.
+        """
+        kids = np.arange(FANOUT)
+        one = np.zeros(1, np.int64)
+        todo = [(len(self.levels) - 1, one, one, one, np.zeros(1, U64))]
+        step, since = 64, 0
+        spans = None if root is None else self.spans(root)
+        while todo:
+            k, a, b, gone, settled = todo.pop()
             mask, pattern = self.levels[k]
             fresh = mask[a] & mask[b] & ~settled
             gone = gone + np.bitwise_count((pattern[a] ^ pattern[b]) & fresh)
             live = gone <= distance
+            if spans:
+                live &= apart(spans[k], a, b)
             a, b, gone, settled = a[live], b[live], gone[live], (settled | fresh)[live]
             if not k:
-                break
+                near = np.argsort(b - a, kind="stable")
+                a, b = a[near], b[near]
+                while len(a):
+                    yield self.leaves(a[:step], b[:step], distance)
+                    a, b, since = a[step:], b[step:], since + min(step, len(a)) * LEAF**2
+                    # New roots of the nodes are worth it after some comparisons for each fingerprint.
+                    if spans and since >= 4 * len(self.codes):
+                        spans, since = self.spans(root), 0
+                        live = apart(spans[0], a, b)
+                        a, b = a[live], b[live]
+                continue
             below = len(self.levels[k - 1][0])
-            kids = np.arange(FANOUT)
-            x = (a[:, None] * FANOUT + kids)[:, :, None]
-            y = (b[:, None] * FANOUT + kids)[:, None, :]
-            ok = (x <= y) & (x < below) & (y < below)
-            x, y = np.broadcast_arrays(x, y)
-            n = ok.reshape(len(a), -1).sum(axis=1)
-            a, b, gone, settled = x[ok], y[ok], np.repeat(gone, n), np.repeat(settled, n)
-        left, right = [], []
-        step = 256
-        padded = np.zeros(-(-len(self.codes) // LEAF) * LEAF, U64)
-        padded[: len(self.codes)] = self.codes
-        tiles = padded.reshape(-1, LEAF)
-        for i in range(0, len(a), step):
-            x, y = a[i : i + step], b[i : i + step]
-            hit = np.bitwise_count(tiles[x][:, :, None] ^ tiles[y][:, None, :]) <= distance
-            t, p, q = np.nonzero(hit)
-            p, q = x[t] * LEAF + p, y[t] * LEAF + q
-            ok = (p < q) & (q < len(self.codes))
-            left.append(p[ok])
-            right.append(q[ok])
-        p, q = np.concatenate([*left, np.zeros(0, np.int64)]), np.concatenate([*right, np.zeros(0, np.int64)])
-        return self.order[p], self.order[q]
-
-
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least position of each position's component under the pairs (a, b)."""
-    root = np.arange(n)
+            most = max(1, MOST_PAIRS // FANOUT**2)
+            # Neighbours in the order are the likeliest to be near: they come first.
+            first = np.argsort(b - a, kind="stable")
+            cuts = range(0, len(a), most)
+            for i in reversed(cuts):
+                take = first[i : i + most]
+                x = (a[take][:, None] * FANOUT + kids)[:, :, None]
+                y = (b[take][:, None] * FANOUT + kids)[:, None, :]
+                ok = (x <= y) & (x < below) & (y < below)
+                x, y = np.broadcast_arrays(x, y)
+                n = ok.reshape(len(take), -1).sum(axis=1)
+                todo.append((k - 1, x[ok], y[ok], np.repeat(gone[take], n), np.repeat(settled[take], n)))
+
+    def spans(self, root: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The least and the largest root below each node, level by level."""
+        low, high, out, size = root, root, [], LEAF
+        for _ in self.levels:
+            cuts = np.arange(0, len(low), size)
+            low, high = np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)
+            out.append((low, high))
+            size = FANOUT
+        return out
+
+    def leaves(self, a: np.ndarray, b: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of places within ``distance``, the first in the leaves a, the second in the leaves b."""
+        x, y = (z[:, None] * LEAF + np.arange(LEAF) for z in (a, b))
+        t, p, q = np.nonzero(np.bitwise_count(self.tiles[x][:, :, None] ^ self.tiles[y][:, None, :]) <= distance)
+        p, q = x[t, p], y[t, q]
+        ok = (p < q) & (q < len(self.codes))
+        return p[ok], q[ok]
+
+    def forest(self, distance: int) -> np.ndarray:
+        """The least position of each position's component under the pairs within ``distance``; pairs go as soon as they are joined."""
+        root = np.arange(len(self.codes))
+        for p, q in self.walk(distance, root):
+            if len(p):
+                forest(root, p, q)
+        # Places in Gray order, as positions in the order given: the least of each component.
+        least = np.full(len(root), len(root))
+        np.minimum.at(least, root, self.order)
+        out = np.empty(len(root), np.int64)
+        out[self.order] = least[root]
+        return out
+
+
+def apart(spans: tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the nodes a and b hold more than one component together, by the least and largest roots below each."""
+    low, high = spans
+    return (low[a] != high[a]) | (low[b] != high[b]) | (low[a] != low[b])
+
+
+def forest(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the components of ``root``, the least place of each, along the pairs (a, b)."""
     while len(a):
         low = np.minimum(root[a], root[b])
         np.minimum.at(root, root[a], low)
         np.minimum.at(root, root[b], low)
         while (root[root] != root).any():
-            root = root[root]
+            root[:] = root[root]
         live = root[a] != root[b]
         a, b = a[live], b[live]
-    return root
 
 
 def blocks(n: int) -> list[tuple[int, int]]:
@@ -191,8 +245,7 @@ def near_edges(prints: DataFrame, distance: int, agree: int = 1) -> DataFrame:
 
     def search(table: pa.Table) -> pa.Table:
         codes = table.column("fp").to_numpy().view(U64)
-        a, b = GrayIndex(codes).near(distance)
-        root = forest(len(codes), a, b)
+        root = GrayIndex(codes).forest(distance)
         moved = np.flatnonzero(root != np.arange(len(codes)))
         return pa.table({"a": codes[moved].view(np.int64), "b": codes[root[moved]].view(np.int64)})
 
@@ -204,6 +257,7 @@ def near_duplicates(docs: DataFrame, distance: int = 8, min_bytes: int = 5) -> D
 
     ``distance`` in the result is that between the two fingerprints; along a chain it can exceed the bound.
     """
+    storage.lean(docs.sparkSession)
     prints = storage.keep(fingerprints(docs, min_bytes).groupBy("doc_id").agg(F.min("fp").alias("fp")), "prints")
     edges = near_edges(prints.select("fp").distinct(), distance, agreeing(prints.count(), distance))
     roots = storage.components(edges).withColumnsRenamed({"node": "fp"})

@@ -1,50 +1,22 @@
-"""Tables in the shared folder, and connected components over them.
-
-Lineage is cut by writing a table to the folder that the cluster names in
-``spark.checkpoint.dir``, which every executor can read: a lost executor loses nothing that
-a later stage needs. Only where that setting is absent (tests, a laptop) a folder is made.
-"""
+"""Tables in the shared folder (see :mod:`quillon.storage`), and connected components over them."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_own: list[str] = []
-
+from quillon.storage import clear, drop, keep, shared_dir  # noqa: F401
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset, one of this process."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="quillon-"))
-        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-    return f"file://{_own[0]}"
+#: Bytes of a batch that goes to a Python worker: whole texts can be long, and a worker holds a batch several times over.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_DEFAULTS = ("67108864b", "67108864", "64MB", "64m", "-1", "-1b")
 
 
-def keep(df: DataFrame, name: str = "table") -> DataFrame:
-    """Writes ``df`` to the shared folder and returns the table as read from there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillon/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(*tables: DataFrame) -> None:
-    """Deletes tables made by :func:`keep` that nothing will read again."""
-    for df in tables:
-        jvm = df.sparkSession._jvm
-        for file in df.inputFiles()[:1]:
-            path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            if "/quillon/" in path.toString():
-                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def lean(spark: SparkSession) -> None:
+    """Lets the session's batches for Python workers have BATCH_BYTES, unless it has a bound of its own."""
+    if spark.conf.get(_BATCH) in _DEFAULTS:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -64,16 +36,39 @@ def same_columns(df: DataFrame) -> list:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def each(parts: list):
+    """The values of broadcasts one after another; where there are several, a worker lets each go before it loads the next."""
+    for part in parts:
+        yield part.value
+        if len(parts) > 1:
+            part.__dict__.pop("_value", None)
+
+
+def least_by_hash(rows: DataFrame, group: str, key: str, n: int) -> DataFrame:
+    """``rows`` with ``r``, the rank by hash of ``key`` within ``group``, of the n first of each group.
+
+    A histogram of the hashes' top bits says up to where the n lie, so no group, however large, is sorted in one task;
+    only the few rows up to there are ranked. ``rows`` is read twice.
+    """
+    top = F.shiftrightunsigned(F.xxhash64(key), 48).cast("int")
+    counts = rows.groupBy(group, top.alias("__top")).agg(F.count("*").alias("__n"))
+    running = F.sum("__n").over(Window.partitionBy(group).orderBy("__top").rowsBetween(Window.unboundedPreceding, -1))
+    ends = keep(counts.withColumn("__before", F.coalesce(running, F.lit(0))).where(F.col("__before") < n).groupBy(group).agg(F.max("__top").alias("__end")), "ends")
+    near = rows.join(ends, group).where(F.shiftrightunsigned(F.xxhash64(F.col(key)), 48).cast("int") <= F.col("__end")).drop("__end")
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(key), key))
+    return near.withColumn("r", rank).where(F.col("r") <= n)
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected ``edges`` (a, b): rows (node, root), root the least node, itself left out.
 
     Alternates the large-star and small-star steps, each an aggregation and a join, and keeps
-    each round's edges in the shared folder until a round changes nothing. Edges with a null end
-    and loops are ignored; repeated edges count once; no edges give no rows.
+    each round's edges in the shared folder until a round changes nothing, which takes about the logarithm of the
+    longest chain in rounds. Edges with a null end and loops are ignored; repeated edges count once; no edges give no rows.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now, before = keep(pairs, "edges"), None
-    for _ in range(most_rounds):
+    while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before or not mark[0]:
             break

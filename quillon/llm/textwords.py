@@ -1,7 +1,8 @@
 """Words of whole texts as numpy arrays: one pass over the Arrow buffers, no Python object a word.
 
 A word is a maximal run of ASCII letters, digits, underscores and non-ASCII bytes of the
-lower-cased UTF-8 text; all else separates. Null and empty texts have no words. Hashes are
+lower-cased UTF-8 text; all else separates. Of the scripts of East Asia that are written without spaces (code points
+U+3000 to U+9FFF) each character is a word. Null and empty texts have no words. Hashes are
 64-bit polynomial hashes of a word's bytes, finished with a mixer, so they depend on content
 alone: equal on every executor, in every batch and in every run.
 """
@@ -106,6 +107,15 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     opens[1:] &= ~inside[:-1] | edge[1:n]
     closes = inside.copy()
     closes[:-1] &= ~inside[1:] | edge[1:n]
+    # Lead bytes of U+3000 to U+9FFF: such a character opens a word, and what follows it opens one too.
+    alone = np.flatnonzero((data >= 0xE3) & (data <= 0xE9))
+    if len(alone):
+        opens[alone] = True
+        closes[np.minimum(alone + 2, n - 1)] = True
+        next_ = alone[alone + 3 < n] + 3
+        opens[next_[inside[next_]]] = True
+        before = alone[alone > 0] - 1
+        closes[before[inside[before]]] = True
     start = np.flatnonzero(opens)
     end = np.flatnonzero(closes) + 1
     total = np.zeros(n + 1, dtype=U64)

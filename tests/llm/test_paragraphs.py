@@ -65,7 +65,7 @@ def brute(rows, threshold=0.8):
 
 def test_against_brute_force(spark):
     rows = fixture()
-    got = {((r.doc_id, r.position), (r.duplicate_of, r.duplicate_position)) for r in pg.repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
+    got = {((r.doc_id, r.position), (r.duplicate_of, r.duplicate_position)) for r in pg.repeats(spark.createDataFrame(rows, SCHEMA), min_run=1).collect()}
     want = brute(rows)
     found = {g for g, _ in got}
     missed = {w for w, _ in want} - found
@@ -76,9 +76,9 @@ def test_texts_without_repeats(spark):
     rows = fixture()
     t = spark.createDataFrame(rows, SCHEMA)
     gone = {}
-    for r in pg.repeats(t).collect():
+    for r in pg.repeats(t, min_run=1).collect():
         gone.setdefault(r.doc_id, set()).add(r.position)
-    out = pg.without_repeats(t)
+    out = pg.without_repeats(t, min_run=1)
     assert out.columns == t.columns and out.count() == len(rows)
     for r in out.collect():
         texts = [x[1] for x in rows if x[0] == r.doc_id]
@@ -171,3 +171,76 @@ def test_no_remainders():
     for seed in range(20):
         p = pg.Paragraphs(tw.words(*tw.buffers(pa.array(["\n".join(" ".join(prose(n, f"{seed}{n}")) for n in (30, 50, 9, 200))]))), REACH, 0)
         assert (p.ends - p.starts).min() >= MIN
+
+
+def test_rows_of_one_document_with_other_texts_lose_only_their_own(spark):
+    p, a, b = (" ".join(prose(60, x)) for x in "pab")
+    t = spark.createDataFrame([(1, p, 1, 2, "p"), (2, p + "\n" + a, 1, 2, "p"), (2, b + "\n" + a, 1, 2, "p"), (3, b, 1, 2, "p")], SCHEMA)
+    left = {(r.doc_id, i): r.text.strip() for i, r in enumerate(pg.without_repeats(t, natural=True).orderBy("doc_id", "text").collect())}
+    texts = [x for (d, _), x in left.items() if d == 2]
+    # a stays in one of the two rows of document 2, b goes from document 3 and p from the first row of 2.
+    assert left[1, 0] == p and sum(x.count(a) for x in texts) == 1 and sum(x.count(b) for x in left.values()) == 1 and sum(x.count(p) for x in left.values()) == 1
+
+
+def test_short_runs_stay(spark):
+    line, passage = " ".join(prose(10, "l")), " ".join(prose(60, "q"))
+    rows = [(i, line + "\n" + " ".join(prose(80, f"d{i}")) + "\n" + (passage if i > 2 else ""), 1, 2, "p") for i in range(5)]
+    left = {r.doc_id: r.text for r in pg.without_repeats(spark.createDataFrame(rows, SCHEMA), natural=True).collect()}
+    assert all(line in x for x in left.values()) and sum(passage in x for x in left.values()) == 1
+    left = {r.doc_id: r.text for r in pg.without_repeats(spark.createDataFrame(rows, SCHEMA), natural=True, min_run=1).collect()}
+    assert sum(line in x for x in left.values()) == 1
+
+
+@pytest.mark.parametrize("salted", [4096, 3])
+def test_bands_lose_no_link(spark, monkeypatch, salted):
+    """Chains, cliques and strangers in one band have the components that all pairs give."""
+    monkeypatch.setattr(pg, "SALTED", salted)
+    r = random.Random(5)
+    sets = {}
+    for base in range(3):
+        own = list(range(base * 1000, base * 1000 + 40))
+        for k in range(12):
+            # Each step of the chain leaves one member and takes a new one.
+            own = [*own[1:], base * 1000 + 100 + k]
+            sets[len(sets) + 1] = sorted(own)
+    ids = list(sets)
+    r.shuffle(ids)
+    sets = {new: sets[old] for new, old in zip(ids, sorted(sets))}
+    grams = spark.createDataFrame(list(sets.items()), "pid long, grams array<long>")
+    members = spark.createDataFrame([(7, i) for i in sets] + [(8, 1), (8, 2)], "band long, pid long")
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in combinations(sorted(sets), 2):
+        x, y = set(sets[a]), set(sets[b])
+        if len(x & y) >= 0.8 * len(x | y):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    want = {i: find(i) for i in sets if find(i) != i}
+    assert want and {x.node: x.root for x in pg.linked(members, grams, 0.8).collect()} == want
+
+
+def test_long_chains_settle(spark):
+    from quillon.llm import storage
+
+    edges = spark.range(3000).selectExpr("id AS a", "id + 1 AS b")
+    assert {x.root for x in storage.components(edges).select("root").distinct().collect()} == {0}
+
+
+def test_only_kept_tables_are_dropped(spark, tmp_path):
+    from quillon.llm import storage
+
+    path = tmp_path / "quillon" / "sf" / "documents.parquet"
+    spark.range(3).write.parquet(str(path))
+    spark.range(3).write.parquet(str(tmp_path / "quillon" / "sf" / "labels.parquet"))
+    t = spark.read.parquet(str(path))
+    storage.drop(t)
+    assert t.count() == 3 and path.exists()
+    kept = storage.keep(t, "t")
+    assert kept.count() == 3
+    storage.drop(kept)
+    storage.drop(kept)
+    assert (tmp_path / "quillon" / "sf" / "labels.parquet").exists()

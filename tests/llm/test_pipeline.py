@@ -24,11 +24,12 @@ def test_each_stage_does_its_operator(spark):
         out = stage(spark, docs, SF)
         got = out.collect()
         if name == "mixture":
-            assert {tuple(r) for r in got} == {tuple(r) for r in mixing.mix(docs).collect()}
+            kept = {r.doc_id for r in mixing.mix(docs, least=0.25).collect()}
+            assert {r.doc_id for r in got} == kept and out.columns == first and all(r == rows[r.doc_id] for r in got)
             break
         assert out.columns == first and {r.doc_id for r in got} == set(rows) - gone
         if name == "repeated_passages":
-            hit = {r.doc_id for r in paragraphs.repeats(docs).collect()}
+            hit = {r.doc_id for r in paragraphs.repeats(docs, natural=True).collect()}
             assert all((r.text != rows[r.doc_id].text) == (r.doc_id in hit) and r.n_chars == len(r.text) for r in got) and hit
         else:
             assert all(r == rows[r.doc_id] for r in got)
@@ -37,7 +38,68 @@ def test_each_stage_does_its_operator(spark):
 
 def test_run(spark):
     out = cp.run(spark, SF)
-    assert out.columns == ["doc_id", "source", "n_tokens", "share"] and out.count() > 20
+    assert out.columns == spark.read.parquet(f"{SF}/documents.parquet").columns and out.count() > 20
+
+
+ODD = "doc_id int, text string, lang string, source string, n_chars int, __id int, pid string, `a.b` string, band long"
+
+
+def tables(spark, folder, rows):
+    """A folder of tables, of which the documents have odd rows, repeated ones and columns of clashing names."""
+    spark.createDataFrame(rows, ODD).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(None, 1, None), (1, None, None)], "doc_id int, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "what is the one thing that nobody has ever seen here"), (2, None), (None, "x"), (3, "")], "item_id int, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def odd_rows():
+    import random
+
+    r = random.Random(3)
+    words = [f"word{i}" for i in range(2000)]
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    rows = [(i, text(60), "en" if i % 3 else None, f"s{i % 2}" if i % 7 else None, 1, 5, "p", "q", 9) for i in range(40)]
+    rows += [(100, None, "en", "s0", 0, 5, "p", "q", 9), (101, "", "en", "s0", 0, 5, "p", "q", 9), (None, text(50), "en", "s1", 1, 5, "p", "q", 9), (102, text(40_000), "en", "s1", 1, 5, "p", "q", 9)]
+    rows += [rows[4], (5, text(70), "en", "s1", 1, 5, "p", "q", 9), (103, rows[6][1], "xx", "s1", 1, 5, "p", "q", 9), (104, text(20) + " what is the one thing that nobody has ever seen here", "en", "s0", 1, 5, "p", "q", 9)]
+    return rows
+
+
+@pytest.mark.parametrize("name", [n for n, _ in cp.STAGES])
+def test_stages_take_odd_tables(spark, tmp_path, name):
+    folder = str(tmp_path / "quillon" / "sf")
+    tables(spark, folder, odd_rows())
+    stage = dict(cp.STAGES)[name]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    before = [tuple(r) for r in docs.collect()]
+    out = stage(spark, docs, folder)
+    after = [tuple(r) for r in out.collect()]
+    assert out.columns == docs.columns and after
+    keys = lambda rows: sorted(str(r[0]) for r in rows)
+    if name == "repeated_passages":
+        assert keys(after) == keys(before)
+    else:
+        assert all(r in before for r in after)
+    if name in ("quality", "repeated_passages", "benchmark_leaks"):
+        assert {str(r[0]) for r in after} >= {"None", "100", "101"}
+    if name == "benchmark_leaks":
+        assert keys(after) == [k for k in keys(before) if k != "104"]
+    if name == "near_duplicates":
+        gone = set(keys(before)) - set(keys(after))
+        assert gone == {"103"}
+    if name == "mixture":
+        assert "None" not in keys(after)
+    empty = docs.limit(0)
+    assert stage(spark, empty, folder).count() == 0
+
+
+def test_run_leaves_its_input_alone(spark, tmp_path):
+    """The tables lie in a folder of the name that kept tables have."""
+    folder = tmp_path / "quillon" / "sf"
+    tables(spark, str(folder), odd_rows())
+    out = cp.run(spark, str(folder))
+    ids = {r.doc_id for r in out.collect()}
+    assert ids and not ids & {103, 104, None}
+    assert {x.name for x in folder.iterdir()} == {"documents.parquet", "labels.parquet", "benchmark.parquet"}
+    assert spark.read.parquet(str(folder / "documents.parquet")).count() == len(odd_rows())
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
