@@ -10,7 +10,8 @@ of the four transforms; it is there for round trips and to make media columns of
 
 Edge cases of the column operator :func:`decode_images`: a null value gives null width, height and
 pixels and a null error; bytes that aren't a lossless WebP image, or break off, give null pixels and say why in
-``error``; one bad row never fails the others. An image within another RIFF chunk order is found.
+``error``; one bad row never fails the others. An image of more than ``max_pixels`` pixels, which a few bytes can claim, is such a row:
+its array wouldn't fit a column's batch. One colour takes as little time as its array does. An image within another RIFF chunk order is found.
 Repeated rows are each decoded. Empty tables give no rows. Other columns are kept, whatever they are
 called; a column named as one of the four new ones is replaced.
 """
@@ -19,8 +20,10 @@ from __future__ import annotations
 
 import heapq
 import struct
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -148,7 +151,7 @@ def _extra(bits: Bits, code: int) -> int:
     return ((2 + (code & 1)) << n) + bits.read(n) + 1
 
 
-def read_image(bits: Bits, width: int, height: int, main: bool) -> list[int]:
+def read_image(bits: Bits, width: int, height: int, main: bool) -> array:
     """Entropy-coded pixels; only the main image can have a meta prefix image."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
@@ -160,12 +163,16 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> list[int]:
         across = (width + (1 << shift) - 1) >> shift
         meta = [(p >> 8) & 0xFFFF for p in read_image(bits, across, (height + (1 << shift) - 1) >> shift, False)]
         groups = max(meta) + 1
+    total = width * height
     sizes = (280 + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, 40)
     codes = [[read_code(bits, n) for n in sizes] for _ in range(groups)]
     cache = [0] * (1 << cache_bits) if cache_bits else None
     down = 32 - cache_bits
-    out: list[int] = []
-    total = width * height
+    if groups == 1 and all(c.only is not None for c in codes[0][:4]) and codes[0][0].only < 256:
+        # No bit is read for a pixel: all have one colour.
+        s, r, b, a = (c.only for c in codes[0][:4])
+        return array("I", [(a << 24) | (r << 16) | (s << 8) | b]) * total
+    out = array("I")
     green, red, blue, alpha, distance = codes[0]
     while len(out) < total:
         at = len(out)
@@ -299,9 +306,9 @@ def _packing(colors: int) -> int:
     return 3 if colors <= 2 else 2 if colors <= 4 else 1 if colors <= 16 else 0
 
 
-def _blocks(pixels: list[int], width: int, bits: int, elements: list[int], back: int) -> list[int]:
+def _blocks(pixels: list[int], width: int, bits: int, elements: list[int], back: int) -> array:
     across = (width + (1 << bits) - 1) >> bits
-    return [cross_color(p, elements[((i // width) >> bits) * across + ((i % width) >> bits)], back) for i, p in enumerate(pixels)]
+    return array("I", (cross_color(p, elements[((i // width) >> bits) * across + ((i % width) >> bits)], back) for i, p in enumerate(pixels)))
 
 
 def payload(data: bytes) -> bytes:
@@ -317,13 +324,27 @@ def payload(data: bytes) -> bytes:
     raise ValueError("no lossless image in the container")
 
 
-def decode(data: bytes) -> tuple[int, int, list[int]]:
+#: Pixels that are enough for a run of rows to go on.
+PIXELS = 1 << 20
+#: Pixels beyond which an image is refused.
+MAX_PIXELS = 1 << 26
+
+
+def decode(data: bytes, max_pixels: int = MAX_PIXELS) -> tuple[int, int, list[int]]:
     """(width, height, ARGB pixels) of a lossless WebP file."""
+    width, height, pixels = decoded(data, max_pixels)
+    return width, height, list(pixels)
+
+
+def decoded(data: bytes, max_pixels: int = MAX_PIXELS) -> tuple[int, int, array]:
+    """As :func:`decode`, with the pixels in four bytes each."""
     stream = payload(data)
     if stream[:1] != b"\x2f":
         raise ValueError("no lossless signature")
     bits = Bits(stream[1:])
     width, height = bits.read(14) + 1, bits.read(14) + 1
+    if width * height > max_pixels:
+        raise ValueError(f"{width} x {height} pixels are more than {max_pixels}")
     bits.read(1)
     if bits.read(3):
         raise ValueError("an unknown version")
@@ -353,12 +374,12 @@ def decode(data: bytes) -> tuple[int, int, list[int]]:
         elif kind == CROSS_COLOR:
             pixels = _blocks(pixels, across, size, extra, 1)
         elif kind == SUBTRACT_GREEN:
-            pixels = [(p & 0xFF00FF00) | (((p & 0xFF00FF) + ((p >> 8) & 255) * 0x10001) & 0xFF00FF) for p in pixels]
+            pixels = array("I", ((p & 0xFF00FF00) | (((p & 0xFF00FF) + ((p >> 8) & 255) * 0x10001) & 0xFF00FF) for p in pixels))
         else:
             per, depth = 1 << size, 8 >> size
             packed = (across + per - 1) >> size
-            table = extra + [0] * (256 - len(extra))
-            pixels = [table[(pixels[y * packed + (x >> size)] >> (8 + depth * (x & (per - 1)))) & ((1 << depth) - 1)] for y in range(height) for x in range(across)]
+            table = [*extra, *[0] * (256 - len(extra))]
+            pixels = array("I", (table[(pixels[y * packed + (x >> size)] >> (8 + depth * (x & (per - 1)))) & ((1 << depth) - 1)] for y in range(height) for x in range(across)))
     return width, height, pixels
 
 
@@ -583,22 +604,35 @@ def encode(width: int, height: int, pixels: list[int], transforms: tuple[int, ..
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def decode_images(df: DataFrame, column: str = "image") -> DataFrame:
+def decode_images(df: DataFrame, column: str = "image", max_pixels: int = MAX_PIXELS) -> DataFrame:
     """``df`` with width, height, pixels (ARGB as signed 32 bits, row by row) and error for its binary column."""
     new = {"width": T.IntegerType(), "height": T.IntegerType(), "pixels": T.ArrayType(T.IntegerType()), "error": T.StringType()}
     kept = [f for f in df.schema if f.name not in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for data in batch.column(column).to_pylist():
+            first, n = 0, batch.num_rows
+            widths, heights, errors, pixels, ends = [], [], [], array("I"), [0]
+            for at, data in enumerate(batch.column(column).to_pylist(), 1):
+                width = height = error = None
                 try:
-                    width, height, pixels = decode(bytes(data)) if data is not None else (None, None, None)
-                    rows.append((width, height, pixels and [p - (1 << 32) if p >> 31 else p for p in pixels], None))
-                except (ValueError, IndexError, struct.error) as e:
-                    rows.append((None, None, None, str(e) or type(e).__name__))
-            made = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.string()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *made], names=[*(f.name for f in kept), *new])
+                    if data is not None:
+                        width, height, own = decoded(bytes(data), max_pixels)
+                        pixels.extend(own)
+                except (ValueError, IndexError, OverflowError, struct.error) as e:
+                    width, height, error = None, None, str(e) or type(e).__name__
+                widths.append(width)
+                heights.append(height)
+                errors.append(error)
+                ends.append(len(pixels))
+                # Rows go on in runs, so that large images don't gather.
+                if at < n and len(pixels) < PIXELS:
+                    continue
+                flat = pa.array(np.frombuffer(pixels, np.int32) if pixels else [], pa.int32())
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array([w is None for w in widths]))
+                part = batch.slice(first, at - first)
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(widths, pa.int32()), pa.array(heights, pa.int32()), lists, pa.array(errors, pa.string())], names=[*(f.name for f in kept), *new])
+                first, widths, heights, errors, pixels, ends = at, [], [], [], array("I"), [0]
 
     return df.mapInArrow(run, T.StructType([*kept, *(T.StructField(k, t) for k, t in new.items())]))
 
