@@ -59,6 +59,8 @@ class Page:
         self.texts: list[tuple[int, str]] = []
         self.body = 0
         stack, at, n = [0], 0, len(markup)
+        # Where on the stack the open elements of each name are, so that no tag looks through the stack.
+        self._open: dict[str, list[int]] = {"#page": [0]}
         silent, last = 0, markup.rfind(">")
         while at < n:
             # Behind the last ">" only a comment can begin.
@@ -92,6 +94,7 @@ class Page:
                 if name in _LINES:
                     self.texts.append((node, ""))
                 continue
+            self._open.setdefault(name, []).append(len(stack))
             stack.append(node)
             silent += name in _SILENT
             if name in _RAW:
@@ -107,18 +110,15 @@ class Page:
         self.end[0] = len(self.tag)
 
     def _close(self, stack: list[int], names, within=frozenset()) -> int:
-        """Ends the innermost open element of ``names`` and all in it; how many silent ones that ended."""
-        for k in range(len(stack) - 1, -1, -1):
-            t = self.tag[stack[k]]
-            if t in names:
-                break
-            if t in within:
-                return 0
-        else:
+        """Ends the innermost open element of ``names`` and all in it, unless one of ``within`` is open in it; how many silent ones that ended."""
+        open_ = self._open
+        k = max((open_[t][-1] for t in names if open_.get(t)), default=-1)
+        if k < 0 or any(open_[t][-1] > k for t in within if open_.get(t)):
             return 0
         silent = 0
         for x in stack[max(k, 1) :]:
             self.end[x] = len(self.tag)
+            open_[self.tag[x]].pop()
             silent += self.tag[x] in _SILENT
         del stack[max(k, 1) :]
         return silent

@@ -1,5 +1,7 @@
 import math
 
+import pytest
+
 from quillon.llm.html_density import Page, densities, extract, extract_pages
 
 PARAGRAPH = "This is a long run of plain text that says something at some length. " * 6
@@ -101,3 +103,12 @@ def test_odd_input(spark):
     rows = extract_pages(t).collect()
     assert len(rows) == 4 and [r.n_chars for r in rows if r.page_id == 2] == [0]
     assert extract_pages(t.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("markup", ["<div>" * 200_000 + "text", "<div>" + "</p></span>" * 100_000 + "text", "<p>" + "<table>" * 100_000 + "<div>" * 100_000 + "text", "<ul>" + "<li>" * 200_000 + "text", "<a><b><i>" * 60_000 + "text" + "</a>" * 60_000])
+def test_deep_and_unmatched_tags_take_linear_time(markup):
+    import time
+
+    began = time.time()
+    text, n, *_ = extract(markup)
+    assert text == "text" and n == 4 and time.time() - began < 4
