@@ -4,12 +4,14 @@ Subwords are those of a public byte-level BPE whose rank file is a parameter; no
 here. Words repeat, so each distinct piece of text between white space is encoded once a batch; the pattern
 never joins over such borders, so the ids are those of the whole text.
 
+Texts are encoded once: their ids are a table in the shared folder that counting, training and scoring read.
+
 The model: embeddings of ids and places, one head of causal self-attention with a residual, and
 a factored softmax, p(id) = p(class | context) p(id | class). Classes are bins of ids of falling frequency
 and about equal mass; they and p(id | class) come from the counts of all subwords of all documents, by one
-aggregation. Attention is trained on a fixed share of the documents, one in ``train_every`` by hash of
-doc_id, so what it is trained on grows with the corpus: each partition takes Adam steps from common
-parameters and the results are averaged, weighted by windows, in ``rounds`` rounds. Averages are
+aggregation; context moves the class alone. Attention is trained on all documents, each once: rounds take growing shares of
+the documents by hash of doc_id (``SHARES``), at falling rates. In a round each partition takes Adam steps
+from common parameters, batch by batch, and the results are averaged, weighted by windows. Averages are
 sums by parameter row in a shuffle; only the averaged model, of a size set by the vocabulary, comes to
 the driver and is broadcast.
 
@@ -19,7 +21,7 @@ just once, with OVERLAP subwords of context or more (fewer only at the start). W
 
 Edge cases. Null and empty texts have 0 tokens and a null perplexity. Very long texts are as many windows as
 they need. Repeated rows are each scored. Ids never seen in the counts share what one count is worth.
-Rows with a null doc_id are scored and not trained on. Empty tables give no rows.
+Rows with a null doc_id are trained on and scored like others. Tables without any subword leave the model as it began; they have nothing to score. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -38,7 +40,10 @@ from quillon.llm import textwords as tw
 
 U64 = np.uint64
 WIDTH, CLASSES, WINDOW, OVERLAP = 16, 48, 32, 8
-STRIDE = WINDOW - OVERLAP
+#: The share of the documents that each round of training takes, and its rate.
+SHARES = ((1 / 16, 0.01), (3 / 16, 0.004), (3 / 4, 0.002))
+#: Columns of a parameter row that travel together.
+COLUMNS = 16
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -160,73 +165,118 @@ def log_softmax(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(axis=-1, keepdims=True))
 
 
+def exponentials(z: np.ndarray) -> np.ndarray:
+    """exp of z in place; the last axis' maximum is taken off first only where some value needs it."""
+    if z.max(initial=0) > 60:
+        z -= z.max(axis=-1, keepdims=True)
+    return np.exp(z, out=z)
+
+
 def gradients(m: dict[str, np.ndarray], t: np.ndarray, target: np.ndarray, use: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
     """Mean loss of the classes ``target`` at the places ``use``, gradients, and the rows of E that they touch."""
-    y, x, q, k, v, s, o = forward(m, t)
-    n = max(1, int(use.sum()))
-    lp = log_softmax(y.reshape(-1, WIDTH) @ m["C"] + m["b"])
-    flat, u = target.ravel(), use.ravel()
-    loss = -lp[np.arange(len(flat)), flat][u].sum() / n
-    dz = np.exp(lp)
-    dz[np.arange(len(flat)), flat] -= 1
-    dz *= (u / np.float32(n))[:, None].astype(np.float32)
-    dy = dz @ m["C"].T
-    g = {"C": y.reshape(-1, WIDTH).T @ dz, "b": dz.sum(axis=0, keepdims=True), "O": o.reshape(-1, WIDTH).T @ dy}
+    scale = np.float32(WIDTH**-0.5)
+    x = m["E"][t] + m["P"]
+    qkv = (x.reshape(-1, WIDTH) @ m["A"]).reshape(*t.shape, 3 * WIDTH)
+    q, k, v = qkv[..., :WIDTH] * scale, qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
+    # s isn't normalised: its rows' sums come from the product with a column of ones.
+    s = np.matmul(q, k.transpose(0, 2, 1))
+    s += _MASK
+    exponentials(s)
+    wide = np.ones((*t.shape, WIDTH + 1), x.dtype)
+    wide[..., :WIDTH] = v
+    o = np.matmul(s, wide)
+    weight = 1 / o[..., WIDTH:]
+    o = o[..., :WIDTH] * weight
+    flat = o.reshape(-1, WIDTH)
+    y = x.reshape(-1, WIDTH) + flat @ m["O"]
+    z = y @ m["C"] + m["b"]
+    place, goal, u = np.arange(len(z)), target.ravel(), use.ravel()
+    n = max(1, int(u.sum()))
+    picked = z[place, goal]
+    top = z.max(initial=0)
+    if top > 60:
+        most = z.max(axis=-1)
+        z -= most[:, None]
+        picked = picked - most
+    np.exp(z, out=z)
+    total = z @ np.ones(CLASSES, z.dtype)
+    loss = (np.log(total) - picked)[u].sum() / n
+    share = u.astype(z.dtype) / z.dtype.type(n)
+    z *= (share / total)[:, None]
+    z[place, goal] -= share
+    dy = z @ m["C"].T
+    g = {"C": y.T @ z, "b": z.sum(axis=0, keepdims=True), "O": flat.T @ dy}
     do = (dy @ m["O"].T).reshape(x.shape)
-    dx = dy.reshape(x.shape).copy()
     ds = np.matmul(do, v.transpose(0, 2, 1))
-    ds = s * (ds - (ds * s).sum(axis=-1, keepdims=True)) * np.float32(WIDTH**-0.5)
-    dqkv = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(s.transpose(0, 2, 1), do)], axis=-1).reshape(-1, 3 * WIDTH)
+    ds -= np.einsum("bwd,bwd->bw", do, o)[..., None]
+    ds *= s
+    ds *= weight
+    dqkv = np.empty_like(qkv)
+    np.matmul(ds, k, out=dqkv[..., :WIDTH])
+    dqkv[..., :WIDTH] *= scale
+    np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[..., WIDTH : 2 * WIDTH])
+    np.matmul(s.transpose(0, 2, 1), do * weight, out=dqkv[..., 2 * WIDTH :])
+    dqkv = dqkv.reshape(-1, 3 * WIDTH)
     g["A"] = x.reshape(-1, WIDTH).T @ dqkv
-    dx += (dqkv @ m["A"].T).reshape(x.shape)
-    g["P"] = dx.sum(axis=0)
-    rows, inverse = np.unique(t, return_inverse=True)
-    g["E"] = np.stack([np.bincount(inverse.ravel(), dx[..., i].ravel(), minlength=len(rows)) for i in range(WIDTH)], axis=1).astype(np.float32)
-    return float(loss), g, rows
+    dx = dy + dqkv @ m["A"].T
+    g["P"] = dx.reshape(x.shape).sum(axis=0)
+    order = np.argsort(t.ravel(), kind="stable")
+    rows = t.ravel()[order]
+    heads = np.flatnonzero(np.diff(rows, prepend=-1))
+    g["E"] = np.add.reduceat(dx[order], heads, axis=0)
+    return float(loss), g, rows[heads]
 
 
-def windows(ids: np.ndarray, first: np.ndarray, mark: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def windows(ids: np.ndarray, first: np.ndarray, mark: int, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Windows of inputs, targets (-1 where not scored), the text of each window, and the scored places: each id of each text is a target once."""
-    size = np.diff(first)
-    count = np.where(size > 0, 1 + np.maximum(0, -(-(size - WINDOW) // STRIDE)), 0)
+    size, stride = np.diff(first), WINDOW - overlap
+    count = np.where(size > 0, 1 + np.maximum(0, -(-(size - WINDOW) // stride)), 0)
     doc = np.repeat(np.arange(len(size)), count)
     k = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-    at = (k * STRIDE)[:, None] + np.arange(WINDOW)
+    at = (k * stride)[:, None] + np.arange(WINDOW)
     inside = at < size[doc][:, None]
     where = np.where(inside, first[:-1][doc][:, None] + at, 0)
     target = ids[where] if len(ids) else np.zeros(where.shape, np.int32)
     before = np.where(at > 0, ids[np.maximum(where - 1, 0)] if len(ids) else 0, mark)
-    scored = inside & ((np.arange(WINDOW) >= OVERLAP) | (k == 0)[:, None])
+    scored = inside & ((np.arange(WINDOW) >= overlap) | (k == 0)[:, None])
     return np.where(inside, before, mark), target, doc, scored
 
 
+class Trainer:
+    """Adam over the windows of texts as they come; what it has seen besides is one batch of texts."""
+
+    def __init__(self, m: dict[str, np.ndarray], classes: Classes, seed: int, rate: float = 0.01, batch: int = 64) -> None:
+        self.m = {k: v.copy() for k, v in m.items()}
+        self.mean = {k: np.zeros_like(v) for k, v in m.items()}
+        self.square = {k: np.zeros_like(v) for k, v in m.items()}
+        self.touched = np.zeros(len(m["E"]), bool)
+        self.classes, self.random, self.rate, self.batch, self.steps, self.seen = classes, np.random.default_rng(seed), rate, batch, 0, 0
+
+    def take(self, ids: np.ndarray, first: np.ndarray) -> None:
+        """Steps over the windows of some texts, which don't overlap here, in a random order."""
+        t, target, _, scored = windows(ids, first, len(self.classes.of), 0)
+        order = self.random.permutation(len(t))
+        self.seen += len(t)
+        m = self.m
+        for i in range(0, len(order), self.batch):
+            w = order[i : i + self.batch]
+            self.steps += 1
+            n = self.steps
+            _, g, rows = gradients(m, t[w], self.classes.of[target[w]], scored[w])
+            self.touched[rows] = True
+            for name, grad in g.items():
+                at = rows if name == "E" else slice(None)
+                mean = 0.9 * self.mean[name][at] + np.float32(0.1) * grad
+                square = 0.99 * self.square[name][at] + np.float32(0.01) * grad**2
+                self.mean[name][at], self.square[name][at] = mean, square
+                m[name][at] -= np.float32(self.rate / (1 - 0.9**n)) * mean / (np.sqrt(square * np.float32(1 / (1 - 0.99**n))) + np.float32(1e-8))
+
+
 def train_locally(m: dict[str, np.ndarray], classes: Classes, ids: np.ndarray, first: np.ndarray, seed: int, rate: float = 0.01, batch: int = 64) -> tuple[dict[str, np.ndarray], np.ndarray, int]:
-    """Adam over the windows of some texts, once: the new parameters, the touched rows of E, and the number of windows."""
-    t, target, _, scored = windows(ids, first, len(classes.of))
-    order = np.random.default_rng(seed).permutation(len(t))
-    m = {k: v.copy() for k, v in m.items()}
-    mean = {k: np.zeros_like(v) for k, v in m.items()}
-    square = {k: np.zeros_like(v) for k, v in m.items()}
-    touched = np.zeros(len(m["E"]), bool)
-    steps = range(0, len(order), batch)
-    for n, i in enumerate(steps, 1):
-        w = order[i : i + batch]
-        _, g, rows = gradients(m, t[w], classes.of[target[w]], scored[w])
-        touched[rows] = True
-        speed = rate * (1 - 0.9 * n / max(1, len(steps)))
-        for name, grad in g.items():
-            at = rows if name == "E" else slice(None)
-            mean[name][at] = 0.9 * mean[name][at] + 0.1 * grad
-            square[name][at] = 0.99 * square[name][at] + 0.01 * grad**2
-            m[name][at] -= speed * (mean[name][at] / (1 - 0.9**n)) / (np.sqrt(square[name][at] / (1 - 0.99**n)) + 1e-8)
-    return m, np.flatnonzero(touched), len(order)
-
-
-def exponentials(z: np.ndarray) -> np.ndarray | None:
-    """exp of z in place, or None if some of it is too large to do without the maximum's subtraction."""
-    if z.max(initial=0) > 60:
-        return None
-    return np.exp(z, out=z)
+    """The windows of some texts, once: the new parameters, the touched rows of E, and the number of windows."""
+    trainer = Trainer(m, classes, seed, rate, batch)
+    trainer.take(ids, first)
+    return trainer.m, np.flatnonzero(trainer.touched), trainer.seen
 
 
 def hidden(m: dict[str, np.ndarray], t: np.ndarray) -> np.ndarray:
@@ -235,8 +285,7 @@ def hidden(m: dict[str, np.ndarray], t: np.ndarray) -> np.ndarray:
     qkv = (x.reshape(-1, WIDTH) @ m["A"]).reshape(*t.shape, 3 * WIDTH)
     s = np.matmul(qkv[..., :WIDTH] * np.float32(WIDTH**-0.5), qkv[..., WIDTH : 2 * WIDTH].transpose(0, 2, 1))
     s += _MASK
-    if exponentials(s) is None:
-        return forward(m, t)[0]
+    exponentials(s)
     v = np.ones((*t.shape, WIDTH + 1), np.float32)
     v[..., :WIDTH] = qkv[..., 2 * WIDTH :]
     o = np.matmul(s, v)
@@ -255,86 +304,115 @@ def score(m: dict[str, np.ndarray], classes: Classes, ids: np.ndarray, first: np
         z = hidden(m, t[i : i + batch])[use] @ m["C"]
         z += m["b"]
         picked = z[np.arange(len(z)), classes.of[goal]]
-        loss = np.log(exponentials(z) @ ones) if z.max(initial=0) <= 60 else picked - log_softmax(z)[np.arange(len(z)), classes.of[goal]]
+        if z.max(initial=0) > 60:
+            loss = picked - log_softmax(z)[np.arange(len(z)), classes.of[goal]]
+        else:
+            loss = np.log(np.exp(z, out=z) @ ones)
         loss = loss - picked - classes.logp[goal]
         out += np.bincount(np.repeat(doc[i : i + batch], use.sum(axis=1)), loss, minlength=len(out))
     return out
 
 
-def subword_counts(docs: DataFrame, vocabulary: tuple[str, str]) -> DataFrame:
-    """(id, n): how often each subword occurs in all documents."""
+def encoded(docs: DataFrame, vocabulary: tuple[str, str]) -> DataFrame:
+    """(doc_id, ids): the subwords of each text; those of a null text are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = tw.buffers(batch.column(0), lower=False)
-            for i, j in tw.groups(offsets, 8 << 20):
-                ids, n = Pieces(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], vocabulary).counts()
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(n)], names=["id", "n"])
+            data, offsets = tw.buffers(batch.column(1), lower=False)
+            for i, j in tw.groups(offsets, 4 << 20):
+                ids, first = Pieces(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], vocabulary).sequence()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids, pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.where("text IS NOT NULL").select("text").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
+
+
+def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' ids one after another, and the texts' offsets."""
+    first = np.asarray(column.offsets, np.int64)
+    return np.asarray(column.values)[first[0] : first[-1]].astype(np.int64), first - first[0]
+
+
+def subword_counts(texts: DataFrame) -> DataFrame:
+    """(id, n): how often each subword occurs in all documents; a task sends each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(0, np.int64)
+        for batch in batches:
+            more = np.bincount(_ids(batch.column(0))[0], minlength=len(sums))
+            more[: len(sums)] += sums
+            sums = more
+        ids = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(sums[ids])], names=["id", "n"])
 
+    return texts.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
-def train_round(sample: DataFrame, model, classes, vocabulary: tuple[str, str], number: int) -> DataFrame:
-    """(name, row, w, v): parameter rows averaged over partitions, weighted by their windows."""
+
+def train_round(sample: DataFrame, model, classes, number: int, rate: float) -> DataFrame:
+    """(name, row, part, v0, ...): pieces of parameter rows averaged over partitions, weighted by their windows."""
+    names = [f"v{i}" for i in range(COLUMNS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, steps = model.value, 0
-        parts, ends = [], [np.zeros(1, np.int64)]
+        trainer = Trainer(model.value, classes.value, number, rate)
         for batch in batches:
-            data, offsets = tw.buffers(batch.column(0), lower=False)
-            ids, first = Pieces(data, offsets, vocabulary).sequence()
-            parts.append(ids)
-            ends.append(first[1:] + ends[-1][-1])
-        if not parts:
+            ids, first = _ids(batch.column(0))
+            for a, b in tw.groups(first, 1 << 18):
+                trainer.take(ids[first[a] : first[b]], first[a : b + 1] - first[a])
+        if not trainer.seen:
             return
-        m, rows, steps = train_locally(m, classes.value, np.concatenate(parts), np.concatenate(ends), number)
-        for name, v in m.items():
-            at = rows if name == "E" else np.arange(len(v))
-            v = v[at].astype(np.float64) * steps
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at, pa.int32()), pa.array([float(steps)] * len(at)), pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), v.shape[1]).cast(pa.list_(pa.float64()))], names=["name", "row", "w", "v"])
+        for name, v in trainer.m.items():
+            at = np.flatnonzero(trainer.touched) if name == "E" else np.arange(len(v))
+            for part in range(v.shape[1] // COLUMNS):
+                own = v[at, part * COLUMNS : (part + 1) * COLUMNS]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at, pa.int32()), pa.array([part] * len(at), pa.int32()), pa.array([float(trainer.seen)] * len(at)), *(pa.array(np.ascontiguousarray(c)) for c in own.T)], names=["name", "row", "part", "w", *names])
 
-    local = sample.mapInArrow(run, "name string, row int, w double, v array<double>")
-    sums = local.select("name", "row", "w", F.posexplode("v").alias("i", "x")).groupBy("name", "row", "i").agg(F.sum("w").alias("w"), F.sum("x").alias("x"))
-    return sums.select("name", "row", "i", (F.col("x") / F.col("w")).alias("v"))
+    local = sample.mapInArrow(run, "name string, row int, part int, w double, " + ", ".join(f"{c} float" for c in names))
+    return local.groupBy("name", "row", "part").agg(*((F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(c) for c in names))
 
 
-def train(docs: DataFrame, vocabulary: tuple[str, str], train_every: int = 32, rounds: int = 2):
-    """(parameters, classes) fitted to ``docs``."""
-    spark = docs.sparkSession
-    counts = storage.keep(subword_counts(docs, vocabulary), "subwords").toArrow()
+def train(texts: DataFrame, vocabulary: tuple[str, str]):
+    """(parameters, classes) fitted to all of the encoded ``texts``."""
+    spark = texts.sparkSession
+    counts = subword_counts(texts).toArrow()
     vocab = encoder(*vocabulary).n_vocab
     classes = Classes(counts.column("id").to_numpy(), counts.column("n").to_numpy(), vocab)
     m, shared = initial(vocab), spark.sparkContext.broadcast(classes)
-    sample = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(train_every)) == 0)).select("text")
-    for number in range(rounds):
+    # Each document's place among the shares, by its hash.
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    low = 0.0
+    for number, (share, rate) in enumerate(SHARES):
         sent = spark.sparkContext.broadcast(m)
-        got = storage.keep(train_round(sample, sent, shared, vocabulary, number), "parameters").toArrow()
+        last = number == len(SHARES) - 1
+        got = train_round(texts.where((at >= low) & (F.lit(last) | (at < low + share))).select("ids"), sent, shared, number, rate).toArrow()
+        low += share
         m = {k: v.copy() for k, v in m.items()}
-        name, row, i, v = (got.column(c) for c in ("name", "row", "i", "v"))
+        values = np.stack([got.column(f"v{i}").to_numpy() for i in range(COLUMNS)], axis=1)
+        name, row, part = np.array(got.column("name").to_pylist(), object), got.column("row").to_numpy(), got.column("part").to_numpy()
         for k in m:
-            use = np.array(pa.compute.equal(name, k))
-            m[k][row.to_numpy()[use], i.to_numpy()[use]] = v.to_numpy()[use]
+            use = np.flatnonzero(name == k)
+            m[k].reshape(len(m[k]), -1, COLUMNS)[row[use], part[use]] = values[use]
         sent.destroy()
+    shared.destroy()
     return m, classes
 
 
-def scores(docs: DataFrame, vocabulary: tuple[str, str] | None = None, train_every: int = 32, rounds: int = 2) -> DataFrame:
+def scores(docs: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFrame:
     """(doc_id, n_tokens, nll, perplexity): the summed negative log probability of each text's subwords, and exp of its mean."""
     spark = docs.sparkSession
+    storage.lean(spark)
     vocabulary = vocabulary or default_vocabulary()
-    m, classes = (spark.sparkContext.broadcast(x) for x in train(docs, vocabulary, train_every, rounds))
+    texts = storage.keep(encoded(docs, vocabulary), "ids")
+    m, classes = (spark.sparkContext.broadcast(x) for x in train(texts, vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = tw.buffers(batch.column(1), lower=False)
-            for i, j in tw.groups(offsets, 4 << 20):
-                ids, first = Pieces(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], vocabulary).sequence()
-                nll, size = np.zeros(j - i), np.diff(first)
-                for a, b in tw.groups(first, 1 << 18):
-                    nll[a:b] = score(m.value, classes.value, ids[first[a] : first[b]], first[a : b + 1] - first[a])
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    ppl = np.exp(nll / size)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size), pa.array(np.round(nll, 4)), pa.array(np.round(ppl, 4), mask=size == 0)], names=["doc_id", "n_tokens", "nll", "perplexity"])
+            ids, first = _ids(batch.column(1))
+            nll, size = np.zeros(batch.num_rows), np.diff(first)
+            for a, b in tw.groups(first, 1 << 18):
+                nll[a:b] = score(m.value, classes.value, ids[first[a] : first[b]], first[a : b + 1] - first[a])
+            with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+                ppl = np.exp(nll / size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(np.round(nll, 4)), pa.array(np.round(ppl, 4), mask=size == 0)], names=["doc_id", "n_tokens", "nll", "perplexity"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, nll double, perplexity double")
+    return texts.mapInArrow(run, f"doc_id {kind}, n_tokens long, nll double, perplexity double")

@@ -126,7 +126,7 @@ def test_column(spark, vocabulary):
     prose = lambda n: " ".join(rng.choice(words, n))
     rows = [(i, prose(80), 1) for i in range(100)] + [(200, None, 1), (201, "", 1), (None, prose(30), 1), (0, "again", 1), (202, prose(30000), 1), (203, "zxq qzk " * 40, 1)]
     t = spark.createDataFrame(rows, SCHEMA)
-    out = lm.scores(t, vocabulary, train_every=2).collect()
+    out = lm.scores(t, vocabulary).collect()
     assert len(out) == len(rows)
     by = {r.doc_id: r for r in out}
     enc = lm.encoder(*vocabulary)
