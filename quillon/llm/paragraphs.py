@@ -26,7 +26,7 @@ occur otherwise. Empty tables give no rows. Other columns are kept as they are,
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -238,16 +238,6 @@ def occurrences(docs: DataFrame, reach: int, min_words: int, wanted, natural: bo
     return _batches(docs).mapInArrow(run, "pid long, doc_id long, txt long, position long, pieces long, words long")
 
 
-def _through(some) -> Callable:
-    """Whether the sieve ``some`` lets a key through."""
-
-    @F.arrow_udf(T.BooleanType())
-    def may(ids: pa.Array) -> pa.Array:
-        return pa.array(some.value.has(ids.fill_null(0).cast(pa.int64()).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False))
-
-    return may
-
-
 _PLACE = ("doc_id", "txt", "position")
 
 
@@ -358,7 +348,7 @@ def without_repeats(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
         return pa.array([t if not g or t is None else _cut(t, reach, set(g)) for t, g in zip(texts.to_pylist(), positions.to_pylist())], pa.string())
 
     # Only texts that may lose something are moved to where it says what.
-    may_lose = _through(sieve.of(gone, key))
+    may_lose = sieve.through(sieve.of(gone, key))
     touched = docs.where(may_lose("doc_id")).withColumn(own_txt, hashed("text"))
     joined = touched.join(gone, (touched["doc_id"].cast("long") == gone[key]) & (touched[own_txt] == gone[txt]), "left")
     # What isn't cut has a null here; the cut text is made once, and measured.

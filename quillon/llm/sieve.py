@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.llm import textwords as tw
 
@@ -40,6 +41,16 @@ class Sieve:
         return out
 
 
+def through(some):
+    """A function of a column: whether the broadcast sieve ``some`` lets a key through; nulls don't go through."""
+
+    @F.arrow_udf(T.BooleanType())
+    def may(keys: pa.Array) -> pa.Array:
+        return pa.array(some.value.has(keys.fill_null(0).cast(pa.int64()).to_numpy()) & keys.is_valid().to_numpy(zero_copy_only=False))
+
+    return may
+
+
 def of(keys: DataFrame, column: str):
     """The broadcast sieve of a long column; null keys are left out."""
     spark = keys.sparkSession
