@@ -66,7 +66,7 @@ def encoder(path: str, pattern: str):
 
 #: Ids of pieces that this worker has met; emptied when it holds too many.
 _known: dict[bytes, list[int]] = {}
-_MOST_KNOWN = 300_000
+_MOST_KNOWN = 200_000
 
 
 class Pieces:
@@ -313,33 +313,40 @@ def score(m: dict[str, np.ndarray], classes: Classes, ids: np.ndarray, first: np
     return out
 
 
+def _kind(vocabulary: tuple[str, str]) -> np.dtype:
+    """How an id is stored: in two bytes, if the vocabulary allows it."""
+    return np.dtype("<u2" if encoder(*vocabulary).n_vocab <= 1 << 16 else "<u4")
+
+
 def encoded(docs: DataFrame, vocabulary: tuple[str, str]) -> DataFrame:
-    """(doc_id, ids): the subwords of each text; those of a null text are none."""
+    """(doc_id, ids): the subwords of each text, packed; those of a null text are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = _kind(vocabulary)
         for batch in batches:
             data, offsets = tw.buffers(batch.column(1), lower=False)
-            for i, j in tw.groups(offsets, 4 << 20):
+            for i, j in tw.groups(offsets, 1 << 20):
                 ids, first = Pieces(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], vocabulary).sequence()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids, pa.int32()))], names=["doc_id", "ids"])
+                packed = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(first.astype(np.int64) * kind.itemsize), pa.py_buffer(ids.astype(kind))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), packed.cast(pa.binary())], names=["doc_id", "ids"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary")
 
 
-def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _ids(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     """All texts' ids one after another, and the texts' offsets."""
-    first = np.asarray(column.offsets, np.int64)
-    return np.asarray(column.values)[first[0] : first[-1]].astype(np.int64), first - first[0]
+    data, at = tw.buffers(column, lower=False, kind=pa.large_binary())
+    return np.frombuffer(np.ascontiguousarray(data), kind).astype(np.int64), at // kind.itemsize
 
 
-def subword_counts(texts: DataFrame) -> DataFrame:
+def subword_counts(texts: DataFrame, kind: np.dtype) -> DataFrame:
     """(id, n): how often each subword occurs in all documents; a task sends each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(0, np.int64)
         for batch in batches:
-            more = np.bincount(_ids(batch.column(0))[0], minlength=len(sums))
+            more = np.bincount(_ids(batch.column(0), kind)[0], minlength=len(sums))
             more[: len(sums)] += sums
             sums = more
         ids = np.flatnonzero(sums)
@@ -348,14 +355,14 @@ def subword_counts(texts: DataFrame) -> DataFrame:
     return texts.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def train_round(sample: DataFrame, model, classes, number: int, rate: float) -> DataFrame:
+def train_round(sample: DataFrame, model, classes, kind: np.dtype, number: int, rate: float) -> DataFrame:
     """(name, row, part, v0, ...): pieces of parameter rows averaged over partitions, weighted by their windows."""
     names = [f"v{i}" for i in range(COLUMNS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer = Trainer(model.value, classes.value, number, rate)
         for batch in batches:
-            ids, first = _ids(batch.column(0))
+            ids, first = _ids(batch.column(0), kind)
             for a, b in tw.groups(first, 1 << 18):
                 trainer.take(ids[first[a] : first[b]], first[a : b + 1] - first[a])
         if not trainer.seen:
@@ -373,7 +380,8 @@ def train_round(sample: DataFrame, model, classes, number: int, rate: float) ->
 def train(texts: DataFrame, vocabulary: tuple[str, str]):
     """(parameters, classes) fitted to all of the encoded ``texts``."""
     spark = texts.sparkSession
-    counts = subword_counts(texts).toArrow()
+    kind = _kind(vocabulary)
+    counts = subword_counts(texts, kind).toArrow()
     vocab = encoder(*vocabulary).n_vocab
     classes = Classes(counts.column("id").to_numpy(), counts.column("n").to_numpy(), vocab)
     m, shared = initial(vocab), spark.sparkContext.broadcast(classes)
@@ -383,7 +391,7 @@ def train(texts: DataFrame, vocabulary: tuple[str, str]):
     for number, (share, rate) in enumerate(SHARES):
         sent = spark.sparkContext.broadcast(m)
         last = number == len(SHARES) - 1
-        got = train_round(texts.where((at >= low) & (F.lit(last) | (at < low + share))).select("ids"), sent, shared, number, rate).toArrow()
+        got = train_round(texts.where((at >= low) & (F.lit(last) | (at < low + share))).select("ids"), sent, shared, kind, number, rate).toArrow()
         low += share
         m = {k: v.copy() for k, v in m.items()}
         values = np.stack([got.column(f"v{i}").to_numpy() for i in range(COLUMNS)], axis=1)
@@ -403,10 +411,11 @@ def scores(docs: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFr
     vocabulary = vocabulary or default_vocabulary()
     texts = storage.keep(encoded(docs, vocabulary), "ids")
     m, classes = (spark.sparkContext.broadcast(x) for x in train(texts, vocabulary))
+    packed = _kind(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, first = _ids(batch.column(1))
+            ids, first = _ids(batch.column(1), packed)
             nll, size = np.zeros(batch.num_rows), np.diff(first)
             for a, b in tw.groups(first, 1 << 18):
                 nll[a:b] = score(m.value, classes.value, ids[first[a] : first[b]], first[a : b + 1] - first[a])

@@ -250,8 +250,11 @@ def _later(placed: DataFrame) -> DataFrame:
 
 def similar(pairs: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of which the exact Jaccard of the trigram sets reaches the threshold."""
+    # Sizes go first: most pairs that can't be similar end there, before any set is moved.
+    sizes = grams.select("pid", F.size("grams").alias("n"))
+    pairs = pairs.join(sizes.withColumnsRenamed({"pid": "a", "n": "n_a"}), "a").join(sizes.withColumnsRenamed({"pid": "b", "n": "n_b"}), "b")
+    pairs = pairs.where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")).select("a", "b")
     both = pairs.join(grams.select(F.col("pid").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("pid").alias("b"), F.col("grams").alias("y")), "b")
-    both = both.where(F.least(F.size("x"), F.size("y")) >= threshold * F.greatest(F.size("x"), F.size("y")))
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common >= threshold * (F.size("x") + F.size("y") - common)).select("a", "b")
 
@@ -275,7 +278,9 @@ def linked(members: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
     out = rest.where("root <> low_root").select("band", F.pmod(F.xxhash64("pid"), parts.cast("long")).cast("int").alias("part"), F.col("pid").alias("a"), F.col("root").alias("a_root"))
     met = rest.where("pid <> low").select("band", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("pid").alias("b"), F.col("root").alias("b_root"), (F.col("root") == F.col("low_root")).alias("inside"))
     pairs = out.join(met, ["band", "part"]).where("a_root <> b_root AND (inside OR a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = storage.keep(similar(storage.keep(pairs, "pairs"), grams, threshold), "more")
+    pairs = storage.keep(pairs, "pairs")
+    asked = sieve.through(sieve.of(pairs.select("a").union(pairs.select("b")), "a"))
+    more = storage.keep(similar(pairs, grams.where(asked("pid")), threshold), "more")
     return storage.keep(storage.components(star.union(more)), "roots") if more.take(1) else roots
 
 

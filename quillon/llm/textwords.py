@@ -68,11 +68,11 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def buffers(column: pa.Array | pa.ChunkedArray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column and the offsets of its rows; nulls count as empty."""
+def buffers(column: pa.Array | pa.ChunkedArray, lower: bool = True, kind: pa.DataType = pa.large_string()) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string (or binary) column and the offsets of its rows; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    column = pc.fill_null(column.cast(kind), b"" if kind == pa.large_binary() else "")
     if lower:
         column = pc.utf8_lower(column)
     if not len(column):
