@@ -16,10 +16,12 @@ def main(argv: list[str] | None = None) -> int:
     s.add_argument("--out", default="text")
     s.add_argument("--min-score", type=int, default=None)
     s.add_argument("--tags", default=None)
+    s.add_argument("--rules", default=None, help="a file of more rules, in JSON or YAML")
     s.add_argument("-v", "--verbose", action="count", default=0)
     d = sub.add_parser("diff")
     d.add_argument("left")
     d.add_argument("right")
+    d.add_argument("--out", default="text", help="text, or json://, parquet:// or sqlite:// and a path")
     t = sub.add_parser("typos")
     t.add_argument("stats")
     t.add_argument("--threshold", type=int, default=10000)
@@ -37,28 +39,30 @@ def main(argv: list[str] | None = None) -> int:
         from quillon.plans.scan import scan
         from quillon.sinks import formats
 
-        found = scan(spark, a.uri)
-        if a.out == "text":
-            print(*formats.text_report(found), sep="\n")
-        else:
-            formats.write(found, a.out, min_score=a.min_score, tags=a.tags, verbosity=a.verbose + 1)
+        from quillon.plans.scan import settings_of
+
+        found = scan(spark, a.uri, settings=settings_of(a.rules) if a.rules else None)
+        formats.write(found, a.out, min_score=a.min_score, tags=a.tags, verbosity=a.verbose + 1)
     elif a.command == "diff":
         from quillon.operators import diff
         from quillon.sources import readers
 
-        left, right = (x.select("path", F.md5("content").alias("md5")) for x in readers.read_pair(spark, a.left, a.right))
-        diff.changed(diff.by_name(left, right)).orderBy("a_ref", "b_ref").show(1000, truncate=False)
+        from quillon.sinks import formats
+
+        formats.write_changes(diff.snapshots(*readers.read_pair(spark, a.left, a.right)), a.out)
     elif a.command == "typos":
         from quillon.operators import packages as pk
         from quillon.sources import readers
 
         stats = readers.download_stats(spark, a.stats)
-        pk.lookalikes(stats.select("name"), pk.popular(stats, a.threshold).select("name")).orderBy("name").show(a.limit, truncate=False)
+        pk.lookalikes(stats.select("name"), pk.popular(stats, a.threshold).select("name")).orderBy("name", "popular").show(a.limit, truncate=False)
     elif a.command == "deps":
         from quillon.operators import packages as pk
         from quillon.sources import readers
 
-        pk.dependents(readers.reverse_dependencies(spark, a.edges), spark.createDataFrame([(a.name,)], "name string")).orderBy("depth", "name").show(1000, truncate=False)
+        found = pk.dependents(readers.reverse_dependencies(spark, a.edges), spark.createDataFrame([(a.name,)], "name string")).orderBy("depth", "name")
+        for row in found.toLocalIterator():
+            print(row.depth, row.name)
     else:
         from quillon.plans import scan as plan
 

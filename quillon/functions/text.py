@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SQL_STATEMENT = r"(?id)^(?:SELECT\s.*FROM|DELETE\s.*FROM|INSERT\s+INTO\s.*VALUES\s|UPDATE\s.*SET\s).*"
 BASE64 = r"^(?:[A-Za-z0-9+/]{4}){12,}(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?\b$"
@@ -34,23 +37,21 @@ def adler32(data: Column) -> Column:
     return F.when(F.length(data) == 0, "1").otherwise(F.lower(F.hex(folded)))
 
 
+@F.arrow_udf(T.DoubleType())
+def _entropy(text: pa.Array) -> pa.Array:
+    out = np.zeros(len(text))
+    for i, x in enumerate(text.to_pylist()):
+        if x:
+            codes = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32)
+            counts = np.bincount(codes[codes < 255])
+            share = counts[counts > 0] / len(codes)
+            out[i] = -(share * np.log2(share)).sum()
+    return pa.array(out, mask=text.is_null().to_numpy(zero_copy_only=False))
+
+
 def entropy(text: Column) -> Column:
-    """Shannon's entropy of the characters of code 0 to 254, over the whole length."""
-    n = F.length(text).cast("double")
-    chars = F.split(F.regexp_replace(text, "[^\\x00-\\xfe]", ""), "")
-    sorted_chars = F.array_sort(F.filter(chars, lambda c: c != ""))
-    # Runs of the sorted characters are their counts.
-    counted = F.aggregate(
-        sorted_chars,
-        F.struct(F.lit("").alias("c"), F.lit(0.0).alias("k"), F.lit(0.0).alias("h")),
-        lambda a, c: F.when(a["c"] == c, F.struct(a["c"].alias("c"), (a["k"] + 1).alias("k"), a["h"].alias("h"))).otherwise(F.struct(c.alias("c"), F.lit(1.0).alias("k"), (a["h"] + _share(a["k"], n)).alias("h"))),
-        lambda a: a["h"] + _share(a["k"], n),
-    )
-    return F.when(n > 0, counted).otherwise(F.lit(0.0))
-
-
-def _share(k: Column, n: Column) -> Column:
-    return F.when(k > 0, -(k / n) * F.log2(k / n)).otherwise(F.lit(0.0))
+    """Shannon's entropy of the characters of code 0 to 254, over the whole length; 0 for an empty text."""
+    return _entropy(text)
 
 
 def non_ascii(text: Column) -> Column:

@@ -12,16 +12,17 @@ from pyspark.sql import functions as F
 _DETECTION = "file_id string, class string, signature string, message string, score int, line_no int, line string, informational boolean, tags array<string>, extra string"
 
 
-def detections(files: DataFrame) -> DataFrame:
-    """Findings of the Python files among (file_id, path, source)."""
+def detections(files: DataFrame, patterns: tuple = ()) -> DataFrame:
+    """Findings of the Python files among (file_id, path, source), by the rules and by more ``patterns``: (id, patterns, message, score, tags) each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from quillon.code.analysis import analyze
+        from quillon.code.analysis import analyze, compiled_rules
 
+        more = compiled_rules(patterns)
         for batch in batches:
             rows = []
             for f, path, source in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                for d in analyze(path or "", source):
+                for d in analyze(path or "", source, more):
                     rows.append({"file_id": f, **{k: d[k] for k in ("class", "signature", "message", "score", "line_no", "line", "informational", "tags")}, "extra": json.dumps(d["extra"], sort_keys=True)})
             yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
 
@@ -59,6 +60,30 @@ def imports(files: DataFrame) -> DataFrame:
     return files.select(F.col("file_id").cast("string"), "path", "source").mapInArrow(run, "file_id string, module string, line_no int")
 
 
+def strings(files: DataFrame) -> DataFrame:
+    """(file_id, line_no, text, data): the string constants of sources; data has the bytes, decoded if the text is base64."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from quillon.code.analysis import constants
+
+        kind = pa.schema([("file_id", pa.string()), ("line_no", pa.int32()), ("text", pa.string()), ("data", pa.binary())])
+        for batch in batches:
+            for f, source in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                rows = [{"file_id": f, "line_no": line, "text": text, "data": data} for line, text, data in constants(source)]
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, kind)
+
+    return files.select(F.col("file_id").cast("string"), "source").mapInArrow(run, "file_id string, line_no int, text string, data binary")
+
+
+def blobs(files: DataFrame, least: int = 100) -> DataFrame:
+    """(file_id, path, depth, content): strings of ``least`` bytes or more as files of their own, named ``path:line$blob``."""
+    own = files.select(F.col("file_id").cast("string"), "path", "depth")
+    name = F.concat(F.lit(":"), F.col("line_no").cast("string"), F.lit("$blob"))
+    found = strings(files).where(F.length("data") >= least).join(own, "file_id")
+    return found.select(F.concat("file_id", name).alias("file_id"), F.concat("path", name).alias("path"), (F.col("depth") + 1).alias("depth"), F.col("data").alias("content")).distinct()
+
+
 def structure(files: DataFrame, p: int = 2, q: int = 3) -> DataFrame:
     """(file_id, grams): hashes of the distinct pq-grams of each source's tree; null if it can't be parsed."""
 

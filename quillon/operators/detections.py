@@ -31,16 +31,30 @@ def from_lines(docs: DataFrame, found: list[rules.Rule], key: str = "doc_id", sc
     )
 
 
+def from_strings(strings: DataFrame, found: list[rules.Rule]) -> DataFrame:
+    """One detection for each string (file_id, line_no, text) and rule that hits it."""
+    t = strings.select("file_id", "line_no", F.col("text").alias("line"), F.explode_outer(rules.hits(F.col("text"), found)).alias("h")).where("h IS NOT NULL")
+    signature = F.concat_ws("#", F.lit("string"), "h.rule", F.md5("line"), "file_id", F.col("line_no").cast("string"))
+    return t.select("file_id", F.lit("StringMatch").alias("class"), signature.alias("signature"), F.col("h.message").alias("message"), F.col("h.score").alias("score"), "line_no", "line", (F.col("h.score") == 0).alias("informational"), F.array_sort("h.tags").alias("tags"))
+
+
+def behaviors(detections: DataFrame, found: dict | None = None) -> DataFrame:
+    """(scan_id, id, name): which behaviours the tags of each scan's detections, with all their prefixes, show."""
+    tags = rules.with_prefixes(F.array_distinct(F.flatten(F.collect_set("tags"))))
+    t = detections.groupBy("scan_id").agg(tags.alias("tags"))
+    each = [F.when(rules.behavior(F.col("tags"), tree), F.struct(F.lit(id_).alias("id"), F.lit(name).alias("name"))) for id_, (name, tree) in (found or rules.SCAN_BEHAVIORS).items()]
+    return t.select("scan_id", F.explode(F.array_compact(F.array(*each))).alias("b")).select("scan_id", "b.*")
+
+
 def with_severity(detections: DataFrame) -> DataFrame:
     return detections.withColumn("severity", severity(F.col("class"), F.col("score"), F.col("tags")))
 
 
-def dedup(detections: DataFrame, strict_reference: bool = False, by: tuple[str, ...] = ("scan_id", "class", "signature")) -> DataFrame:
+def dedup(detections: DataFrame, by: tuple[str, ...] = ("scan_id", "class", "signature")) -> DataFrame:
     """One of each signature in a scan: the first by file and line. The order is total, so a rerun keeps the same row.
 
     An aggregate with partial maxima does it, not a window: of copies by the million a map task sends one.
     """
-    del strict_reference
     rest = [c for c in detections.columns if c not in by]
     order = F.struct(*(F.col(c) for c in ("file_id", "line_no") if c in rest), *(F.col(c) for c in rest if c not in ("file_id", "line_no")))
     return detections.groupBy(*by).agg(F.min(order).alias("first")).select(*by, "first.*").select(detections.columns)
@@ -99,6 +113,3 @@ def collapsed(paths: list[str]) -> dict[str, list[str]]:
             out[name] = named
     return out
 
-
-def latest_first(order: str) -> Column:
-    return F.row_number().over(Window.orderBy(F.col(order).desc()))

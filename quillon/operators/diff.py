@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from quillon.functions import similarity, text
 
-#: Shortest phrase sets are blocked by this many least hashes.
-SKETCH = 4
-
-
 def by_name(left: DataFrame, right: DataFrame) -> DataFrame:
     """(operation, a_ref, b_ref, a_md5, b_md5) from (path, md5): A added, R removed, M modified; ``same`` tells equal contents."""
     a = left.select(F.col("path").alias("a_ref"), F.col("md5").alias("a_md5"))
@@ -23,8 +19,9 @@ def by_name(left: DataFrame, right: DataFrame) -> DataFrame:
 def with_renames(changes: DataFrame, left: DataFrame, right: DataFrame, least: float = 0.6, path_edits: int = 2) -> DataFrame:
     """Pairs removed and added files whose contents and paths are alike; such a pair is one modification.
 
-    Contents are compared by the share of Lempel-Ziv phrases. Candidates share one of the least phrase hashes, so there
-    is no cross product. Each file is paired once: as long as a pair is the best of both its sides (by share, then the
+    Contents are compared by the share of Lempel-Ziv phrases. Of two sets that share ``least`` of their union, one of the first
+    ``n - ceil(least * n) + 1`` elements of each, in any common order, is in both: candidates are those that share such an element,
+    rarest first, so common phrases join little, no pair is missed and there is no cross product. Each file is paired once: as long as a pair is the best of both its sides (by share, then the
     names) it is taken, which is what taking pairs in falling order gives.
     """
     from quillon.storage import keep
@@ -40,10 +37,17 @@ def with_renames(changes: DataFrame, left: DataFrame, right: DataFrame, least: f
     new = new.join(taken.select(F.col("b").alias("path")), "path", "left_anti")
     a = keep(left.join(gone, "path", "left_semi").select(F.col("path").alias("a"), similarity.lz_hashes("text").alias("x")), "left")
     b = keep(right.join(new, "path", "left_semi").select(F.col("path").alias("b"), similarity.lz_hashes("text").alias("y")), "right")
-    ka = a.select("a", F.explode(F.slice("x", 1, SKETCH)).alias("h"))
-    kb = b.select("b", F.explode(F.slice("y", 1, SKETCH)).alias("h"))
-    pairs = ka.join(kb, "h").select("a", "b").distinct().join(a, "a").join(b, "b")
-    pairs = pairs.select("a", "b", text.jaccard(F.col("x"), F.col("y")).alias("similarity"), similarity.path_distance("a", "b").alias("edits"))
+    ka, kb = a.select("a", F.explode("x").alias("h")), b.select("b", F.explode("y").alias("h"))
+    often = keep(ka.select("h").union(kb.select("h")).groupBy("h").agg(F.count("*").alias("n")), "often")
+
+    def first(keys: DataFrame, of: str) -> DataFrame:
+        ranked = keys.join(often, "h").groupBy(of).agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("all"))
+        return ranked.select(of, F.explode(F.slice("all", F.lit(1), (F.size("all") - F.ceil(F.size("all") * least) + 1).cast("int"))).alias("e")).select(of, "e.h")
+
+    pairs = first(ka, "a").join(first(kb, "b"), "h").select("a", "b").distinct()
+    pairs = keep(pairs.where(similarity.path_distance("a", "b") <= path_edits), "candidates").join(a, "a").join(b, "b")
+    # Empty files have no phrase to share; they are as like as equal ones, which are paired above.
+    pairs = pairs.select("a", "b", text.jaccard(F.col("x"), F.col("y")).alias("similarity"), F.lit(0).alias("edits"))
     left_over = keep(pairs.where((F.col("similarity") >= least) & (F.col("edits") <= path_edits)).select("a", "b", "similarity"), "pairs")
     while not left_over.isEmpty():
         order = [F.col("similarity").desc(), "a", "b"]
@@ -97,3 +101,39 @@ def record_check(record: DataFrame, files: DataFrame) -> DataFrame:
         .when(F.col("listed").isNotNull() & (F.col("listed") != F.col("actual")), "bad_digest")
     )
     return t.select("path", problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def record_problems(files: DataFrame) -> DataFrame:
+    """(file_id, path, problem) of the distributions among (file_id, path, content): an archive, or a folder of dist-info, with a RECORD."""
+    base = F.regexp_extract("path", r"^(.*[$/])?[^$/]+\.dist-info/RECORD$", 1)
+    records = files.where(F.col("path").rlike(r"(?:^|[$/])[^$/]+\.dist-info/RECORD$") & F.col("path").contains("$")).select(base.alias("base"), F.decode("content", "UTF-8").alias("text"))
+    listed = records.select("base", F.explode(F.split("text", "\\r?\\n")).alias("line")).where("trim(line) <> ''")
+    # A name may hold commas, in quotes; digest and size never do.
+    fields = F.regexp_extract("line", r'^"?(.*?)"?,(?:sha256=)?([^,]*),([^,]*)$', 1), F.regexp_extract("line", r'^"?(.*?)"?,(?:sha256=)?([^,]*),([^,]*)$', 2)
+    listed = listed.select(F.concat("base", fields[0]).alias("path"), F.when(fields[1] != "", fields[1]).alias("digest"))
+    inside = files.withColumn("base", F.regexp_extract("path", r"^(.*\$)", 1)).join(records.select("base").distinct(), "base", "left_semi")
+    own = inside.select("path", text.record_digest(F.col("content")).alias("digest"))
+    ids = files.select("path", F.col("file_id").cast("string").alias("file_id"))
+    found = record_check(listed, own).join(ids, "path", "left")
+    return found.select(F.coalesce("file_id", "path").alias("file_id"), "path", "problem")
+
+
+def snapshots(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(operation, a_ref, b_ref, a_md5, b_md5, similarity, patch) of two sides' files (file_id, path, content), archives unpacked on both.
+
+    Members of archives are files like others, so a changed archive shows as its changed members; files of equal contents are left
+    out. The patch is that of files that read as UTF-8 on the sides they are on; others have none.
+    """
+    from quillon.operators import files
+
+    sides = []
+    for t in (left, right):
+        found, _ = files.unpack(t)
+        content = F.col("content")
+        plain = F.try_validate_utf8(content.cast("string"))
+        sides.append(found.where("content IS NOT NULL").select("path", F.md5(content).alias("md5"), plain.alias("text")))
+    a, b = sides
+    changes = changed(with_renames(by_name(a, b), a.withColumn("text", F.coalesce("text", F.lit(""))), b.withColumn("text", F.coalesce("text", F.lit("")))))
+    texts = changes.join(a.select(F.col("path").alias("a_ref"), F.col("text").alias("x")), "a_ref", "left").join(b.select(F.col("path").alias("b_ref"), F.col("text").alias("y")), "b_ref", "left")
+    readable = (F.col("a_ref").isNull() | F.col("x").isNotNull()) & (F.col("b_ref").isNull() | F.col("y").isNotNull())
+    return texts.select("operation", "a_ref", "b_ref", "a_md5", "b_md5", "similarity", F.when(readable, similarity.unified_diff("x", "y")).alias("patch"))

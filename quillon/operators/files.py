@@ -10,7 +10,6 @@ import bz2
 import configparser
 import gzip
 import io
-import json
 import lzma
 import re
 import tarfile
@@ -285,6 +284,3 @@ def jinja_templates(calls: DataFrame, files: DataFrame) -> DataFrame:
     own = files.select(F.col("file_id").cast("string"), F.regexp_replace("path", "[^/]*$", "").alias("folder"))
     return rendered.join(own, "file_id").select("file_id", F.concat("folder", F.lit("templates/"), "t").alias("template")).join(files.select(F.col("path").alias("template")), "template", "left_semi")
 
-
-def as_extra(**values) -> str:
-    return json.dumps(values, sort_keys=True)

@@ -3,16 +3,13 @@
 from __future__ import annotations
 
 import functools
+import itertools
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import similarity, text, versions
 
-#: Beyond this many rows a table of names isn't broadcast.
-MOST_BROADCAST = 200_000
-
-
 def popular(stats: DataFrame, threshold: int, order: str = "ord") -> DataFrame:
     """Names up to the first, in file order, of fewer downloads: taken while, not filtered.
 
@@ -124,20 +121,57 @@ def licence_ids(packages: DataFrame, table: DataFrame) -> DataFrame:
     return joined.select("name", F.coalesce("spdx", "own").alias("licence")).where("licence IS NOT NULL").distinct()
 
 
-def dependents(edges: DataFrame, start: DataFrame, most_rounds: int = 30) -> DataFrame:
+def dependents(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(name, depth): what depends on ``start`` (name), directly or not, with the least number of steps. Cycles end, as a name is visited once.
 
-    A frontier join for each step; each round's table is written to the shared folder, so lineage stays short.
+    Rounds go on until one finds nothing new. A frontier join for each step; each round's table is written to the shared folder, so lineage stays short.
     """
     from quillon.storage import keep
 
     seen = keep(start.select("name", F.lit(0).alias("depth")).distinct(), "seen")
     front = seen
     edges = edges.select("name", "dependent").distinct()
-    for depth in range(1, most_rounds + 1):
+    for depth in itertools.count(1):
         found = front.select("name").join(edges, "name").select(F.col("dependent").alias("name")).distinct()
         front = keep(found.join(seen.select("name"), "name", "left_anti").withColumn("depth", F.lit(depth)), "front")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
     return seen
+
+
+def dependencies(requires: DataFrame, versions_of: DataFrame, start: DataFrame) -> DataFrame:
+    """(name, version, depth): the dependency closure of ``start`` (name, specifier), breadth first.
+
+    ``requires`` has (name, version, needs, specifier, marker), ``versions_of`` (name, version). Of each name the latest version
+    within the specifier that first asks for it is taken, or null if there is none; a name is visited once, so cycles end. Of
+    requirements with a marker only those whose ``extra`` is wanted count; here none is, so those that name an extra are left out.
+    Ties of specifiers in a round go to the least.
+    """
+    from quillon.storage import keep
+
+    wanted = keep(start.select("name", "specifier"), "wanted")
+    seen = None
+    for depth in itertools.count():
+        asked = wanted.groupBy("name").agg(F.min(F.coalesce("specifier", F.lit(""))).alias("specifier"))
+        keyed = asked.join(versions_of, "name").withColumn("key", versions.sort_key("version")).where(F.col("key").isNotNull() & ((F.col("specifier") == "") | versions.within("version", F.col("specifier"))))
+        best = keyed.groupBy("name").agg(F.max_by("version", "key").alias("version"))
+        found = keep(asked.select("name").join(best, "name", "left").withColumn("depth", F.lit(depth)), "found")
+        seen = found if seen is None else seen.unionByName(found)
+        needed = found.join(requires.where(~F.coalesce(F.col("marker").contains("extra"), F.lit(False))), ["name", "version"])
+        wanted = keep(needed.select(F.col("needs").alias("name"), "specifier").distinct().join(seen.select("name"), "name", "left_anti"), "wanted")
+        if wanted.isEmpty():
+            return seen
+
+
+def paired_versions(left: DataFrame, right: DataFrame, latest_only: bool = False) -> DataFrame:
+    """(name, left_version, right_version) to compare of the (name, version) of two sides.
+
+    The right side's latest version if the left has it too, else the left's latest if the right has it; where neither
+    is shared, or with ``latest_only``, latest against latest. Names of one side only are left out.
+    """
+    a, b = (latest(t.select("name", "version").distinct()).select("name", F.col("version").alias(c)) for t, c in ((left, "a"), (right, "b")))
+    has = lambda t, c: t.select("name", F.col("version").alias(c)).distinct().withColumn(f"has_{c}", F.lit(True))
+    both = a.join(b, "name").join(has(left, "b"), ["name", "b"], "left").join(has(right, "a"), ["name", "a"], "left")
+    common = F.lit(None).cast("string") if latest_only else F.when(F.col("has_b"), F.col("b")).when(F.col("has_a"), F.col("a"))
+    return both.select("name", F.coalesce(common, "a").alias("left_version"), F.coalesce(common, "b").alias("right_version"))

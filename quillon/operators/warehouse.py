@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text
@@ -17,13 +17,17 @@ def dimension(values: DataFrame, column: str, key: str) -> DataFrame:
     return t.select(F.row_number().over(Window.orderBy(column)).alias(key), column)
 
 
+def hash_key(value: Column) -> Column:
+    """A key of 60 bits from a text alone, equal in every run and on every machine."""
+    return F.conv(F.substring(F.md5(value), 1, 15), 16, 10).cast("long")
+
+
 def detection_facts(detections: DataFrame) -> DataFrame:
     """One row a signature and scan, the first by file and line, with its type's and scan's keys."""
     first = F.min(F.struct("file_id", "line_no", "score", "class", "tags")).alias("f")
     t = detections.groupBy("scan_id", "signature").agg(first).select("scan_id", "signature", "f.*")
-    kinds = dimension(t, "class", "type_id")
-    scans = dimension(t, "scan_id", "scan_key")
-    return t.join(kinds, "class").join(scans, "scan_id")
+    # Types are few and numbered; scans are as many as packages, so their key is a hash, which needs no order.
+    return t.join(dimension(t, "class", "type_id"), "class").withColumn("scan_key", hash_key(F.col("scan_id")))
 
 
 def tag_bridge(detections: DataFrame) -> DataFrame:

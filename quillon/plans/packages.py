@@ -127,19 +127,22 @@ def release_superset(spark, sf_dir):
     return t.join(o, "k").select("name", "other", (F.size(F.array_except("theirs", "vs")) == 0).alias("superset"))
 
 
-_FACTS = """facts AS (SELECT p_partkey::VARCHAR AS name, coalesce(n, 0) AS downloads, p_size AS stars, p_partkey % 7 AS forks, coalesce(r, 0) AS n_releases, coalesce(s, 0) AS contributors, last, first
+_FACTS = """facts AS (SELECT p_partkey::VARCHAR AS name, p_partkey AS k, coalesce(n, 0) AS downloads, p_size AS stars, p_partkey % 7 AS forks, p_partkey % 300 AS n_reverse, coalesce(r, 0) AS n_releases, coalesce(s, 0) AS contributors, last, first
   FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n, count(DISTINCT l_orderkey) AS r, count(DISTINCT l_suppkey) AS s, max(l_shipdate) AS last, min(l_shipdate) AS first FROM lineitem GROUP BY l_partkey) ON l_partkey = p_partkey)"""
+_SCALED = (("downloads", "pypi_downloads"), ("n_reverse", "reverse_dependencies"), ("stars", "github_stars"), ("forks", "forks"), ("contributors", "contributors"), ("n_releases", "releases"))
 
 
-@query(f"""WITH {_FACTS}, x AS (SELECT name, {', '.join(f"CASE WHEN {c} > 0 THEN ceil(log10({c})) ELSE 0 END::BIGINT AS {a}" for c, a in (('downloads', 'pypi_downloads'), ('stars', 'github_stars'), ('forks', 'f'), ('n_releases', 'r'), ('contributors', 'c')))},
-  coalesce(last + INTERVAL 93 DAY >= TIMESTAMP '1998-12-01', false)::BIGINT AS recent, -coalesce(first + INTERVAL 186 DAY > TIMESTAMP '1998-12-01', false)::BIGINT AS fresh FROM facts)
-SELECT name, pypi_downloads, github_stars, pypi_downloads + github_stars + f + r + c + recent + fresh AS total FROM x""")
+@query(f"""WITH {_FACTS}, x AS (SELECT name, {', '.join(f"CASE WHEN f.{c} > 0 THEN ceil(log10(f.{c})) ELSE 0 END::BIGINT AS {a}" for c, a in _SCALED)},
+  coalesce(last + INTERVAL 93 DAY >= TIMESTAMP '1998-12-01', false)::BIGINT AS last_commit, -coalesce(first + INTERVAL 186 DAY > TIMESTAMP '1998-12-01', false)::BIGINT AS is_new,
+  (k % 2 = 0)::BIGINT AS wheel, (k % 3 = 0)::BIGINT AS source_archive, (k % 5 <> 0)::BIGINT AS homepage, (k % 7 = 0)::BIGINT AS documentation, (k % 4 > 0)::BIGINT AS classifiers FROM facts f)
+SELECT *, pypi_downloads + reverse_dependencies + github_stars + forks + contributors + releases + last_commit + is_new + wheel + source_archive + homepage + documentation + classifiers AS total FROM x""")
 def trust_score(spark, sf_dir):
+    """All thirteen indicators and their sum."""
     sold = _of(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("downloads"), F.count_distinct("l_orderkey").alias("n_releases"), F.count_distinct("l_suppkey").alias("contributors"), F.max("l_shipdate").alias("last_commit"), F.min("l_shipdate").alias("created"))
-    none = F.lit(None).cast("string")
-    t = _of(spark, sf_dir, "part").join(sold, F.col("l_partkey") == F.col("p_partkey"), "left")
-    t = t.select(F.col("p_partkey").cast("string").alias("name"), "downloads", F.lit(None).cast("long").alias("n_reverse"), F.col("p_size").alias("stars"), (F.col("p_partkey") % 7).alias("forks"), "contributors", "last_commit", "created", F.lit("1998-12-01").cast("timestamp_ntz").alias("now"), "n_releases", F.lit(False).alias("has_wheel"), F.lit(False).alias("has_sdist"), none.alias("homepage"), none.alias("docs"), F.lit(0).alias("n_classifiers"))
-    return pk.trust_score(t).select("name", "pypi_downloads", "github_stars", "total")
+    k = F.col("p_partkey")
+    t = _of(spark, sf_dir, "part").join(sold, F.col("l_partkey") == k, "left")
+    t = t.select(k.cast("string").alias("name"), "downloads", (k % 300).alias("n_reverse"), F.col("p_size").alias("stars"), (k % 7).alias("forks"), "contributors", "last_commit", "created", F.lit("1998-12-01").cast("timestamp_ntz").alias("now"), "n_releases", (k % 2 == 0).alias("has_wheel"), (k % 3 == 0).alias("has_sdist"), F.when(k % 5 != 0, "h").alias("homepage"), F.when(k % 7 == 0, "d").alias("docs"), (k % 4).alias("n_classifiers"))
+    return pk.trust_score(t)
 
 
 @query(f"WITH {_STATS}, looked AS (SELECT s_suppkey, 'HOT_' || s_suppkey AS asked FROM supplier), named AS (SELECT *, lower(regexp_replace(split_part(name, ' ', 1), '[-_.]+', '-', 'g')) || '-' || (ord % 50) AS c FROM stats) SELECT s_suppkey, n.name, n.downloads FROM looked LEFT JOIN (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY c ORDER BY ord) = 1) n ON n.c = lower(regexp_replace(asked, '[-_.]+', '-', 'g'))")
@@ -176,27 +179,83 @@ def licence_lookup(spark, sf_dir):
     return pk.licence_ids(p, table)
 
 
-_EDGES = "edges AS (SELECT DISTINCT l_partkey % 200 + 1 AS name, (l_suppkey * 7 + l_linenumber) % 200 + 1 AS dependent FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 45)"
+_EDGES = "edges AS (SELECT DISTINCT l_partkey AS name, l_suppkey * 3 + l_linenumber AS dependent FROM lineitem)"
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, reach(name, depth) AS (SELECT 7::BIGINT, 0 UNION SELECT dependent, depth + 1 FROM reach JOIN edges USING (name) WHERE depth < 12)
+@query(f"""WITH RECURSIVE {_EDGES}, reach(name, depth) AS (SELECT 7::BIGINT, 0 UNION SELECT dependent, depth + 1 FROM reach JOIN edges USING (name) WHERE depth < 40)
 SELECT name, min(depth)::INTEGER AS depth FROM reach GROUP BY name""")
 def reverse_dependencies(spark, sf_dir):
-    e = _of(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_quantity > 45").select((F.col("l_partkey") % 200 + 1).alias("name"), ((F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 200 + 1).alias("dependent")).distinct()
-    return pk.dependents(e, spark.range(7, 8).select(F.col("id").alias("name")), 12)
+    """What depends on package 7, over the edges that all line items give."""
+    e = _of(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("name"), (F.col("l_suppkey") * 3 + F.col("l_linenumber")).alias("dependent"))
+    return pk.dependents(e, spark.range(7, 8).select(F.col("id").alias("name")))
 
 
 @query("""WITH lines AS (SELECT conv_id, turn, unnest(string_split(text, '. ')) AS line, unnest(range(len(string_split(text, '. ')))) AS line_no FROM conversations),
-t AS (SELECT conv_id, turn, line_no, lower(split_part(trim(line), ' ', 1)) AS name, len(line) % 4 AS k FROM lines)
-SELECT conv_id, turn, line_no::INTEGER AS line_no, name, CASE k WHEN 0 THEN 'pinned' WHEN 1 THEN 'bounded' ELSE 'unpinned' END AS pin FROM t WHERE regexp_matches(name, '^[a-z0-9]+$')""")
+t AS (SELECT conv_id, turn, line_no, lower(split_part(trim(line), ' ', 1)) AS name, len(line) % 4 AS k FROM lines),
+r AS (SELECT *, regexp_matches(name, '^[a-z0-9]([a-z0-9_.-]*[a-z0-9])?$') AS good FROM t WHERE name <> '' AND NOT regexp_matches(name, '[^ -~]|#|^-|[]()<>=!~;@,[]'))
+SELECT conv_id, turn, line_no::INTEGER AS line_no, CASE WHEN NOT good THEN 'InvalidRequirement' WHEN k = 0 THEN 'OutdatedPackage' WHEN k = 3 THEN 'InvalidRequirement' ELSE 'UnpinnedPackage' END AS class,
+  CASE WHEN NOT good THEN 0 WHEN k = 0 THEN 5 WHEN k = 3 THEN 20 ELSE 10 END AS score FROM r""")
 def requirement_pins(spark, sf_dir):
-    """Lines as requirements: how each is pinned. Line numbers count from 0."""
+    """Sentences' first words as lines of a requirements file, pinned, bounded, free or from a URL: what the file check finds. Lines count from 0."""
+    from quillon.operators import files
+
     t = _of(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\\. ")).alias("line_no", "line"))
-    kind = F.length("line") % 4
-    t = t.select("conv_id", "turn", "line_no", F.lower(F.split(F.trim("line"), " ")[0]).alias("name"), kind.alias("k")).where(F.col("name").rlike("^[a-z0-9]+$"))
-    spec = F.when(F.col("k") == 0, "==1.0").when(F.col("k") == 1, ">=1.0").otherwise("")
-    pin = F.when(spec.startswith("=="), "pinned").when(spec != "", "bounded").otherwise("unpinned")
-    return t.select("conv_id", "turn", "line_no", "name", pin.alias("pin"))
+    name = F.lower(F.split(F.trim("line"), " ")[0])
+    t = t.select("conv_id", "turn", "line_no", name.alias("name"), (F.length("line") % 4).alias("k")).where((F.col("name") != "") & ~F.col("name").rlike(r"[^ -~]|#|^-|[\]()<>=!~;@,\[]"))
+    end = F.when(F.col("k") == 0, "==0.1").when(F.col("k") == 1, ">=1.0").when(F.col("k") == 3, " @ https://x/y.zip").otherwise("")
+    # A file a turn; what isn't a requirement there stands on its line as a comment.
+    lines = t.groupBy("conv_id", "turn").agg(F.map_from_entries(F.collect_list(F.struct("line_no", F.concat("name", end).alias("l")))).alias("m"), F.max("line_no").alias("last"))
+    body = F.array_join(F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit("#"))), "\n")
+    file_id = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    f = lines.select(file_id.alias("file_id"), F.lit("requirements.txt").alias("path"), F.encode(body, "UTF-8").alias("content"))
+    found = files.findings(f, latest=_Newest())
+    parts = F.split("file_id", ":")
+    return found.select(parts[0].cast("long").alias("conv_id"), parts[1].cast(dict(t.dtypes)["turn"]).alias("turn"), "line_no", "class", "score")
+
+
+class _Newest(dict):
+    """Every package's latest version is 1.0."""
+
+    def __bool__(self) -> bool:
+        return True
+
+    def get(self, name: str, default=None) -> str:
+        return "1.0"
+
+
+_REQUIRES = """lib AS (SELECT DISTINCT (l_partkey % 97)::VARCHAR AS name, l_linenumber || '.' || (l_suppkey % 5) AS version, l_linenumber * 10 + l_suppkey % 5 AS k FROM lineitem),
+needs AS (SELECT DISTINCT (l_partkey % 97)::VARCHAR AS name, l_linenumber || '.' || (l_suppkey % 5) AS version, (l_suppkey % 89)::VARCHAR AS needs, '>=1,<' || (3 + l_suppkey % 3) AS specifier, (3 + l_suppkey % 3) AS most, CASE WHEN l_quantity > 25 THEN 'extra == "x"' END AS marker FROM lineitem)"""
+
+
+@query(f"""WITH RECURSIVE {_REQUIRES}, best AS (SELECT m AS most, name, arg_max(version, k) AS version FROM lib, (SELECT unnest([3, 4, 5, 99]) AS m) WHERE k < m * 10 GROUP BY m, name),
+edges AS (SELECT b.most AS by_, b.name, n.needs, min(n.most) AS most FROM best b JOIN needs n ON n.name = b.name AND n.version = b.version WHERE marker IS NULL GROUP BY ALL),
+walk(depth, names, front) AS (
+  SELECT 0, ['7'], [{{'name': '7', 'most': 99}}]
+  UNION ALL
+  SELECT depth + 1, list_concat(names, list_transform(f, lambda x: x.name)), f FROM (
+    SELECT depth, names, (SELECT list({{'name': needs, 'most': m}} ORDER BY needs) FROM (SELECT e.needs, min(e.most) AS m FROM (SELECT unnest(front) AS x) JOIN edges e ON e.name = x.name AND e.by_ = x.most WHERE NOT list_contains(names, e.needs) GROUP BY e.needs)) AS f FROM walk) WHERE f IS NOT NULL),
+found AS (SELECT depth, unnest(front) AS x FROM walk)
+SELECT x.name AS name, b.version, depth::INTEGER AS depth FROM found LEFT JOIN best b ON b.name = x.name AND b.most = x.most""")
+def dependency_closure(spark, sf_dir):
+    """What package 7 needs, breadth first, each in the latest version that the first asks for allow."""
+    l = _of(spark, sf_dir, "lineitem")  # noqa: E741
+    name, version = (F.col("l_partkey") % 97).cast("string"), F.concat(F.col("l_linenumber").cast("string"), F.lit("."), (F.col("l_suppkey") % 5).cast("string"))
+    lib = l.select(name.alias("name"), version.alias("version")).distinct()
+    most = (3 + F.col("l_suppkey") % 3).cast("string")
+    needs = l.select(name.alias("name"), version.alias("version"), (F.col("l_suppkey") % 89).cast("string").alias("needs"), F.concat(F.lit(">=1,<"), most).alias("specifier"), F.when(F.col("l_quantity") > 25, 'extra == "x"').alias("marker")).distinct()
+    return pk.dependencies(needs, lib, spark.createDataFrame([("7", None)], "name string, specifier string"))
+
+
+@query(f"""WITH {_RELEASES}, v AS (SELECT DISTINCT name, version, split_part(version, '.', 1)::INT * 100 + split_part(version, '.', 2)::INT AS k FROM releases),
+l AS (SELECT * FROM v WHERE k % 3 <> 0), r AS (SELECT * FROM v WHERE k % 4 <> 0), a AS (SELECT name, arg_max(version, k) AS a FROM l GROUP BY name), b AS (SELECT name, arg_max(version, k) AS b FROM r GROUP BY name),
+both_ AS (SELECT name, a, b, CASE WHEN EXISTS (SELECT 1 FROM l WHERE l.name = a.name AND l.version = b) THEN b WHEN EXISTS (SELECT 1 FROM r WHERE r.name = a.name AND r.version = a) THEN a END AS common FROM a JOIN b USING (name))
+SELECT name, coalesce(common, a) AS left_version, coalesce(common, b) AS right_version FROM both_""")
+def version_pairing(spark, sf_dir):
+    """The versions of two mirrors' packages to compare: a common one, if one's latest is in the other, else the latest of each."""
+    t = _releases(spark, sf_dir).select("name", "version").distinct()
+    p = F.split("version", "[.]")
+    k = p[0].cast("int") * 100 + p[1].cast("int")
+    return pk.paired_versions(t.where(k % 3 != 0), t.where(k % 4 != 0))
 
 
 @query()

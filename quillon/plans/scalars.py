@@ -36,13 +36,12 @@ def fn_entropy(spark, sf_dir):
 _B64 = "'^(?:[A-Za-z0-9+/]{4}){12,}(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$'"
 
 
-@query(f"""WITH t AS (SELECT doc_id, to_base64(encode(text[1:n])) AS blob FROM documents, (SELECT unnest([30, 36, 37, 45]) AS n))
-SELECT doc_id, count(*) AS n, count(*) FILTER (regexp_matches(blob, {_B64}) AND regexp_matches(blob, '[A-Za-z0-9]$')) AS n_blobs,
-  max(CASE WHEN regexp_matches(blob, {_B64}) AND regexp_matches(blob, '[A-Za-z0-9]$') THEN decode(from_base64(blob)) END) AS decoded FROM t GROUP BY doc_id""")
+@query(f"""WITH t AS (SELECT doc_id, text, to_base64(encode(text)) AS blob FROM documents)
+SELECT doc_id, regexp_matches(blob, {_B64}) AND regexp_matches(blob, '[A-Za-z0-9]$') AS is_blob, CASE WHEN regexp_matches(blob, {_B64}) AND regexp_matches(blob, '[A-Za-z0-9]$') THEN decode(from_base64(blob)) END AS decoded FROM t""")
 def fn_base64(spark, sf_dir):
-    t = _of(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(*(F.base64(F.encode(F.substring("text", 1, n), "utf-8")) for n in (30, 36, 37, 45)))).alias("blob"))
-    t = t.withColumn("d", text.base64_blob(F.regexp_replace("blob", "\\s", "")))
-    return t.groupBy("doc_id").agg(F.count("*").alias("n"), F.count("d").alias("n_blobs"), F.max("d").alias("decoded"))
+    """Whole texts as base64: which count as blobs, as they are 48 signs or more and end in no padding, and what they decode to."""
+    t = _of(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.base64(F.encode("text", "utf-8")), "\\s", "").alias("blob"))
+    return t.select("doc_id", text.base64_blob(F.col("blob")).alias("decoded")).withColumn("is_blob", F.col("decoded").isNotNull())
 
 
 @query("SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[^\\x00-\\x7F]'))), '') AS characters FROM documents WHERE regexp_matches(text, '[^\\x00-\\x7F]')")
@@ -116,11 +115,15 @@ def fn_ages(spark, sf_dir):
     return t.select("o_orderkey", (F.col("t") + F.expr("INTERVAL 93 DAYS") >= F.col("now")).alias("recent"), (F.col("t") + F.expr("INTERVAL 186 DAYS") <= F.col("now")).alias("old"), F.date_format("t", "yyyy-MM-dd").alias("day"))
 
 
-@query("""WITH r AS (SELECT n_nationkey, '/' || lower(n_name) || '/<int:id>/<name>/x<path:rest>' AS route FROM nation)
-SELECT n_nationkey, 'id:int,name:string,rest:path' AS params, route FROM r""")
+@query("""WITH r AS (SELECT p_partkey, '/' || replace(p_name, ' ', '/') || CASE p_partkey % 4 WHEN 0 THEN '/<int:' || p_size || '>' WHEN 1 THEN '/<n' || p_size || '>/<path:rest>' WHEN 2 THEN '' ELSE '/<a>/x/<uuid:b' || p_size || '>' END AS route FROM part),
+e AS (SELECT p_partkey, route, list_transform(string_split(route, '<')[2:], lambda x: string_split(x, '>')[1]) AS inner_ FROM r)
+SELECT p_partkey, route, array_to_string(list_transform(inner_, lambda x: CASE WHEN contains(x, ':') THEN split_part(x, ':', 2) || ':' || split_part(x, ':', 1) ELSE x || ':string' END), ',') AS params FROM e""")
 def fn_url_params(spark, sf_dir):
-    t = _of(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("/"), F.lower("n_name"), F.lit("/<int:id>/<name>/x<path:rest>")).alias("route"))
-    return t.select("n_nationkey", F.array_join(text.url_params(F.col("route")), ",").alias("params"), "route")
+    size = F.col("p_size").cast("string")
+    k = F.col("p_partkey") % 4
+    end = F.when(k == 0, F.concat(F.lit("/<int:"), size, F.lit(">"))).when(k == 1, F.concat(F.lit("/<n"), size, F.lit(">/<path:rest>"))).when(k == 2, "").otherwise(F.concat(F.lit("/<a>/x/<uuid:b"), size, F.lit(">")))
+    t = _of(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("/"), F.translate("p_name", " ", "/"), end).alias("route"))
+    return t.select("p_partkey", F.array_join(text.url_params(F.col("route")), ",").alias("params"), "route")
 
 
 @query("SELECT doc_id, rtrim(replace(replace(to_base64(unhex(sha256(text))), '+', '-'), '/', '_'), '=') AS digest FROM documents")

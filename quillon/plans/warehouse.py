@@ -10,8 +10,8 @@ from quillon.registry import query
 from quillon.sinks import formats
 
 
-@query(f"""WITH {HITS}, kinds AS (SELECT class, row_number() OVER (ORDER BY class) AS type_id FROM (SELECT DISTINCT class FROM firsts)), scans AS (SELECT scan_id, row_number() OVER (ORDER BY scan_id) AS scan_key FROM (SELECT DISTINCT scan_id FROM firsts))
-SELECT scan_key::INTEGER AS scan_key, type_id::INTEGER AS type_id, signature, score, file_id FROM firsts JOIN kinds USING (class) JOIN scans USING (scan_id)""")
+@query(f"""WITH {HITS}, kinds AS (SELECT class, row_number() OVER (ORDER BY class) AS type_id FROM (SELECT DISTINCT class FROM firsts))
+SELECT ('0x' || substr(md5(scan_id), 1, 15))::BIGINT AS scan_key, type_id::INTEGER AS type_id, signature, score, file_id FROM firsts JOIN kinds USING (class)""")
 def star_detections(spark, sf_dir):
     return wh.detection_facts(found(spark, sf_dir)).select("scan_key", "type_id", "signature", "score", "file_id")
 

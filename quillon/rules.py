@@ -169,3 +169,74 @@ BEHAVIORS = {
     "networked_personal": {"allOf": ["network", {"anyOf": ["personal_data", "leak:secret"]}]},
     "junk_only": {"allOf": ["quality:junk", {"not": {"anyOf": ["leak", "network"]}}]},
 }
+
+
+def _tokens() -> list[Rule]:
+    """Keys of services, each as a whole string."""
+    w, d = "[A-Za-z0-9]", "[0-9]"
+    shapes = {
+        "twitter_access_token": f"[1-9]{d}+-{w}{{40}}",
+        "facebook_access_token": f"EAACEdEose0cBA{w}+",
+        "google_api_key": "AIza[A-Za-z0-9_-]{35}",
+        "google_oauth_id": f"{d}+-[A-Za-z0-9_]{{32}}[.]apps[.]googleusercontent[.]com",
+        "picatic_api_key": "sk_live_[a-z0-9]{32}",
+        "stripe_standard_key": f"sk_live_{w}{{24}}",
+        "stripe_restricted_key": f"rk_live_{w}{{24}}",
+        "square_access_token": "sq0atp-[A-Za-z0-9_-]{22}",
+        "square_oauth_secret": "sq0csp-[A-Za-z0-9_-]{43}",
+        "paypal_braintree": "access_token[$]production[$][a-z0-9]{16}[$][a-f0-9]{32}",
+        "amazon_mws_auth_token": "amzn[.]mws[.]" + "-".join(f"[a-f0-9]{{{n}}}" for n in (8, 4, 4, 4, 12)),
+        "twilio_api_key": "SK[A-Fa-f0-9]{32}",
+        "mailgun_api_key": f"key-{w}{{32}}",
+        "mailchimp_api_key": f"[a-f0-9]{{32}}-us{d}{{1,2}}",
+        "amazon_aws_key": "(?:AKIA|ASIA|AROA|AIDA|AIPA|AGPA|ANPA|ANVA|A3T[A-Z0-9])[A-Z0-9]{16}",
+        "pypi_api_key": "pypi-AgEIcHlwaS5vcmc[A-Za-z0-9_-]{50,1000}",
+    }
+    return [Rule(k, "regex", v + "$", f"A key: {k.replace('_', ' ')}", 100, ("leak:access_token",)) for k, v in shapes.items()]
+
+
+#: Rules over the strings of sources.
+SOURCE_STRINGS = [
+    Rule("all_interfaces", "regex", r"0[.]0[.]0[.]0(?::\d{2,6})?$", "All network interfaces are listened on", 10, ("behavior:public_network_interface",)),
+    Rule("tmp_folder", "regex", r"(?:/tmp|/var/tmp|/dev/shm|C:\\{1,2}Windows\\Temp\\)", "A folder for temporary files, by name", 10, ("behavior:temp_file",)),
+    Rule("url", "regex", "(?:http|ftp)s?://.{5,}", "An address", 0, ("behavior:url",)),
+    Rule("netsh_firewall", "regex", "netsh (?:adv)?firewall", "The firewall of Windows is changed", 10, ("behavior:windows:firewall",)),
+    Rule("mac_firewall", "regex", "(?:pfctl|/usr/libexec/ApplicationFirewall/socketfilterfw)", "The firewall of macOS is changed", 0, ("behavior:macos:firewall",)),
+    Rule("windows_service", "contains", "SysWOW64", "The folder of Windows services", 10, ("behavior:windows:system_service_folder",)),
+    Rule("windows_task_scheduler", "contains", "schtasks", "The task scheduler of Windows", 10, ("behavior:windows:task_scheduler",)),
+    Rule("hosts_file", "regex", r"(?:C:\\{1,2}Windows\\System32\\drivers\\etc\\hosts|/etc/hosts)$", "The file of host names", 5, ("behavior:accessing_host_file",)),
+    Rule("sudo_command", "regex", "sudo .*$", "A command of the superuser", 20, ("behavior:unix:sudo",)),
+    *_tokens(),
+]
+_SECRET = ("leak:sensitive_file",)
+_NAMES = ".htpasswd secret_token.rb kwallet .bash_login .sh_history .mysql_history .dbshell .rediscli_history .viminfo .fetchmailrc database.yml".split()
+_PLACES = ".ssh/known_keys .ssh/authorized_keys etc/shadow etc/sudoers Local/Google/Chrome/ .docker/config.json .kube/config .aws/credentials".split()
+#: Rules over the paths of files.
+PATHS = [
+    Rule("test_code", "regex", "test(?:s|_.+)?$", tags=("misc:test_code",), target="part"),
+    Rule("ssh_key", "regex", "id_[dr]sa$", tags=("leak:private_key", *_SECRET), target="filename"),
+    Rule("bash_history", "exact", ".bash_history", tags=("leak:bash_history", *_SECRET), target="filename"),
+    Rule("wallet", "exact", "wallet.dat", tags=("misc:crypto_wallet", *_SECRET), target="filename"),
+    *(Rule(f"name:{n}", "exact", n, tags=_SECRET, target="filename") for n in _NAMES),
+    *(Rule(f"place:{p}", "contains", p, tags=_SECRET) for p in _PLACES),
+    *(Rule(f"ignored:{n}", "exact", n, tags=("misc:ignore_file",), target="filename") for n in (".gitignore", ".travis.yml")),
+]
+#: What the tags of a whole scan say of it: id to (name, rule tree).
+SCAN_BEHAVIORS = {
+    "network_access": ("Network access", {"anyOf": ["behavior:public_network_interface", "behavior:network", "vuln:unverified_request", "vuln:tls_unverified"]}),
+    "system_execution": ("System execution", {"anyOf": ["behavior:system_execution", "behavior:process"]}),
+    "code_execution": ("Code execution", "behavior:code_execution"),
+    "file_access": ("Accessing files and directories", {"anyOf": ["behavior:opening_files", "behavior:file_system"]}),
+    "windows": ("Windows OS", "behavior:windows"),
+    "macos": ("MacOS", "behavior:macos"),
+    "unix": ("Unix", "behavior:unix"),
+    "low_level_access": ("Low-level OS access", "behavior:ctypes"),
+    "obfuscation": ("Obfuscation", {"anyOf": ["behavior:obfuscation", "behavior:accessing_variables"]}),
+    "vulnerability": ("Vulnerability", {"allOf": ["vuln", {"not": "misc:test_code"}]}),
+    "possible_malware": ("Possible Malware", "behavior:possible_malware"),
+}
+
+
+def behavior_id(name: str, id_: str | None = None) -> str:
+    """A behaviour's id: what is given, else its name in lower case with underscores."""
+    return id_ or name.lower().replace(" ", "_")

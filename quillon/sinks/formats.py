@@ -138,7 +138,63 @@ def to_jdbc(detections: DataFrame, url: str, table: str, **properties: str) -> N
     detections.select("scan_id", "signature", "score", F.col("class").alias("type"), "severity", detection_json().alias("data")).write.jdbc(url, table, mode="append", properties=properties)
 
 
-FORMATS = {"json": scan_documents, "gitlab": gitlab, "sarif": sarif}
+def html_reports(detections: DataFrame) -> DataFrame:
+    """(scan_id, json): a page a scan that carries the scan's document."""
+    head, tail = html_report("\0").split(base64.b64encode(b"\0").decode())
+    t = scan_documents(detections)
+    return t.select("scan_id", F.concat(F.lit(head), F.regexp_replace(F.base64(F.encode("json", "UTF-8")), "\\s", ""), F.lit(tail)).alias("json"))
+
+
+def bills(detections: DataFrame) -> DataFrame:
+    """(scan_id, json): the bill of materials of each scan's components, which SbomComponent detections name as ``name==version``."""
+    from quillon.functions.text import canonical, purl
+
+    part = F.split(F.col("message"), "==")
+    c = F.struct(F.lit("library").alias("type"), canonical(part[0]).alias("name"), purl(part[0], part[1]).alias("purl"), part[1].alias("version"))
+    t = detections.where("class = 'SbomComponent'").groupBy("scan_id").agg(F.array_sort(F.collect_set(c)).alias("components"))
+    return t.select("scan_id", F.to_json(F.struct(F.lit("CycloneDX").alias("bomFormat"), F.lit("1.3").alias("specVersion"), F.lit(1).alias("version"), "components")).alias("json"))
+
+
+def write_changes(changes: DataFrame, uri: str) -> None:
+    """Writes file changes as text, ``json`` (a line each), ``parquet``, or ``sqlite`` tables ``diffs`` and ``patches``."""
+    o = parse_output(uri)
+    names = {"A": "added", "R": "removed", "M": "modified"}
+    if o["format"] == "text":
+        for r in changes.orderBy("a_ref", "b_ref").toLocalIterator():
+            print(f"{names[r.operation]:>8} {r.a_ref or '-'} {r.b_ref or '-'}" + (f" {r.similarity:.2f}" if r.similarity is not None else ""))
+            if r.patch:
+                print(r.patch)
+    elif o["format"] == "json":
+        changes.write.mode("overwrite").json(o["path"])
+    elif o["format"] == "parquet":
+        changes.write.mode("overwrite").parquet(o["path"])
+    elif o["format"] == "sqlite":
+        changes_to_sqlite(changes, o["path"])
+    else:
+        raise ValueError(f"no such format: {o['format']}")
+
+
+def changes_to_sqlite(changes: DataFrame, path: str) -> int:
+    """Changes as tables of a local SQLite file, in one transaction; for reports of a size for one machine. Returns their number."""
+    import sqlite3
+
+    con = sqlite3.connect(path)
+    try:
+        with con:
+            con.execute("CREATE TABLE IF NOT EXISTS diffs (id INTEGER PRIMARY KEY, operation TEXT CHECK (operation IN ('A', 'R', 'M')), a_ref TEXT, b_ref TEXT, a_md5 TEXT, b_md5 TEXT, similarity REAL)")
+            con.execute("CREATE TABLE IF NOT EXISTS patches (diff INTEGER UNIQUE REFERENCES diffs, patch TEXT NOT NULL)")
+            n = 0
+            for r in changes.orderBy("a_ref", "b_ref").toLocalIterator():
+                row = con.execute("INSERT INTO diffs (operation, a_ref, b_ref, a_md5, b_md5, similarity) VALUES (?, ?, ?, ?, ?, ?)", (r.operation, r.a_ref, r.b_ref, r.a_md5, r.b_md5, r.similarity)).lastrowid
+                if r.patch:
+                    con.execute("INSERT INTO patches VALUES (?, ?)", (row, r.patch))
+                n += 1
+            return n
+    finally:
+        con.close()
+
+
+FORMATS = {"json": scan_documents, "gitlab": gitlab, "sarif": sarif, "html": html_reports, "sbom": bills}
 
 
 def write(detections: DataFrame, uri: str, **given) -> None:
@@ -157,6 +213,8 @@ def write(detections: DataFrame, uri: str, **given) -> None:
         t.select(detection_json().alias("value")).write.mode("overwrite").text(o["path"])
     elif o["format"] == "sqlite":
         to_sqlite(t, o["path"])
+    elif o["format"] == "text":
+        print(*text_report(t), sep="\n")
     elif o["format"] in FORMATS:
         FORMATS[o["format"]](t).select(F.col("json").alias("value")).write.mode("overwrite").text(o["path"])
     else:

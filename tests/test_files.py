@@ -138,11 +138,11 @@ def test_sources(spark, tmp_path):
     assert {r.uri for r in readers.uri_list(spark, str(tmp_path / "l")).collect()} == {"mirror://flask", "pypi://a"}
     (tmp_path / "g").write_text("got packages/aa/Flask_X-1.0-py3-none-any.whl ok\n")
     assert readers.mirror_log(spark, str(tmp_path / "g")).first().uri == "mirror://flask-x?release=1.0&filename=Flask_X-1.0-py3-none-any.whl"
-    (tmp_path / "d").write_text('{"abc": ["abc1", "abc2"], "abc2": ["abc3", "abc"]}')
+    (tmp_path / "d").write_text('{"root": ["leaf", "stem"], "stem": ["bud", "root"], "other": ["root"]}')
     edges = readers.reverse_dependencies(spark, str(tmp_path / "d"))
-    got = {(r.name, r.depth) for r in pk.dependents(edges, spark.createDataFrame([("abc",)], "name string")).collect()}
-    assert got == {("abc", 0), ("abc1", 1), ("abc2", 1), ("abc3", 2)}
-    assert formats.gexf(edges).count("<edge ") == 4
+    got = {(r.name, r.depth) for r in pk.dependents(edges, spark.createDataFrame([("root",)], "name string")).collect()}
+    assert got == {("root", 0), ("leaf", 1), ("stem", 1), ("bud", 2)}
+    assert formats.gexf(edges).count("<edge ") == 5
     root = tmp_path / "m"
     (root / "json").mkdir(parents=True)
     (root / "packages").mkdir()
@@ -182,3 +182,84 @@ def test_trust_and_licences(spark):
     t = spark.sql("SELECT 'p' AS name, 1000 AS downloads, CAST(NULL AS long) AS n_reverse, 11 AS stars, 0 AS forks, 1 AS contributors, TIMESTAMP_NTZ '2024-01-01' AS last_commit, TIMESTAMP_NTZ '2020-01-01' AS created, TIMESTAMP_NTZ '2024-02-01' AS now, 3 AS n_releases, true AS has_wheel, false AS has_sdist, 'h' AS homepage, CAST(NULL AS string) AS docs, 2 AS n_classifiers")
     r = pk.trust_score(t).first()
     assert (r.pypi_downloads, r.github_stars, r.last_commit, r.total) == (3, 2, 1, 10)
+
+
+def test_scan_of_a_wheel_and_blobs(spark, tmp_path):
+    import base64
+    import hashlib
+
+    digest = lambda b: base64.urlsafe_b64encode(hashlib.sha256(b).digest()).decode().rstrip("=")
+    inner = b"import os\nos.system(input())\n" * 4
+    good, bad = b"x = 1\n", b"y = 2\n"
+    record = f"p/a.py,sha256={digest(good)},6\np/b.py,sha256={digest(good)},6\np/gone.py,sha256=x,1\np-1.dist-info/RECORD,,\n".encode()
+    members = {"p/a.py": good, "p/b.py": bad, "p/more.py": b"BLOB = '" + base64.b64encode(inner) + b"'\n", "p-1.dist-info/RECORD": record, "p/id_rsa": b"k"}
+    folder = tmp_path / "w"
+    folder.mkdir()
+    (folder / "p-1-py3-none-any.whl").write_bytes(zipped(**members))
+    found = plan.scan(spark, str(folder)).collect()
+    problems = {(r.message.split(": ")[0], r.message.rsplit("$", 1)[1]) for r in found if r["class"] == "PythonDistribution"}
+    assert problems == {("bad_digest", "p/b.py"), ("missing", "p/gone.py"), ("unlisted", "p/more.py"), ("unlisted", "p/id_rsa")}
+    assert any(r["class"] == "SensitiveFile" and r.score == 100 and r.severity == "critical" for r in found)
+    assert any(r["class"] == "FileStats" and r.file_id.endswith("$blob") for r in found)
+    shown = {json.loads(r.extra)["id"] for r in found if r["class"] == "Behavior"}
+    assert "file_access" not in shown
+    for f in ("html", "sbom"):
+        formats.write(spark.createDataFrame(found, plan.scan(spark, str(folder)).schema), f"{f}://{tmp_path}/{f}")
+
+
+def test_rules_from_a_file(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.py").write_text("import mylib\nmylib.danger(1, mode='x')\nT = 'needle here'\n")
+    (tmp_path / "in" / "odd.name").write_text("z")
+    own = {"patterns": [{"id": "danger", "pattern": ["mylib.danger(..., mode='x')"], "detection": {"score": 77, "message": "own"}, "tags": ["own:tag"]}], "strings": [{"id": "n", "type": "regex", "pattern": "needle", "score": 7}], "files": [{"type": "exact", "pattern": "odd.name", "target": "filename", "tags": ["own:file"]}]}
+    (tmp_path / "rules.json").write_text(json.dumps(own))
+    found = plan.scan(spark, str(tmp_path / "in"), settings=plan.settings_of(str(tmp_path / "rules.json"))).collect()
+    assert any(r.score == 77 and "own:tag" in r.tags and r.line_no == 2 for r in found)
+    assert any(r.score == 7 and r["class"] == "StringMatch" for r in found) and any("own:file" in r.tags for r in found)
+    without = plan.scan(spark, str(tmp_path / "in")).collect()
+    assert not any(r.score in (7, 77) for r in without)
+
+
+def test_changes_of_archives(spark, tmp_path):
+    for side, text in (("l", b"a = 1\nb = 2\n"), ("r", b"a = 1\nb = 3\n")):
+        (tmp_path / side).mkdir()
+        (tmp_path / side / "x.zip").write_bytes(zipped(**{"m.py": text, "same.txt": b"s"}))
+        (tmp_path / side / "plain.txt").write_bytes(b"p")
+    got = diff.snapshots(*readers.read_pair(spark, str(tmp_path / "l"), str(tmp_path / "r")))
+    rows = {r.a_ref: r for r in got.collect()}
+    assert {k.rsplit("/", 1)[-1] for k in rows} == {"x.zip", "x.zip$m.py"}
+    patch = next(r.patch for k, r in rows.items() if k.endswith("m.py"))
+    assert "-b = 2" in patch and "+b = 3" in patch
+    assert formats.changes_to_sqlite(got, str(tmp_path / "d")) == 2
+    formats.write_changes(got, f"json://{tmp_path}/j")
+    assert spark.read.json(str(tmp_path / "j")).count() == 2
+
+
+def test_hooks_of_names(spark):
+    scans = spark.createDataFrame([("s1", "reqests"), ("s2", "other")], "scan_id string, name string")
+    found = plan.typosquatting(scans, spark.createDataFrame([("requests",), ("flask",)], "name string")).collect()
+    assert [(r.scan_id, r["class"], r.score, r.informational) for r in found] == [("s1", "Typosquatting", 0, True)]
+
+
+def test_renames_miss_no_pair(spark):
+    import itertools
+    import random
+
+    from quillon.functions.similarity import lz_set
+
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    base = [" ".join(r.choice(words) for _ in range(120)) for _ in range(4)]
+    change = lambda t: " ".join(x if r.random() > 0.05 else "new" for x in t.split())
+    left = [(f"l/{i}.py", change(base[i % 4])) for i in range(8)]
+    right = [(f"r/{i}.py", change(base[i % 4])) for i in range(8)]
+    a, b = (spark.createDataFrame([(p, str(hash(t)), t) for p, t in side], "path string, md5 string, text string") for side in (left, right))
+    got = {(x.a_ref, x.b_ref) for x in diff.with_renames(diff.by_name(a, b), a, b, 0.3).where("operation = 'M'").collect()}
+    share = {(p, q): len(lz_set(t.encode()) & lz_set(u.encode())) / len(lz_set(t.encode()) | lz_set(u.encode())) for (p, t), (q, u) in itertools.product(left, right)}
+    left_over = sorted(((-s, p, q) for (p, q), s in share.items() if s >= 0.3))
+    want, used = set(), set()
+    for _, p, q in left_over:
+        if p not in used and q not in used:
+            want.add((p, q))
+            used |= {p, q}
+    assert want and got == want
