@@ -17,14 +17,16 @@ batches, they merge, so there are never more than log2 of the batches. Suffixes
 are held once, by their first occurrence: thousands of copies take the room of one.
 
 Suffixes are partitioned by their core, which all that could match share. Each partition
-keeps its own family, so the one shuffle is that of the suffixes. Matches of a document that
+keeps its own family, so the one shuffle is that of the suffixes. Of suffixes that are equal in full, only the first of a batch of rows
+is shuffled as such: the others' matches with it are known there and then, so a hot run is thinned before it meets in one task.
+:class:`Index` keeps the families' levels as a table in the shared folder, to which new batches are appended at any time. Matches of a document that
 touch or overlap are joined; those of at least ``min_words`` words together are the result. So every
 run of that many words that occurred before lies in a result; a result can also join runs of CORE
 words or more that occurred in different places.
 
 Edge cases. Documents of fewer than CORE + LEFT words have no match, nor have null and empty ones.
-Rows with a null doc_id take no part. Repeated rows of a doc_id count as one document with its text; the
-same run twice in one document is a match with itself, at its later place. Ties in the order of
+Rows with a null doc_id take no part. Repeated rows of a doc_id count as one document with its text; rows of one doc_id with
+different texts are texts of one document. The same run twice in one document is a match with itself, at its later place. Ties in the order of
 arrival go to the smaller doc_id, then the smaller position. Empty tables give no rows. Byte-sized hashes can
 widen a match by a word by chance (1 in 255); that a core agrees by chance is out of question.
 """
@@ -35,9 +37,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.llm import storage
 from quillon.llm import textwords as tw
 
 U64 = np.uint64
@@ -86,19 +90,52 @@ def suffixes(w: tw.Words, at: np.ndarray) -> np.ndarray:
     return np.concatenate([rows[:, LEFT:SHORTEST], left, right], axis=1)
 
 
-def suffix_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, position, suffix) of the indexed suffixes of all documents."""
+_TABLE = "doc_id long, position int, batch int, suffix binary, start_word long, end_word long, match_doc_id long"
+_NAMES = ["doc_id", "position", "batch", "suffix", "start_word", "end_word", "match_doc_id"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+
+def order_of(keys: np.ndarray, *ranks: np.ndarray) -> np.ndarray:
+    """The order by key, then by the ranks."""
+    order = np.lexsort(ranks[::-1])
+    return order[np.argsort(keys[order], kind="stable")]
+
+
+def suffix_table(docs: DataFrame, batches: int = 1) -> DataFrame:
+    """The indexed suffixes of all documents, with the number of the batch in which each document arrives.
+
+    Of equal ones in a batch of rows the first stands as such; each other has a null suffix and its match with that one.
+    """
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            docs_of, arrivals = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            parts = []
             for first, w in tw.split(batch.column(1)):
                 at = sampled(w)
-                if not len(at):
-                    continue
-                doc = np.searchsorted(w.first, at, side="right") - 1
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + doc)), pa.array((at - w.first[doc]).astype(np.int32)), tw.binary(suffixes(w, at))], names=["doc_id", "position", "suffix"])
-
-    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, position int, suffix binary")
+                own = np.searchsorted(w.first, at, side="right") - 1
+                parts.append((docs_of[first + own], at - w.first[own], arrivals[first + own], suffixes(w, at)))
+            if not sum(len(x[0]) for x in parts):
+                continue
+            doc, position, arrival, rows = (np.concatenate(x) for x in zip(*parts))
+            keys = np.ascontiguousarray(rows).view(f"S{WIDTH}").ravel()
+            order = order_of(keys, arrival, doc, position)
+            doc, position, arrival, rows, keys = doc[order], position[order], arrival[order], rows[order], keys[order]
+            heads = np.ones(len(doc), bool)
+            heads[1:] = keys[1:] != keys[:-1]
+            leader = np.flatnonzero(heads)[np.cumsum(heads) - 1]
+            # A repeated row of a document isn't a repeat.
+            again = np.zeros(len(doc), bool)
+            again[1:] = ~heads[1:] & (doc[1:] == doc[:-1]) & (position[1:] == position[:-1])
+            rest = np.flatnonzero(~heads & ~again)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[heads]), pa.array(position[heads].astype(np.int32)), pa.array(arrival[heads].astype(np.int32)), tw.binary(rows[heads]), *(pa.nulls(int(heads.sum()), pa.int64()) for _ in range(3))], names=_NAMES)
+            if len(rest):
+                left, right = (np.where((z == 0).any(axis=1), (z == 0).argmax(axis=1), LEFT) for z in (rows[rest, CORE:SHORTEST], rows[rest, SHORTEST:]))
+                spans = position[rest] - left, position[rest] + CORE + right, doc[leader[rest]]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[rest]), pa.array(position[rest].astype(np.int32)), pa.array(arrival[rest].astype(np.int32)), pa.nulls(len(rest), pa.binary()), *map(pa.array, spans)], names=_NAMES)
+
+    storage.lean(docs.sparkSession)
+    arrival = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
+    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", "text", arrival.alias("batch")).mapInArrow(run, _TABLE)
 
 
 def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -145,8 +182,10 @@ class Family:
     def add(self, doc: np.ndarray, position: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
         """Scans a new batch, then takes it in: (doc, position, bytes shared, other doc) of the suffixes that share a core."""
         keys = np.ascontiguousarray(rows).view(f"S{WIDTH}").ravel()
-        order = np.lexsort((position, doc))
-        order = order[np.argsort(keys[order], kind="stable")]
+        order = order_of(keys, doc, position)
+        same = np.zeros(len(order), bool)
+        same[1:] = (keys[order[1:]] == keys[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]]) & (position[order[1:]] == position[order[:-1]])
+        order = order[~same]
         doc, position, rows, keys = doc[order], position[order], rows[order], keys[order]
         n = len(doc)
         shared, other = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -178,34 +217,84 @@ class Family:
 _RIGHT_FIRST = np.r_[0:CORE, SHORTEST:WIDTH, CORE:SHORTEST]
 
 
-def matches(table: DataFrame, batches: int) -> DataFrame:
-    """(doc_id, start_word, end_word, match_doc_id) for each suffix, by families of indexes of each partition of the suffixes."""
-    arrival = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
-    parts = table.repartition(F.substring("suffix", 1, CORE)).withColumn("batch", arrival)
+def families(table: DataFrame, batches: int, levels: DataFrame | None = None, keep_levels: bool = False) -> DataFrame:
+    """Matches of the suffixes' batches with each other and with the stored ``levels``, which the families go on from.
+
+    With ``keep_levels`` the families' levels come after the matches, as rows with a suffix: ``batch`` says how many batches a row's level
+    holds and ``end_word`` which level it is.
+    """
+    t = table.select(*_NAMES, F.lit(-1).alias("level"))
+    if levels is not None:
+        t = t.unionByName(levels)
+    # Matches that are known already go through wherever they are.
+    parts = t.repartition(F.coalesce(F.substring("suffix", 1, CORE), F.encode(F.col("doc_id").cast("string"), "UTF-8")))
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(stream)
-        if not held:
+        held = []
+        for x in stream:
+            known = pc.is_null(x.column(3))
+            done = x.filter(known)
+            if done.num_rows:
+                yield pa.RecordBatch.from_arrays(done.columns[:7], names=_NAMES)
+            held.append(x.filter(pc.invert(known)))
+        if not sum(x.num_rows for x in held):
             return
         t = pa.Table.from_batches(held)
         del held
-        doc, position, batch = (t.column(c).to_numpy() for c in ("doc_id", "position", "batch"))
+        doc, position, batch, level = (t.column(c).to_numpy() for c in ("doc_id", "position", "batch", "level"))
+        position = position.astype(np.int64)
         rows = tw.matrix(t.column("suffix"), WIDTH)
         del t
         by_left, by_right = Family(), Family()
+        for k in np.unique(level[level >= 0]):
+            own = np.flatnonzero(level == k)
+            for family, order in ((by_left, slice(None)), (by_right, _RIGHT_FIRST)):
+                family.levels.append(distinct(rows[own][:, order], doc[own], position[own], np.arange(len(own)), int(batch[own[0]])))
         for b in range(batches):
-            own = np.flatnonzero(batch == b)
-            args = doc[own], position[own].astype(np.int64)
+            own = np.flatnonzero((batch == b) & (level < 0))
+            args = doc[own], position[own]
             d, p, n, other = by_left.add(*args, rows[own])
             yield _spans(d, p - np.minimum(n - CORE, LEFT), p + CORE + np.maximum(n - SHORTEST, 0), other)
             d, p, n, other = by_right.add(*args, rows[own][:, _RIGHT_FIRST])
             yield _spans(d, p - np.maximum(n - SHORTEST, 0), p + np.minimum(n, SHORTEST), other)
+        if keep_levels:
+            for k, x in enumerate(by_left.levels):
+                n = len(x.doc)
+                yield pa.RecordBatch.from_arrays([pa.array(x.doc), pa.array(x.position.astype(np.int32)), pa.array(np.full(n, x.batches, np.int32)), tw.binary(x.rows), pa.nulls(n, pa.int64()), pa.array(np.full(n, k, np.int64)), pa.nulls(n, pa.int64())], names=_NAMES)
+
+    return parts.mapInArrow(run, _TABLE)
 
-    return parts.mapInArrow(run, "doc_id long, start_word long, end_word long, match_doc_id long")
+
+def matches(table: DataFrame, batches: int) -> DataFrame:
+    """(doc_id, start_word, end_word, match_doc_id) for each suffix, by families of indexes of each partition of the suffixes."""
+    return families(table, batches).select("doc_id", "start_word", "end_word", "match_doc_id")
+
+
+class Index:
+    """A stored family of levels: what is appended is matched with all that came before it, and then part of it.
+
+    The levels are a table in the shared folder, written anew by each append with the matches; the one before is dropped then, so an
+    append that fails leaves the index as it was. A partition's levels double: an append rewrites a level once for each doubling.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.levels, self._kept = spark, None, None
+
+    def append(self, docs: DataFrame, batches: int = 1, min_words: int = SHORTEST) -> DataFrame:
+        """As :func:`long_matches`, of ``docs`` with what was appended before and with each other; ``docs`` arrives in so many batches."""
+        kept = storage.keep(families(suffix_table(docs, batches), batches, self.levels, True), "levels")
+        found = storage.keep(joined(kept.where("suffix IS NULL"), min_words), "matches")
+        levels = kept.where("suffix IS NOT NULL").select("doc_id", "position", "batch", "suffix", *(F.lit(None).cast("long").alias(c) for c in _NAMES[4:]), F.col("end_word").cast("int").alias("level"))
+        before, self.levels, self._kept = self._kept, levels, kept
+        if before is not None:
+            storage.drop(before)
+        return found
 
 
 def _spans(*columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["doc_id", "start_word", "end_word", "match_doc_id"])
+    doc, start, end, other = columns
+    n = len(doc)
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), *map(pa.array, (start, end, other))], names=_NAMES)
 
 
 def long_matches(docs: DataFrame, batches: int = 8, min_words: int = SHORTEST) -> DataFrame:
@@ -213,10 +302,14 @@ def long_matches(docs: DataFrame, batches: int = 8, min_words: int = SHORTEST) -
 
     ``match_doc_id`` names the document of the first of the joined matches that reaches furthest to the left.
     """
-    found = matches(suffix_table(docs), batches)
+    return joined(matches(suffix_table(docs, batches), batches), min_words)
+
+
+def joined(found: DataFrame, min_words: int) -> DataFrame:
+    """The maximal runs that matches of suffixes make up together."""
     by_doc = Window.partitionBy("doc_id").orderBy("start_word", "end_word", "match_doc_id")
     reach = F.max("end_word").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     marked = found.withColumn("fresh", F.when(F.coalesce(reach, F.lit(-1)) < F.col("start_word"), 1).otherwise(0))
     runs = marked.withColumn("run", F.sum("fresh").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = runs.groupBy("doc_id", "run").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.min_by("match_doc_id", F.struct("start_word", "end_word", "match_doc_id")).alias("match_doc_id"))
-    return joined.where(F.col("end_word") - F.col("start_word") >= min_words).select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "match_doc_id")
+    out = runs.groupBy("doc_id", "run").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.min_by("match_doc_id", F.struct("start_word", "end_word", "match_doc_id")).alias("match_doc_id"))
+    return out.where(F.col("end_word") - F.col("start_word") >= min_words).select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "match_doc_id")

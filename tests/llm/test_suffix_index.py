@@ -87,3 +87,30 @@ def test_odd_input(spark):
     found = sx.long_matches(t).collect()
     assert {r.doc_id for r in found} <= {4, 5} and any(r.n_words == 30000 for r in found)
     assert sx.long_matches(t.limit(0)).count() == 0
+
+
+def test_appending_equals_building_at_once(spark):
+    from pyspark.sql import functions as F
+
+    docs = planted()
+    t = spark.createDataFrame([(i, " ".join(d)) for i, d in docs.items()], SCHEMA)
+    arrival = F.pmod(F.xxhash64("doc_id"), F.lit(5))
+    index, got = sx.Index(spark), []
+    for b in range(5):
+        got += [tuple(r)[:4] for r in index.append(t.where(arrival == b)).collect()]
+    want = [tuple(r)[:4] for r in sx.long_matches(t, 5).collect()]
+    assert sorted(got) == sorted(want) and want
+    sizes = {r.level: r.batch for r in index.levels.select("level", "batch").distinct().collect()}
+    assert max(sizes.values()) <= 4 and index.append(t.limit(0)).count() == 0
+    # What comes again is found whole.
+    again = {r.doc_id: r.n_words for r in index.append(t.where("doc_id < 3")).collect()}
+    assert all(again[i] == len(docs[i]) for i in range(3))
+
+
+def test_copies_are_thinned_before_the_shuffle(spark):
+    text = " ".join(prose(300, "h"))
+    t = spark.createDataFrame([(i, text) for i in range(500)], SCHEMA).coalesce(1)
+    table = sx.suffix_table(t, 4)
+    assert table.where("suffix IS NOT NULL").count() * 100 < table.count()
+    found = sx.long_matches(t, 4).collect()
+    assert len(found) == 499 and all(r.n_words == 300 for r in found)
