@@ -223,11 +223,14 @@ def test_bands_lose_no_link(spark, monkeypatch, salted):
     assert want and {x.node: x.root for x in pg.linked(members, grams, 0.8).collect()} == want
 
 
-def test_long_chains_settle(spark):
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_long_chains_settle(spark, few):
     from quillon.llm import storage
 
-    edges = spark.range(3000).selectExpr("id AS a", "id + 1 AS b")
-    assert {x.root for x in storage.components(edges).select("root").distinct().collect()} == {0}
+    edges = spark.range(3000).selectExpr("id AS a", "id + 1 AS b").union(spark.createDataFrame([(5000, 5000), (None, 3), (9000, 8000), (8500, 9000)], "a long, b long"))
+    got = {x.node: x.root for x in storage.components(edges, few).collect()}
+    assert got == {**dict.fromkeys(range(1, 3001), 0), 9000: 8000, 8500: 8000}
+    assert storage.components(edges.limit(0), few).count() == 0
 
 
 def test_only_kept_tables_are_dropped(spark, tmp_path):
