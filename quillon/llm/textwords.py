@@ -9,6 +9,8 @@ alone: equal on every executor, in every batch and in every run.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,6 +24,25 @@ _IS_WORD = np.zeros(256, dtype=bool)
 _IS_WORD[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]] = True
 
 
+def give_back() -> None:
+    """Lets this process give the room of large arrays back as soon as they are freed.
+
+    Workers stay for later tasks, and several share an executor's memory, so what one keeps to itself others lack. Where
+    the C library has no such settings nothing changes.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+        # Blocks from 1 MB on are maps of their own; the heap's free end is trimmed; threads share one heap.
+        for what, value in ((-3, 1 << 20), (-1, 1 << 20), (-8, 1)):
+            mallopt(what, value)
+    except (OSError, AttributeError):
+        pass
+
+
+give_back()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit changes about half of the output bits."""
     x = x ^ (x >> U64(33))
