@@ -13,8 +13,9 @@ they are banded so that pairs at the similarity threshold collide with the wante
 One aggregation over band keys and ids says which keys several paragraphs share, with partial minima and maxima, so
 no group is gathered; only what a sieve of those keys lets through is read again. Of each band, all are first compared with
 the least id by exact Jaccard of the trigram sets, and components are formed. Only those that this leaves outside the
-least one's component are then compared with the rest of their band that is in another component, hot bands in salted parts. So a
-template with a million variants costs a million comparisons, and no link between different paragraphs that share a band is lost.
+least one's component are then compared with the rest of their band that is in another component. Bands of more than ``PLAIN`` members are many unlike
+paragraphs that share some common trigrams; there only pairs are compared that share one of their rarest trigrams in the band, which any similar
+pair does (:func:`_rare`). So a template with a million variants costs about a million comparisons, and no link between different paragraphs that share a band is lost.
 Verified pairs form components; of each component the first paragraph, by doc_id and position, stays and later ones are repeats.
 Repeats are removed where they stand in runs of ``min_run`` words at least: a stock line of a few words is no passage.
 
@@ -259,29 +260,91 @@ def similar(pairs: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
     return both.where(common >= threshold * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-#: Members of a band that are compared in one part with those that its first comparison left over.
+#: Members of a band, or of a trigram within it, that are compared in one part with those that its first comparison left over.
 SALTED = 4096
+#: Bands of at most so many members are compared pair by pair; in larger ones a pair has to share a rare trigram first.
+PLAIN = 16
 
 
-def linked(members: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
+def _rare(rest: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
+    """(band, gram, c, rank, n, small, pid, root, marks): of each member of a band the rarest of its trigrams there, of which any similar pair shares one.
+
+    A similar pair shares ``threshold`` of the larger set at least, and 2 t / (1 + t) of the smaller one. So under one order
+    of a band's trigrams the first they share is among the larger one's first n - t n + 1, and where ``small`` says so in the smaller one.
+    The order is by the number of members that have the trigram, so that it is a rare one where there is any; those of one member alone count for the rank and then go.
+    ``marks`` has the parity of the trigrams in each of 64 bins: two sets differ by as many trigrams as their marks by bits, or more.
+    """
+    own = rest.where("pid <> low").select("band", "pid", "root").join(grams, "pid")
+    own = own.select("band", "pid", "root", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    own = own.withColumn("c", F.count("*").over(Window.partitionBy("band", "gram")))
+    mark = F.expr("shiftleft(1L, CAST(pmod(xxhash64(gram), 64) AS INT))")
+    own = own.groupBy("band", "pid").agg(F.bit_xor(mark).alias("marks"), F.first("root").alias("root"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "gram"))).alias("order"))
+    first = lambda share: (F.col("n") - F.ceil(F.col("n") * share - 1e-6) + 1).cast("int")
+    own = own.select("band", "pid", "root", "n", "marks", first(2 * threshold / (1 + threshold)).alias("few"), F.posexplode(F.slice("order", F.lit(1), first(threshold))).alias("rank", "at"))
+    return own.where("at.c > 1").select("band", "at.gram", "at.c", "rank", "n", (F.col("rank") < F.col("few")).alias("small"), "pid", "root", "marks")
+
+
+def _met(rare: DataFrame, threshold: float, hub: bool) -> DataFrame:
+    """(a, b): pairs of different components that may be similar by their sizes, their marks and where their first common trigram stands.
+
+    With ``hub``, of the sets of like sizes that have a trigram of a band only the pairs with the largest.
+    """
+    own, key = ("rank", "n", "pid", "root", "marks"), ["band", "gram"]
+    if hub:
+        key.append("like")
+        rare = rare.withColumn("like", F.floor(F.log("n") / -F.log(F.lit(threshold))))
+        large = rare.groupBy(*key).agg(F.max_by(F.struct(*own), F.struct("n", "pid")).alias("h")).select(*key, *(f"h.{c}" for c in own))
+        small = rare
+    else:
+        key.append("part")
+        parts = F.ceil(F.col("c") / SALTED).cast("int")
+        large = rare.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        small = rare.where("small").withColumn("part", F.pmod(F.xxhash64("pid"), parts.cast("long")).cast("int"))
+    x, y = (t.select(*key, *(F.col(c).alias(f"{c}_{end}") for c in own)) for t, end in ((large, "x"), (small, "y")))
+    need = F.ceil((F.col("n_x") + F.col("n_y")) * (threshold / (1 + threshold)) - 1e-6)
+    left = F.least(F.col("n_x") - F.col("rank_x"), F.col("n_y") - F.col("rank_y"))
+    both = x.join(y, key).where("root_x <> root_y AND (n_y < n_x OR n_y = n_x AND pid_y < pid_x)")
+    both = both.where((F.col("n_y") >= F.col("n_x") * threshold - 1e-6) & (left >= need))
+    both = both.where(F.bit_count(F.col("marks_x").bitwiseXOR(F.col("marks_y"))) <= (F.col("n_x") + F.col("n_y")) * ((1 - threshold) / (1 + threshold)) + 1e-6)
+    return both.select(F.least("pid_x", "pid_y").alias("a"), F.greatest("pid_x", "pid_y").alias("b")).distinct()
+
+
+def linked(members: DataFrame, grams: DataFrame, threshold: float, plain: int = PLAIN) -> DataFrame:
     """(node, root): components of the paragraphs (band, pid) under the similar pairs that share a band. ``grams`` has each pid's set."""
     lows = members.groupBy("band").agg(F.min("pid").alias("low"), F.count("*").alias("n"))
     members = storage.keep(members.join(lows, "band"), "members")
     star = storage.keep(similar(members.where("pid <> low").select(F.col("low").alias("a"), F.col("pid").alias("b")).distinct(), grams, threshold), "star")
+
+    def asked(pairs: DataFrame, name: str) -> DataFrame:
+        """The similar ones of the pairs."""
+        wanted = sieve.of(pairs.select("a").union(pairs.select("b")), "a")
+        out = storage.keep(similar(pairs, grams.where(sieve.through(wanted)("pid")), threshold), name)
+        wanted.destroy()
+        return out
+
+    def rerooted(t: DataFrame, roots: DataFrame, *columns: tuple[str, str]) -> DataFrame:
+        """``t`` with the root of each first column as the second; what isn't in ``roots`` is its own."""
+        for of, to in columns:
+            found = roots.select(F.col("node").alias(of), F.col("root").alias("__root"))
+            t = t.join(found, of, "left").withColumn(to, F.coalesce("__root", of)).drop("__root")
+        return t
+
     roots = storage.keep(storage.components(star), "roots")
     # A band of two is done; in others, what isn't in the least one's component meets the rest that is in another.
-    root = lambda of: roots.select(F.col("node").alias(of), F.col("root").alias(f"{of}_root"))
-    rest = members.where("n > 2").join(root("pid"), "pid", "left").join(root("low"), "low", "left")
-    rest = rest.select("band", "pid", "low", "n", F.coalesce("pid_root", "pid").alias("root"), F.coalesce("low_root", "low").alias("low_root"))
-    rest = storage.keep(rest, "rest")
-    parts = F.ceil(F.col("n") / SALTED).cast("int")
-    out = rest.where("root <> low_root").select("band", F.pmod(F.xxhash64("pid"), parts.cast("long")).cast("int").alias("part"), F.col("pid").alias("a"), F.col("root").alias("a_root"))
-    met = rest.where("pid <> low").select("band", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("pid").alias("b"), F.col("root").alias("b_root"), (F.col("root") == F.col("low_root")).alias("inside"))
-    pairs = out.join(met, ["band", "part"]).where("a_root <> b_root AND (inside OR a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = storage.keep(pairs, "pairs")
-    asked = sieve.through(sieve.of(pairs.select("a").union(pairs.select("b")), "a"))
-    more = storage.keep(similar(pairs, grams.where(asked("pid")), threshold), "more")
-    return storage.keep(storage.components(star.union(more)), "roots") if more.take(1) else roots
+    rest = storage.keep(rerooted(members.where("n > 2"), roots, ("pid", "root"), ("low", "low_root")), "rest")
+    few = rest.where(F.col("n") <= plain)
+    out = few.where("root <> low_root").select("band", F.col("pid").alias("a"), F.col("root").alias("a_root"))
+    met = few.where("pid <> low").select("band", F.col("pid").alias("b"), F.col("root").alias("b_root"), (F.col("root") == F.col("low_root")).alias("inside"))
+    pairs = out.join(met, "band").where("a_root <> b_root AND (inside OR a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # In larger bands, all that share a rare trigram there are first compared with one of them, so that copies of copies end in one component.
+    rare = storage.keep(_rare(rest.where(F.col("n") > plain), grams, threshold), "rare")
+    pairs = storage.keep(pairs.union(_met(rare, threshold, True)).distinct(), "pairs")
+    found = star.union(asked(pairs, "more"))
+    roots = storage.keep(storage.components(found), "roots")
+    # Only those that are still apart are compared pair by pair.
+    pairs = storage.keep(_met(rerooted(rare, roots, ("root", "root")), threshold, False).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = asked(pairs, "more")
+    return storage.keep(storage.components(found.union(more)), "roots") if more.take(1) else roots
 
 
 def _marks(docs: DataFrame, threshold: float, recall: float, most_bands: int, reach: int, min_words: int, min_run: int, natural: bool) -> DataFrame:

@@ -223,6 +223,30 @@ def test_bands_lose_no_link(spark, monkeypatch, salted):
     assert want and {x.node: x.root for x in pg.linked(members, grams, 0.8).collect()} == want
 
 
+def test_hot_bands_compare_few_pairs_and_lose_none(spark, monkeypatch):
+    """Of a hot band's unlike sets that share their commonest trigrams few are compared, and all similar ones are found."""
+    r = random.Random(8)
+    sets, real, asked = {}, pg.similar, []
+    for k in range(150):
+        n = r.choice([6, 10, 18, 40])
+        sets[2 * k] = sorted({1, 2, 3, *range(100 + 50 * k, 100 + 50 * k + n - 3)})
+        # A copy, of which some trigrams differ: about as many as a pair at the threshold may have.
+        other = [x for x in sets[2 * k] if x < 4 or r.random() > 0.1]
+        sets[2 * k + 1] = sorted({*other, *(10_000_000 + 100 * k + j for j in range(r.choice([0, 1, 2])))})
+    want = {2 * k + 1: 2 * k for k in range(150) if len({*sets[2 * k]} & {*sets[2 * k + 1]}) >= 0.8 * len({*sets[2 * k]} | {*sets[2 * k + 1]})}
+
+    def similar(pairs, grams, threshold):
+        asked.append(pairs.count())
+        return real(pairs, grams, threshold)
+
+    monkeypatch.setattr(pg, "similar", similar)
+    grams = spark.createDataFrame(list(sets.items()), "pid long, grams array<long>")
+    got = {x.node: x.root for x in pg.linked(spark.createDataFrame([(7, i) for i in sets], "band long, pid long"), grams, 0.8).collect()}
+    assert 30 < len(want) < 140 and got == want
+    # All pairs of what the first comparison leaves over would be 44,551.
+    assert sum(asked) < 2000
+
+
 @pytest.mark.parametrize("few", [0, 1 << 20])
 def test_long_chains_settle(spark, few):
     from quillon.llm import storage
