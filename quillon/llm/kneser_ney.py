@@ -1,9 +1,8 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
 
 The model is over UTF-8 bytes, of order 5 (1 to 5), one set of counts for each language.
-Trusted text is that of labelled documents of quality 1 that aren't toxic. A bounded sample of it is counted:
-of at most ``train_docs`` documents of a language, those with the least hash of their doc_id, all but
-one in ``hold_out`` (of fewer documents than that, all but one). All trusted text that isn't counted is scored to set
+Trusted text is that of labelled documents of quality 1 that aren't toxic. All of it is used: one document in
+``hold_out``, by hash of its doc_id, is held out (of fewer documents than that, one), and all others are counted. The held-out text is scored to set
 the language's threshold: the ``quantile`` of the scores, times ``slack``. (A quantile of all documents
 would reject the same share of any corpus, however clean.) A document is rejected if its perplexity
 is above its language's threshold.
@@ -11,7 +10,7 @@ is above its language's threshold.
 Counting and smoothing are joins and aggregations sharded by n-gram: continuation counts come
 from the distinct n-grams one order up, discounts D1, D2, D3+ from the counts of counts, and
 each n-gram joins its context's totals and its suffix's lower-order probability. The resulting
-table is bounded by the sample. It is broadcast in shards of about ``shard_entries`` entries at most, which are compiled
+table grows with the distinct n-grams of the trusted text. It is broadcast in shards of about ``shard_entries`` entries at most, which are compiled
 one after another; a worker holds one at a time. Shards are cut by the byte before the predicted one, so every n-gram, context and suffix that a
 byte needs is in the same shard, and each shard's pass adds its bytes' part to the documents'
 sums. All texts are scored whole, once and without a shuffle of texts: thresholds and decisions come from the kept sums.
@@ -63,18 +62,45 @@ def grams(data: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+#: Distinct n-grams that a task holds before it sends them on.
+_MOST_HELD = 1 << 20
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of several tables of n-grams as one."""
+    gram, c = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(gram, kind="stable")
+    gram, c = gram[order], c[order]
+    heads = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])[: len(gram)])
+    return gram[heads], np.add.reduceat(c, heads) if len(heads) else c
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, n, gram, c) of each batch; orders below ORDER only as contexts at text starts are counted too."""
+    """(lang, gram, c) of full-order n-grams; a task sends each a few times at most."""
+    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def sent(lang: str) -> pa.RecordBatch:
+        gram, c = _summed(held.pop(lang))
+        return pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(gram), np.int64))), pa.array(gram.view(np.int64)), pa.array(c)], names=["lang", "gram", "c"])
+
     for batch in batches:
         langs = batch.column("lang").to_numpy(zero_copy_only=False)
         data, offsets = tw.buffers(batch.column("text"), lower=False)
-        for lang in set(langs):
-            rows = np.flatnonzero(langs == lang)
-            pieces = [data[offsets[r] : offsets[r + 1]] for r in rows]
+        for lang in sorted(set(langs)):
+            pieces = [data[offsets[r] : offsets[r + 1]] for r in np.flatnonzero(langs == lang)]
             ends = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
-            text, own = padded(np.concatenate(pieces), ends)
-            gram, c = np.unique(grams(text, ORDER)[own], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram)), pa.array(gram.view(np.int64)), pa.array(c)], names=["lang", "gram", "c"])
+            own_data = np.concatenate(pieces)
+            for i, j in tw.groups(ends):
+                text, own = padded(own_data[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
+                parts = held.setdefault(lang, [])
+                parts.append(np.unique(grams(text, ORDER)[own], return_counts=True))
+                # The first is the sum so far; the others are added when they are as many.
+                if sum(len(g) for g, _ in parts[1:]) > max(len(parts[0][0]), 1 << 17):
+                    parts[:] = [_summed(parts)]
+        while held and sum(len(g) for parts in held.values() for g, _ in parts) > 2 * _MOST_HELD:
+            yield sent(max(held, key=lambda lang: sum(len(g) for g, _ in held[lang])))
+    for lang in list(held):
+        yield sent(lang)
 
 
 def _orders(counts: DataFrame) -> DataFrame:
@@ -287,21 +313,26 @@ def _key() -> Column:
     return F.xxhash64("lang", "text").alias("__key")
 
 
-def train(docs: DataFrame, labels: DataFrame, train_docs: int = 1500, hold_out: int = 5, quantile: float = 0.99, slack: float = 1.15, prior: int = 200, shard_entries: int = 4_000_000) -> Quality:
-    """Trains on the bounded trusted sample of ``docs`` and sets each language's threshold by all other trusted text."""
+def train(docs: DataFrame, labels: DataFrame, hold_out: int = 5, quantile: float = 0.99, slack: float = 1.15, prior: int = 200, shard_entries: int = 4_000_000) -> Quality:
+    """Trains on all trusted text of ``docs`` but what is held out, which sets each language's threshold."""
     spark = docs.sparkSession
     storage.lean(spark)
     good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
     texts = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text <> ''").select("doc_id", "lang", "text")
-    ids = storage.keep(texts.select("doc_id", "lang").join(good, "doc_id", "left_semi").distinct(), "trusted-ids")
-    chosen = storage.keep(storage.least_by_hash(ids, "lang", "doc_id", train_docs), "chosen")
-    sizes = chosen.groupBy("lang").agg(F.count("*").alias("n"))
-    held = (F.col("r") % hold_out == 0) | (F.col("n") < hold_out) & (F.col("n") > 1) & (F.col("r") == F.col("n"))
-    counted = storage.keep(chosen.join(sizes, "lang").where(~held).select("doc_id", "lang"), "counted")
-    # At most ``train_docs`` ids a language: these may be broadcast, so that no text is shuffled.
-    table = storage.keep(model_table(texts.join(F.broadcast(counted), ["doc_id", "lang"], "left_semi").select("lang", "text").mapInArrow(_count, "lang string, gram long, c long")), "model")
+    place = F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")
+    ids = storage.keep(texts.select("doc_id", "lang").join(good, "doc_id", "left_semi").distinct().withColumn("at", place), "trusted-ids")
+    ends = ids.groupBy("lang").agg(F.count("*").alias("n"), F.min("at").alias("low"), F.max("at").alias("high"))
+    # The first by hash is held out and the last counted, so that no language of two documents or more lacks either.
+    held = (F.col("n") > 1) & ((F.col("at") == F.col("low")) | (F.col("n") >= hold_out) & (F.pmod("at.h", F.lit(hold_out)) == 0) & (F.col("at") < F.col("high")))
+    split = storage.keep(ids.join(ends, "lang").select("doc_id", "lang", held.alias("held")), "split")
+    counted, rest = (split.where(x).select("doc_id", "lang") for x in ("NOT held", "held"))
+    # Only texts that a sieve lets through are moved to where their ids are.
+    key = F.xxhash64("doc_id", "lang")
+    may = sieve.of(counted.select(key.alias("key")), "key")
+    own = texts.where(sieve.through(may)(key)).join(counted.hint("shuffle_hash"), ["doc_id", "lang"], "left_semi")
+    table = storage.keep(model_table(own.select("lang", "text").mapInArrow(_count, "lang string, gram long, c long")), "model")
+    may.destroy()
     out = Quality(compiled(table, shard_entries), {}, {}, prior, spark)
-    rest = storage.keep(ids.join(counted, ["doc_id", "lang"], "left_anti"), "held-ids")
     out.docs, out.own = docs, storage.keep(out.sums(docs), "scores")
     for model, *_ in out.shards:
         model.unpersist()
@@ -310,5 +341,5 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = 1500, hold_out:
     ppl = F.exp((-F.col("__bits") + prior * F.col("mean")) / (F.col("__size") + prior))
     limits = scores.join(means, "lang").groupBy("lang").agg(F.first("mean").alias("m"), F.percentile_approx(ppl, quantile, 10_000).alias("q")).collect()
     out.means, out.limits = {r.lang: float(r.m) for r in limits}, {r.lang: float(r.q) * slack for r in limits}
-    storage.drop(ids, chosen, counted, table, rest)
+    storage.drop(ids, split, table)
     return out

@@ -109,6 +109,32 @@ def test_kept_agrees_and_keeps_columns(trained):
     assert {r["__text"] for r in kept.where("doc_id = 0").collect()} == {"z"}
 
 
+def test_all_trusted_text_is_counted_or_held_out(spark, monkeypatch):
+    rows = [(i, "en", f"document {i} of many", 1, None) for i in range(4000)] + [(5000 + i, "fr", f"texte {i}", 1, None) for i in range(2)]
+    seen, real = [], kn.model_table
+
+    def model_table(counts):
+        seen.append({r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("c").alias("n")).collect()})
+        return real(counts)
+
+    monkeypatch.setattr(kn, "model_table", model_table)
+    model = kn.train(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(r[0], 1, 0) for r in rows], LABELS))
+    size = sum(len(r[2]) for r in rows if r[1] == "en")
+    assert 0.75 * size < seen[0]["en"] < 0.85 * size and seen[0]["fr"] == len("texte 0")
+    assert set(model.limits) == {"en", "fr"}
+
+
+def test_tasks_sum_counts():
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [prose(30000, i) for i in range(12)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(["en"] * 3), pa.array(texts[i : i + 3])], names=["lang", "text"]) for i in range(0, 12, 3)]
+    out = pa.Table.from_batches(kn._count(iter(batches)))
+    gram, c = out.column("gram").to_numpy(), out.column("c").to_numpy()
+    assert len(np.unique(gram)) == len(gram) and c.sum() == sum(map(len, texts))
+
+
 def test_without_labels(spark):
     rows, _ = corpus()
     docs = spark.createDataFrame(rows, DOCS)
