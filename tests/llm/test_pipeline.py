@@ -117,3 +117,21 @@ def test_sql(spark, name):
 
 def test_names():
     assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_stock_phrases_cost_no_comparison_a_pair(spark, monkeypatch):
+    """Stage 3: paragraphs of unlike texts that begin with one stock phrase share bands; few of their pairs are compared."""
+    import random
+
+    asked, real = [], paragraphs.similar
+
+    def similar(pairs, grams, threshold):
+        asked.append(pairs.count())
+        return real(pairs, grams, threshold)
+
+    monkeypatch.setattr(paragraphs, "similar", similar)
+    r = random.Random(3)
+    rows = [(i, "the following notice applies to all " + " ".join(f"w{r.randrange(10**6)}" for _ in range(4))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "CAST(length(text) AS INT) AS n_chars")
+    left = {x.doc_id: x.text for x in cp.repeated_passages(spark, docs, "").collect()}
+    assert left == dict(rows) and sum(asked) < 2000
