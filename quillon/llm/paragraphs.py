@@ -15,7 +15,7 @@ no group is gathered; only what a sieve of those keys lets through is read again
 the least id by exact Jaccard of the trigram sets, and components are formed. Only those that this leaves outside the
 least one's component are then compared with the rest of their band that is in another component. Bands of more than ``PLAIN`` members are many unlike
 paragraphs that share some common trigrams; there only pairs are compared that share one of their rarest trigrams in the band, which any similar
-pair does (:func:`_rare`). So a template with a million variants costs about a million comparisons, and no link between different paragraphs that share a band is lost.
+pair does (:func:`_rare`), and as long as many pairs are left, rounds of one pair a component come first (:data:`MANY`). So a template with a million variants costs about a million comparisons, and no link between different paragraphs that share a band is lost.
 Verified pairs form components; of each component the first paragraph, by doc_id and position, stays and later ones are repeats.
 Repeats are removed where they stand in runs of ``min_run`` words at least: a stock line of a few words is no passage.
 
@@ -264,6 +264,8 @@ def similar(pairs: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
 SALTED = 4096
 #: Bands of at most so many members are compared pair by pair; in larger ones a pair has to share a rare trigram first.
 PLAIN = 16
+#: Pairs of components that are still apart, beyond which rounds of one pair a component come before the last comparison.
+MANY = 1 << 18
 
 
 def _rare(rest: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
@@ -285,9 +287,9 @@ def _rare(rest: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
 
 
 def _met(rare: DataFrame, threshold: float, hub: bool) -> DataFrame:
-    """(a, b): pairs of different components that may be similar by their sizes, their marks and where their first common trigram stands.
+    """(a, b, root_x, root_y): pairs of different components that may be similar by their sizes, their marks and where their first common trigram stands.
 
-    With ``hub``, of the sets of like sizes that have a trigram of a band only the pairs with the largest.
+    A pair comes once for each band and trigram that shows it. With ``hub``, of the sets of like sizes that have a trigram of a band only the pairs with the largest.
     """
     own, key = ("rank", "n", "pid", "root", "marks"), ["band", "gram"]
     if hub:
@@ -306,7 +308,14 @@ def _met(rare: DataFrame, threshold: float, hub: bool) -> DataFrame:
     both = x.join(y, key).where("root_x <> root_y AND (n_y < n_x OR n_y = n_x AND pid_y < pid_x)")
     both = both.where((F.col("n_y") >= F.col("n_x") * threshold - 1e-6) & (left >= need))
     both = both.where(F.bit_count(F.col("marks_x").bitwiseXOR(F.col("marks_y"))) <= (F.col("n_x") + F.col("n_y")) * ((1 - threshold) / (1 + threshold)) + 1e-6)
-    return both.select(F.least("pid_x", "pid_y").alias("a"), F.greatest("pid_x", "pid_y").alias("b")).distinct()
+    return both.select(F.least("pid_x", "pid_y").alias("a"), F.greatest("pid_x", "pid_y").alias("b"), "root_x", "root_y")
+
+
+def _one_each(met: DataFrame, number: int) -> DataFrame:
+    """(a, b): one pair of each component in ``met``, another one with another ``number``. Map tasks send one a component."""
+    h = F.xxhash64("a", "b", F.lit(number))
+    ends = met.select("a", "b", h.alias("h"), F.explode(F.array("root_x", "root_y")).alias("root"))
+    return ends.groupBy("root").agg(F.min_by("a", "h").alias("a"), F.min_by("b", "h").alias("b")).select("a", "b").distinct()
 
 
 def linked(members: DataFrame, grams: DataFrame, threshold: float, plain: int = PLAIN) -> DataFrame:
@@ -338,11 +347,23 @@ def linked(members: DataFrame, grams: DataFrame, threshold: float, plain: int =
     pairs = out.join(met, "band").where("a_root <> b_root AND (inside OR a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     # In larger bands, all that share a rare trigram there are first compared with one of them, so that copies of copies end in one component.
     rare = storage.keep(_rare(rest.where(F.col("n") > plain), grams, threshold), "rare")
-    pairs = storage.keep(pairs.union(_met(rare, threshold, True)).distinct(), "pairs")
+    pairs = storage.keep(pairs.union(_met(rare, threshold, True).select("a", "b")).distinct(), "pairs")
     found = star.union(asked(pairs, "more"))
     roots = storage.keep(storage.components(found), "roots")
+    # Variants of one text are alike by the square of their number, but a link a component and round joins them.
+    number, apart = 0, _met(rerooted(rare, roots, ("root", "root")), threshold, False)
+    while apart.count() > MANY:
+        number += 1
+        some = storage.keep(_one_each(apart, number), "some")
+        more = asked(some, "more")
+        found, n = found.union(more), more.count()
+        if n:
+            roots = storage.keep(storage.components(found), "roots")
+            apart = _met(rerooted(rare, roots, ("root", "root")), threshold, False)
+        if 8 * n < some.count():
+            break
     # Only those that are still apart are compared pair by pair.
-    pairs = storage.keep(_met(rerooted(rare, roots, ("root", "root")), threshold, False).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    pairs = storage.keep(apart.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
     more = asked(pairs, "more")
     return storage.keep(storage.components(found.union(more)), "roots") if more.take(1) else roots
 

@@ -247,6 +247,36 @@ def test_hot_bands_compare_few_pairs_and_lose_none(spark, monkeypatch):
     assert sum(asked) < 2000
 
 
+def test_variants_of_one_text_are_joined_without_a_comparison_a_pair(spark, monkeypatch):
+    """Sets of one core with some trigrams more or less: their similar pairs grow as the square, those that are compared don't."""
+    monkeypatch.setattr(pg, "MANY", 500, raising=False)
+    r = random.Random(5)
+    sets, real, asked = {}, pg.similar, []
+    for k in range(600):
+        lost = r.choice([0, 0, 1, 2])
+        sets[k] = sorted({*range(1, 21 - lost), *(1000 + 10 * k + j for j in range(r.choice([0, 1, 2, 3, 4, 5, 6])))})
+    pairs = [(a, b) for a in sets for b in range(a) if 5 * len({*sets[a]} & {*sets[b]}) >= 4 * len({*sets[a]} | {*sets[b]})]
+    root = {k: k for k in sets}
+    for _ in sets:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+        if all(root[a] == root[b] for a, b in pairs):
+            break
+
+    def similar(pairs, grams, threshold):
+        asked.append(pairs.count())
+        return real(pairs, grams, threshold)
+
+    monkeypatch.setattr(pg, "similar", similar)
+    grams = spark.createDataFrame([(k, v) for k, v in sets.items()], "pid long, grams array<long>")
+    # The band's least, which all meet first, is like none of them.
+    members = spark.createDataFrame([(7, k) for k in [-1, *sets]], "band long, pid long")
+    grams = grams.union(spark.createDataFrame([(-1, list(range(-50, -20)))], "pid long, grams array<long>"))
+    got = {x.node: x.root for x in pg.linked(members, grams, 0.8).collect()}
+    assert got == {k: x for k, x in root.items() if x != k} and len(pairs) > 20_000
+    assert sum(asked) < 4000, asked
+
+
 @pytest.mark.parametrize("few", [0, 1 << 20])
 def test_long_chains_settle(spark, few):
     from quillon.llm import storage
