@@ -17,6 +17,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows with a null or empty text, a null language, or one without two trusted documents stay. Repeated rows are each
     judged; equal texts of a language alike. Without labels all stay. An empty table gives an empty one.
     """
+    storage.give_back(spark)
     return kneser_ney.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).kept(docs)
 
 
@@ -26,6 +27,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows with a null doc_id, a null text or a text without words are in no group and stay. Rows that repeat a doc_id are
     one document and stay or go together. An empty table gives an empty one.
     """
+    storage.give_back(spark)
     return simhash.drop_near_duplicates(docs)
 
 
@@ -35,6 +37,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     No row goes: a text of which nothing is left is empty. Null texts stay null. Rows with a null doc_id stay as they
     are. Repeated rows lose the same. Rows of one doc_id with different texts are different documents. An empty table gives an empty one.
     """
+    storage.give_back(spark)
     return paragraphs.without_repeats(docs, natural=True, length="n_chars")
 
 
@@ -43,6 +46,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Null and empty texts hold none and stay, as do all without a benchmark. Repeated rows stay or go together. An empty table gives an empty one.
     """
+    storage.give_back(spark)
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -53,6 +57,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts have no tokens and stay if their hash is under their source's threshold. Repeated rows stay or go together. An
     empty table gives an empty one.
     """
+    storage.give_back(spark)
     return mixing.keep_mixed(docs, least=0.25)
 
 

@@ -332,6 +332,7 @@ def train(docs: DataFrame, labels: DataFrame, hold_out: int = 5, quantile: float
     own = texts.where(sieve.through(may)(key)).join(counted.hint("shuffle_hash"), ["doc_id", "lang"], "left_semi")
     table = storage.keep(model_table(own.select("lang", "text").mapInArrow(_count, "lang string, gram long, c long")), "model")
     may.destroy()
+    storage.give_back(spark)
     out = Quality(compiled(table, shard_entries), {}, {}, prior, spark)
     out.docs, out.own = docs, storage.keep(out.sums(docs), "scores")
     for model, *_ in out.shards:

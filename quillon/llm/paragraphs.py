@@ -339,6 +339,7 @@ def linked(members: DataFrame, grams: DataFrame, threshold: float, plain: int =
         return t
 
     roots = storage.keep(storage.components(star), "roots")
+    storage.give_back(members.sparkSession)
     # A band of two is done; in others, what isn't in the least one's component meets the rest that is in another.
     rest = storage.keep(rerooted(members.where("n > 2"), roots, ("pid", "root"), ("low", "low_root")), "rest")
     few = rest.where(F.col("n") <= plain)
@@ -374,17 +375,21 @@ def _marks(docs: DataFrame, threshold: float, recall: float, most_bands: int, re
     bands, rows = tune_bands(threshold, recall, most_bands)
     shared = keys_of(docs, reach, min_words, bands, rows, natural).groupBy("key").agg(F.min("value").alias("low"), F.max("value").alias("high")).where("low <> high")
     shared = storage.keep(shared.select("key"), "shared")
+    storage.give_back(docs.sparkSession)
     sieved = sieve.of(shared, "key")
     found = storage.keep(candidates(docs, reach, min_words, bands, rows, sieved, natural).dropDuplicates(["pid"]), "candidates")
     sieved.destroy()
+    storage.give_back(docs.sparkSession)
     # The sieve lets some keys through by mistake, which have one paragraph.
     members = found.select(F.explode("bands").alias("band"), "pid").join(shared.withColumnRenamed("key", "band"), "band", "left_semi")
     roots = linked(members, found.select("pid", "grams"), threshold)
+    storage.give_back(docs.sparkSession)
     wanted = sieve.of(shared.union(roots.select("node")).union(roots.select("root")), "key")
     own = occurrences(docs, reach, min_words, wanted, natural).join(roots.withColumnRenamed("node", "pid"), "pid", "left")
     placed = storage.keep(own.select(F.coalesce("root", "pid").alias("grp"), *_PLACE, "pieces", "words"), "placed")
     wanted.destroy()
     storage.drop(found, shared)
+    storage.give_back(docs.sparkSession)
 
     def result(t: DataFrame, step) -> DataFrame:
         t = t.withColumn("at", F.col("position") + step).withColumn("share", F.col("words") / F.greatest("pieces", F.lit(1)))

@@ -135,3 +135,26 @@ def test_stock_phrases_cost_no_comparison_a_pair(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "CAST(length(text) AS INT) AS n_chars")
     left = {x.doc_id: x.text for x in cp.repeated_passages(spark, docs, "").collect()}
     assert left == dict(rows) and sum(asked) < 2000
+
+
+def test_executors_give_heap_back(spark):
+    """Tasks on a cluster make their JVM collect; with a local master nothing is done."""
+    from types import SimpleNamespace
+
+    from quillon.llm import storage
+
+    beans = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Young" not in b.getName() and "Concurrent" not in b.getName())
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(master="local-cluster[3,2,1000]", defaultParallelism=4), range=spark.range)
+    before = beans()
+    storage.give_back(cluster)
+    assert beans() >= before + 4
+
+
+@pytest.mark.parametrize("name", [n for n, _ in cp.STAGES])
+def test_each_stage_begins_with_room(spark, monkeypatch, name):
+    from quillon.llm import storage
+
+    calls = []
+    monkeypatch.setattr(storage, "give_back", calls.append)
+    dict(cp.STAGES)[name](spark, spark.read.parquet(f"{SF}/documents.parquet").limit(20), SF)
+    assert calls
