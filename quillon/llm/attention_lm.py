@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,7 +102,7 @@ class Pieces:
         if len(_known) > _MOST_KNOWN:
             _known.clear()
         self.ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
-        self.ids = np.fromiter((i for x in lists for i in x), np.int32, self.ends[-1])
+        self.ids = np.fromiter(itertools.chain.from_iterable(lists), np.int32, self.ends[-1])
         self.first = np.searchsorted(start, offsets)
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
@@ -174,10 +175,13 @@ def exponentials(z: np.ndarray) -> np.ndarray:
 
 def gradients(m: dict[str, np.ndarray], t: np.ndarray, target: np.ndarray, use: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
     """Mean loss of the classes ``target`` at the places ``use``, gradients, and the rows of E that they touch."""
-    scale = np.float32(WIDTH**-0.5)
-    x = m["E"][t] + m["P"]
-    qkv = (x.reshape(-1, WIDTH) @ m["A"]).reshape(*t.shape, 3 * WIDTH)
-    q, k, v = qkv[..., :WIDTH] * scale, qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
+    # The scale of the products is taken into the queries' columns.
+    scale, scaled = np.float32(WIDTH**-0.5), m["A"].copy()
+    scaled[:, :WIDTH] *= scale
+    x = m["E"][t]
+    x += m["P"]
+    qkv = (x.reshape(-1, WIDTH) @ scaled).reshape(*t.shape, 3 * WIDTH)
+    q, k, v = qkv[..., :WIDTH], qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
     # s isn't normalised: its rows' sums come from the product with a column of ones.
     s = np.matmul(q, k.transpose(0, 2, 1))
     s += _MASK
@@ -189,7 +193,8 @@ def gradients(m: dict[str, np.ndarray], t: np.ndarray, target: np.ndarray, use:
     o = o[..., :WIDTH] * weight
     flat = o.reshape(-1, WIDTH)
     y = x.reshape(-1, WIDTH) + flat @ m["O"]
-    z = y @ m["C"] + m["b"]
+    z = y @ m["C"]
+    z += m["b"]
     place, goal, u = np.arange(len(z)), target.ravel(), use.ravel()
     n = max(1, int(u.sum()))
     picked = z[place, goal]
@@ -205,7 +210,7 @@ def gradients(m: dict[str, np.ndarray], t: np.ndarray, target: np.ndarray, use:
     z *= (share / total)[:, None]
     z[place, goal] -= share
     dy = z @ m["C"].T
-    g = {"C": y.T @ z, "b": z.sum(axis=0, keepdims=True), "O": flat.T @ dy}
+    g = {"C": y.T @ z, "b": np.ones((1, len(z)), z.dtype) @ z, "O": flat.T @ dy}
     do = (dy @ m["O"].T).reshape(x.shape)
     ds = np.matmul(do, v.transpose(0, 2, 1))
     ds -= np.einsum("bwd,bwd->bw", do, o)[..., None]
@@ -213,16 +218,19 @@ def gradients(m: dict[str, np.ndarray], t: np.ndarray, target: np.ndarray, use:
     ds *= weight
     dqkv = np.empty_like(qkv)
     np.matmul(ds, k, out=dqkv[..., :WIDTH])
-    dqkv[..., :WIDTH] *= scale
     np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[..., WIDTH : 2 * WIDTH])
     np.matmul(s.transpose(0, 2, 1), do * weight, out=dqkv[..., 2 * WIDTH :])
     dqkv = dqkv.reshape(-1, 3 * WIDTH)
     g["A"] = x.reshape(-1, WIDTH).T @ dqkv
-    dx = dy + dqkv @ m["A"].T
+    g["A"][:, :WIDTH] *= scale
+    dx = dqkv @ scaled.T
+    dx += dy
     g["P"] = dx.reshape(x.shape).sum(axis=0)
-    order = np.argsort(t.ravel(), kind="stable")
-    rows = t.ravel()[order]
-    heads = np.flatnonzero(np.diff(rows, prepend=-1))
+    rows = t.ravel()
+    # Ids of two bytes are sorted by radix.
+    order = np.argsort(rows.astype(np.uint16) if len(m["E"]) <= 1 << 16 else rows, kind="stable")
+    rows = rows[order]
+    heads = np.append(0, np.flatnonzero(rows[1:] != rows[:-1]) + 1)
     g["E"] = np.add.reduceat(dx[order], heads, axis=0)
     return float(loss), g, rows[heads]
 
@@ -246,9 +254,9 @@ class Trainer:
     """Adam over the windows of texts as they come; what it has seen besides is one batch of texts."""
 
     def __init__(self, m: dict[str, np.ndarray], classes: Classes, seed: int, rate: float = 0.01, batch: int = 64) -> None:
-        self.m = {k: v.copy() for k, v in m.items()}
-        self.mean = {k: np.zeros_like(v) for k, v in m.items()}
-        self.square = {k: np.zeros_like(v) for k, v in m.items()}
+        #: Of each parameter its value, the mean of its gradients and that of their squares, side by side in each row.
+        self.state = {k: np.stack([v, np.zeros_like(v), np.zeros_like(v)], axis=1) for k, v in m.items()}
+        self.m = {k: v[:, 0] for k, v in self.state.items() if k == "E"} | {k: v.copy() for k, v in m.items() if k != "E"}
         self.touched = np.zeros(len(m["E"]), bool)
         self.classes, self.random, self.rate, self.batch, self.steps, self.seen = classes, np.random.default_rng(seed), rate, batch, 0, 0
 
@@ -264,12 +272,19 @@ class Trainer:
             n = self.steps
             _, g, rows = gradients(m, t[w], self.classes.of[target[w]], scored[w])
             self.touched[rows] = True
+            step, more = np.float32(self.rate / (1 - 0.9**n)), np.float32(1 / (1 - 0.99**n))
             for name, grad in g.items():
-                at = rows if name == "E" else slice(None)
-                mean = 0.9 * self.mean[name][at] + np.float32(0.1) * grad
-                square = 0.99 * self.square[name][at] + np.float32(0.01) * grad**2
-                self.mean[name][at], self.square[name][at] = mean, square
-                m[name][at] -= np.float32(self.rate / (1 - 0.9**n)) * mean / (np.sqrt(square * np.float32(1 / (1 - 0.99**n))) + np.float32(1e-8))
+                state = self.state[name][rows] if name == "E" else self.state[name]
+                value, mean, square = state[:, 0], state[:, 1], state[:, 2]
+                mean *= np.float32(0.9)
+                mean += np.float32(0.1) * grad
+                square *= np.float32(0.99)
+                square += np.float32(0.01) * grad**2
+                value -= step * mean / (np.sqrt(square * more) + np.float32(1e-8))
+                if name == "E":
+                    self.state[name][rows] = state
+                else:
+                    m[name][:] = value
 
 
 def train_locally(m: dict[str, np.ndarray], classes: Classes, ids: np.ndarray, first: np.ndarray, seed: int, rate: float = 0.01, batch: int = 64) -> tuple[dict[str, np.ndarray], np.ndarray, int]:
@@ -279,18 +294,18 @@ def train_locally(m: dict[str, np.ndarray], classes: Classes, ids: np.ndarray, f
     return trainer.m, np.flatnonzero(trainer.touched), trainer.seen
 
 
-def hidden(m: dict[str, np.ndarray], t: np.ndarray) -> np.ndarray:
-    """As :func:`forward`, the hidden states alone: the attention weights' sums come from the product with a column of ones."""
+def hidden(m: dict[str, np.ndarray], t: np.ndarray, skip: int = 0) -> np.ndarray:
+    """As :func:`forward`, the hidden states alone, from place ``skip`` on: the attention weights' sums come from the product with a column of ones."""
     x = m["E"][t] + m["P"]
     qkv = (x.reshape(-1, WIDTH) @ m["A"]).reshape(*t.shape, 3 * WIDTH)
-    s = np.matmul(qkv[..., :WIDTH] * np.float32(WIDTH**-0.5), qkv[..., WIDTH : 2 * WIDTH].transpose(0, 2, 1))
-    s += _MASK
+    s = np.matmul(qkv[:, skip:, :WIDTH] * np.float32(WIDTH**-0.5), qkv[..., WIDTH : 2 * WIDTH].transpose(0, 2, 1))
+    s += _MASK[skip:]
     exponentials(s)
     v = np.ones((*t.shape, WIDTH + 1), np.float32)
     v[..., :WIDTH] = qkv[..., 2 * WIDTH :]
     o = np.matmul(s, v)
     o = o[..., :WIDTH] / o[..., WIDTH:]
-    return x + (o.reshape(-1, WIDTH) @ m["O"]).reshape(x.shape)
+    return x[:, skip:] + (o.reshape(-1, WIDTH) @ m["O"]).reshape(o.shape)
 
 
 def score(m: dict[str, np.ndarray], classes: Classes, ids: np.ndarray, first: np.ndarray, batch: int = 64) -> np.ndarray:
@@ -298,18 +313,22 @@ def score(m: dict[str, np.ndarray], classes: Classes, ids: np.ndarray, first: np
     t, target, doc, scored = windows(ids, first, len(classes.of))
     out = np.zeros(len(first) - 1)
     ones = np.ones(CLASSES, np.float32)
-    for i in range(0, len(t), batch):
-        use = scored[i : i + batch]
-        goal = target[i : i + batch][use]
-        z = hidden(m, t[i : i + batch])[use] @ m["C"]
-        z += m["b"]
-        picked = z[np.arange(len(z)), classes.of[goal]]
-        if z.max(initial=0) > 60:
-            loss = picked - log_softmax(z)[np.arange(len(z)), classes.of[goal]]
-        else:
-            loss = np.log(np.exp(z, out=z) @ ones)
-        loss = loss - picked - classes.logp[goal]
-        out += np.bincount(np.repeat(doc[i : i + batch], use.sum(axis=1)), loss, minlength=len(out))
+    # Of a text's later windows, the overlap is context alone.
+    opens = np.diff(doc, prepend=-1) > 0
+    for skip, some in ((0, np.flatnonzero(opens)), (OVERLAP, np.flatnonzero(~opens))):
+        for i in range(0, len(some), batch):
+            at = some[i : i + batch]
+            use = scored[at, skip:]
+            goal = target[at, skip:][use]
+            z = hidden(m, t[at], skip)[use] @ m["C"]
+            z += m["b"]
+            picked = z[np.arange(len(z)), classes.of[goal]]
+            if z.max(initial=0) > 60:
+                loss = picked - log_softmax(z)[np.arange(len(z)), classes.of[goal]]
+            else:
+                loss = np.log(np.exp(z, out=z) @ ones)
+            loss = loss - picked - classes.logp[goal]
+            out += np.bincount(np.repeat(doc[at], use.sum(axis=1)), loss, minlength=len(out))
     return out
 
 
@@ -326,7 +345,8 @@ def encoded(docs: DataFrame, vocabulary: tuple[str, str]) -> DataFrame:
         for batch in batches:
             data, offsets = tw.buffers(batch.column(1), lower=False)
             for i, j in tw.groups(offsets, 1 << 20):
-                ids, first = Pieces(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], vocabulary).sequence()
+                with tw.at_hand():
+                    ids, first = Pieces(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], vocabulary).sequence()
                 packed = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(first.astype(np.int64) * kind.itemsize), pa.py_buffer(ids.astype(kind))])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), packed.cast(pa.binary())], names=["doc_id", "ids"])
 
@@ -364,7 +384,8 @@ def train_round(sample: DataFrame, model, classes, kind: np.dtype, number: int,
         for batch in batches:
             ids, first = _ids(batch.column(0), kind)
             for a, b in tw.groups(first, 1 << 18):
-                trainer.take(ids[first[a] : first[b]], first[a : b + 1] - first[a])
+                with tw.at_hand():
+                    trainer.take(ids[first[a] : first[b]], first[a : b + 1] - first[a])
         if not trainer.seen:
             return
         for name, v in trainer.m.items():
@@ -418,7 +439,8 @@ def scores(docs: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFr
             ids, first = _ids(batch.column(1), packed)
             nll, size = np.zeros(batch.num_rows), np.diff(first)
             for a, b in tw.groups(first, 1 << 18):
-                nll[a:b] = score(m.value, classes.value, ids[first[a] : first[b]], first[a : b + 1] - first[a])
+                with tw.at_hand():
+                    nll[a:b] = score(m.value, classes.value, ids[first[a] : first[b]], first[a : b + 1] - first[a])
             with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
                 ppl = np.exp(nll / size)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(np.round(nll, 4)), pa.array(np.round(ppl, 4), mask=size == 0)], names=["doc_id", "n_tokens", "nll", "perplexity"])

@@ -114,6 +114,25 @@ def test_training_lowers_the_loss():
     assert n > 0 and lm.score(trained, classes, ids, first).sum() < 0.8 * before
 
 
+def test_later_windows_leave_their_overlap_out():
+    m, _ = tiny()
+    t = np.random.default_rng(6).integers(0, 40, (5, lm.WINDOW))
+    assert lm.hidden(m, t, lm.OVERLAP) == pytest.approx(lm.hidden(m, t)[:, lm.OVERLAP :], rel=1e-5, abs=1e-6)
+
+
+def test_steps_take_no_new_pages():
+    """Steps make the same arrays again and again; their room is kept meanwhile."""
+    import resource
+
+    ids = np.random.default_rng(7).integers(0, 40, 64 * lm.WINDOW * 200)
+    faults = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    with tw.at_hand():
+        lm.train_locally(*tiny(), ids[:200_000], np.array([0, 200_000]), 0)
+        before = faults()
+        lm.train_locally(*tiny(), ids, np.array([0, len(ids)]), 0)
+        assert faults() - before < 200 * 40
+
+
 def test_class_probabilities_sum_to_one():
     _, classes = tiny()
     total = np.bincount(classes.of, np.exp(classes.logp), minlength=lm.CLASSES)
