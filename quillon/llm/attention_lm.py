@@ -1,8 +1,8 @@
 """Scoring of texts by a causal self-attention model over subword ids, in numpy.
 
 Subwords are those of a public byte-level BPE whose rank file is a parameter; nothing of it is kept
-here. Words repeat, so each distinct piece of text between white space is encoded once a batch; the pattern
-never joins over such borders, so the ids are those of the whole text.
+here. Words repeat, so each distinct piece of text between white space is encoded once a batch, all in one go; the
+pattern never joins over such borders, so the ids are those of the whole text.
 
 Texts are encoded once: their ids are a table in the shared folder that counting, training and scoring read.
 
@@ -39,14 +39,11 @@ from pyspark.sql import functions as F
 from quillon.llm import storage
 from quillon.llm import textwords as tw
 
-U64 = np.uint64
 WIDTH, CLASSES, WINDOW, OVERLAP = 16, 48, 32, 8
 #: The share of the documents that each round of training takes, and its rate.
 SHARES = ((1 / 16, 0.01), (3 / 16, 0.004), (3 / 4, 0.002))
 #: Columns of a parameter row that travel together.
 COLUMNS = 16
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -65,9 +62,21 @@ def encoder(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-#: Ids of pieces that this worker has met; emptied when it holds too many.
-_known: dict[bytes, list[int]] = {}
-_MOST_KNOWN = 200_000
+@functools.lru_cache(maxsize=2)
+def lengths(path: str, pattern: str) -> np.ndarray:
+    """Bytes of each id."""
+    enc = encoder(path, pattern)
+    out = np.zeros(enc.n_vocab, np.int64)
+    for piece in enc.token_byte_values():
+        out[enc.encode_single_token(piece)] = len(piece)
+    return out
+
+
+def space_at(data: np.ndarray) -> np.ndarray:
+    """Which bytes are white space: 9 to 13, and 32."""
+    out = (data - np.uint8(9)) < 5
+    out |= data == 32
+    return out
 
 
 class Pieces:
@@ -79,31 +88,46 @@ class Pieces:
             self.first, self.which = np.zeros(len(offsets), np.int64), np.zeros(0, np.int64)
             self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
             return
-        space = _SPACE[data]
+        space = space_at(data)
         opens = space.copy()
         opens[1:] &= ~space[:-1]
         opens[offsets[:-1][np.diff(offsets) > 0]] = True
         start = np.flatnonzero(opens)
-        end = np.append(start[1:], n)
-        tw._tables.need(n + 1)
-        total = np.zeros(n + 1, U64)
-        np.cumsum((data.astype(U64) + U64(1)) * tw._tables.up[:n], out=total[1:])
-        key = tw.mix((total[end] - total[start]) * tw._tables.down[start] + (end - start).astype(U64))
-        _, at, self.which = np.unique(key, return_index=True, return_inverse=True)
-        enc = encoder(*vocabulary)
-        raw = data.tobytes()
-        lists = []
-        for a, b in zip(start[at].tolist(), end[at].tolist()):
-            piece = raw[a:b]
-            ids = _known.get(piece)
-            if ids is None:
-                ids = _known[piece] = enc.encode_ordinary(piece.decode())
-            lists.append(ids)
-        if len(_known) > _MOST_KNOWN:
-            _known.clear()
-        self.ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
-        self.ids = np.fromiter(itertools.chain.from_iterable(lists), np.int32, self.ends[-1])
+        runs = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.append(start, n)), pa.py_buffer(data)]).dictionary_encode()
         self.first = np.searchsorted(start, offsets)
+        pieces = runs.dictionary
+        # Pieces that open with white space and end with something else are encoded in one go, as one text; the few others each by itself.
+        at, raw = np.frombuffer(pieces.buffers()[1], np.int64)[: len(pieces) + 1], np.frombuffer(pieces.buffers()[2], np.uint8)
+        last = raw[at[1:] - 1]
+        joins = space_at(raw[at[:-1]]) & (last > 32)
+        # White space beyond ASCII ends with these.
+        joins &= (last < 0x80) | ~np.isin(raw[np.maximum(at[1:] - 3, 0)], (0xE1, 0xE2, 0xE3)) & (raw[np.maximum(at[1:] - 2, 0)] != 0xC2)
+        alone = np.flatnonzero(~joins)
+        order = np.concatenate([np.flatnonzero(joins), alone])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.which = place.take(runs.indices.to_numpy())
+        enc = encoder(*vocabulary)
+        ids, ends = self._joined(pieces.filter(pa.array(joins)), vocabulary)
+        lists = [enc.encode_ordinary(x.decode()) for x in pieces.take(pa.array(alone)).to_pylist()]
+        more = np.cumsum([0, *map(len, lists)], dtype=np.int64)
+        self.ends = np.concatenate([ends, ends[-1] + more[1:]])
+        self.ids = np.concatenate([ids, np.fromiter(itertools.chain.from_iterable(lists), np.int32, more[-1])])
+
+    @staticmethod
+    def _joined(pieces: pa.Array, vocabulary: tuple[str, str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces one after another, and where each piece's lie; should one id belong to two pieces, all are encoded by themselves."""
+        enc = encoder(*vocabulary)
+        data, at = tw.buffers(pieces, lower=False, kind=pa.large_binary())
+        found = enc.encode_ordinary(data.tobytes().decode())
+        ids = np.fromiter(found, np.int32, len(found))
+        till = np.append(0, np.cumsum(lengths(*vocabulary).take(ids)))
+        ends = np.searchsorted(till, at)
+        if (till[ends] == at).all():
+            return ids, ends
+        lists = [enc.encode_ordinary(x.decode()) for x in pieces.to_pylist()]
+        ends = np.cumsum([0, *map(len, lists)], dtype=np.int64)
+        return np.fromiter(itertools.chain.from_iterable(lists), np.int32, ends[-1]), ends
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
         """(ids, how often) over all texts."""
@@ -114,10 +138,10 @@ class Pieces:
 
     def sequence(self) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids one after another, and the texts' offsets."""
-        size = np.diff(self.ends)[self.which]
-        till = np.concatenate([[0], np.cumsum(size)])
-        at = np.arange(till[-1]) + np.repeat(self.ends[self.which] - till[:-1], size)
-        return self.ids[at], till[self.first]
+        width = self.ids.itemsize
+        each = pa.Array.from_buffers(pa.large_binary(), len(self.ends) - 1, [None, pa.py_buffer(self.ends * width), pa.py_buffer(self.ids)])
+        ids, till = tw.buffers(each.take(pa.array(self.which)), lower=False, kind=pa.large_binary())
+        return ids.view(self.ids.dtype), till[self.first] // width
 
 
 class Classes:
@@ -161,11 +185,6 @@ def forward(m: dict[str, np.ndarray], t: np.ndarray) -> tuple[np.ndarray, ...]:
     return y, x, q, k, v, s, o
 
 
-def log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=-1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=-1, keepdims=True))
-
-
 def exponentials(z: np.ndarray) -> np.ndarray:
     """exp of z in place; the last axis' maximum is taken off first only where some value needs it."""
     if z.max(initial=0) > 60:
@@ -173,90 +192,119 @@ def exponentials(z: np.ndarray) -> np.ndarray:
     return np.exp(z, out=z)
 
 
+def matrices(m: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """The matrices of queries, keys and values."""
+    return tuple(m["A"][:, i : i + WIDTH] for i in range(0, 3 * WIDTH, WIDTH))
+
+
+def folded(m: dict[str, np.ndarray]) -> np.ndarray:
+    """Side by side the queries' matrix times the keys', scaled, and the values' times the output's: all that attention needs of an input, as what it meets is inputs."""
+    query, key, value = matrices(m)
+    return np.concatenate([query @ key.T * np.float32(WIDTH**-0.5), value @ m["O"]], axis=1)
+
+
+def attention(x: np.ndarray, fold: np.ndarray, skip: int = 0) -> tuple[np.ndarray, ...]:
+    """What attention adds to the inputs x from place ``skip`` on, and what the gradient needs: the weights, whose rows' sums are still to divide by, one over these sums, and the folded inputs with a column of ones."""
+    both = np.empty((*x.shape[:2], 2 * WIDTH + 1), x.dtype)
+    both[..., 2 * WIDTH] = 1
+    np.matmul(x.reshape(-1, WIDTH), fold, out=both.reshape(-1, 2 * WIDTH + 1)[:, : 2 * WIDTH])
+    s = np.matmul(both[:, skip:, :WIDTH], x.transpose(0, 2, 1))
+    s += _MASK[skip:]
+    exponentials(s)
+    # The rows' sums come from the product with the column of ones.
+    o = np.matmul(s, both[..., WIDTH:])
+    weight = 1 / o[..., WIDTH:]
+    return o[..., :WIDTH] * weight, s, weight, both
+
+
 def gradients(m: dict[str, np.ndarray], t: np.ndarray, target: np.ndarray, use: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
     """Mean loss of the classes ``target`` at the places ``use``, gradients, and the rows of E that they touch."""
-    # The scale of the products is taken into the queries' columns.
-    scale, scaled = np.float32(WIDTH**-0.5), m["A"].copy()
-    scaled[:, :WIDTH] *= scale
-    x = m["E"][t]
+    x = m["E"].take(t, axis=0)
     x += m["P"]
-    qkv = (x.reshape(-1, WIDTH) @ scaled).reshape(*t.shape, 3 * WIDTH)
-    q, k, v = qkv[..., :WIDTH], qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
-    # s isn't normalised: its rows' sums come from the product with a column of ones.
-    s = np.matmul(q, k.transpose(0, 2, 1))
-    s += _MASK
-    exponentials(s)
-    wide = np.ones((*t.shape, WIDTH + 1), x.dtype)
-    wide[..., :WIDTH] = v
-    o = np.matmul(s, wide)
-    weight = 1 / o[..., WIDTH:]
-    o = o[..., :WIDTH] * weight
-    flat = o.reshape(-1, WIDTH)
-    y = x.reshape(-1, WIDTH) + flat @ m["O"]
-    z = y @ m["C"]
-    z += m["b"]
-    place, goal, u = np.arange(len(z)), target.ravel(), use.ravel()
+    fold, flat = folded(m), x.reshape(-1, WIDTH)
+    o, s, weight, both = attention(x, fold)
+    # A last column of ones, which meets the bias.
+    y = np.ones((len(flat), WIDTH + 1), x.dtype)
+    np.add(flat, o.reshape(-1, WIDTH), out=y[:, :WIDTH])
+    z = y @ np.concatenate([m["C"], m["b"]])
+    at, u = np.arange(0, z.size, CLASSES) + target.ravel(), use.ravel()
     n = max(1, int(u.sum()))
-    picked = z[place, goal]
-    top = z.max(initial=0)
-    if top > 60:
+    picked = z.ravel().take(at)
+    if z.max(initial=0) > 60:
         most = z.max(axis=-1)
         z -= most[:, None]
-        picked = picked - most
+        picked -= most
     np.exp(z, out=z)
     total = z @ np.ones(CLASSES, z.dtype)
     loss = (np.log(total) - picked)[u].sum() / n
-    share = u.astype(z.dtype) / z.dtype.type(n)
-    z *= (share / total)[:, None]
-    z[place, goal] -= share
+    # The gradient of the logits is z times this share of each row, which is taken into the narrower factors.
+    z.reshape(-1)[at] -= total
+    share = (u / (z.dtype.type(n) * total)).astype(z.dtype)[:, None]
     dy = z @ m["C"].T
-    g = {"C": y.T @ z, "b": np.ones((1, len(z)), z.dtype) @ z, "O": flat.T @ dy}
-    do = (dy @ m["O"].T).reshape(x.shape)
-    ds = np.matmul(do, v.transpose(0, 2, 1))
-    ds -= np.einsum("bwd,bwd->bw", do, o)[..., None]
+    dy *= share
+    y *= share
+    last = y.T @ z
+    do = np.empty((*t.shape, WIDTH + 1), x.dtype)
+    np.multiply(dy.reshape(x.shape), weight, out=do[..., :WIDTH])
+    np.negative(np.einsum("bwd,bwd->bw", do[..., :WIDTH], o), out=do[..., WIDTH])
+    ds = np.matmul(do, both[..., WIDTH:].transpose(0, 2, 1))
     ds *= s
-    ds *= weight
-    dqkv = np.empty_like(qkv)
-    np.matmul(ds, k, out=dqkv[..., :WIDTH])
-    np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[..., WIDTH : 2 * WIDTH])
-    np.matmul(s.transpose(0, 2, 1), do * weight, out=dqkv[..., 2 * WIDTH :])
-    dqkv = dqkv.reshape(-1, 3 * WIDTH)
-    g["A"] = x.reshape(-1, WIDTH).T @ dqkv
-    g["A"][:, :WIDTH] *= scale
-    dx = dqkv @ scaled.T
-    dx += dy
-    g["P"] = dx.reshape(x.shape).sum(axis=0)
+    dboth = np.empty((*t.shape, 2 * WIDTH), x.dtype)
+    np.matmul(ds, x, out=dboth[..., :WIDTH])
+    np.matmul(s.transpose(0, 2, 1), do[..., :WIDTH], out=dboth[..., WIDTH:])
+    dboth = dboth.reshape(-1, 2 * WIDTH)
+    dx = np.matmul(ds.transpose(0, 2, 1), both[..., :WIDTH])
+    g = {"C": last[:WIDTH], "b": last[WIDTH:]}
+    query, key, value = matrices(m)
+    dfold = flat.T @ dboth
+    product, passed = dfold[:, :WIDTH] * np.float32(WIDTH**-0.5), dfold[:, WIDTH:]
+    g["A"] = np.concatenate([product @ key, product.T @ query, passed @ m["O"].T], axis=1)
+    g["O"] = value.T @ passed
+    dflat = dx.reshape(-1, WIDTH)
+    dflat += dboth @ fold.T
+    dflat += dy
+    g["P"] = dx.sum(axis=0)
     rows = t.ravel()
     # Ids of two bytes are sorted by radix.
     order = np.argsort(rows.astype(np.uint16) if len(m["E"]) <= 1 << 16 else rows, kind="stable")
-    rows = rows[order]
-    heads = np.append(0, np.flatnonzero(rows[1:] != rows[:-1]) + 1)
-    g["E"] = np.add.reduceat(dx[order], heads, axis=0)
-    return float(loss), g, rows[heads]
+    rows = rows.take(order)
+    opens = np.append(0, np.flatnonzero(rows[1:] != rows[:-1]) + 1)
+    # Two columns are one complex number, whose sums are theirs.
+    pairs = dflat.take(order, axis=0).view(np.result_type(x.dtype, np.complex64))
+    g["E"] = np.add.reduceat(pairs, opens, axis=0).view(x.dtype)
+    return float(loss), g, rows[opens]
 
 
 def windows(ids: np.ndarray, first: np.ndarray, mark: int, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of inputs, targets (-1 where not scored), the text of each window, and the scored places: each id of each text is a target once."""
+    """Windows of inputs, targets (0 behind a text's end), the text of each window, and the scored places: each id of each text is a target once."""
     size, stride = np.diff(first), WINDOW - overlap
     count = np.where(size > 0, 1 + np.maximum(0, -(-(size - WINDOW) // stride)), 0)
     doc = np.repeat(np.arange(len(size)), count)
     k = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-    at = (k * stride)[:, None] + np.arange(WINDOW)
-    inside = at < size[doc][:, None]
-    where = np.where(inside, first[:-1][doc][:, None] + at, 0)
-    target = ids[where] if len(ids) else np.zeros(where.shape, np.int32)
-    before = np.where(at > 0, ids[np.maximum(where - 1, 0)] if len(ids) else 0, mark)
-    scored = inside & ((np.arange(WINDOW) >= overlap) | (k == 0)[:, None])
-    return np.where(inside, before, mark), target, doc, scored
+    # All texts behind one another, each behind a mark: a window's inputs and targets are runs of these.
+    marked = np.concatenate([np.insert(ids, first[:-1], mark), np.full(WINDOW, mark, ids.dtype)])
+    runs = np.lib.stride_tricks.sliding_window_view(marked, WINDOW)
+    start = (first[:-1] + np.arange(len(size)))[doc] + k * stride
+    t, target = runs[start], runs[start + 1]
+    left = size[doc] - k * stride
+    scored = np.arange(WINDOW) < left[:, None]
+    short = np.flatnonzero(left < WINDOW)
+    t[short] = np.where(scored[short], t[short], mark)
+    target[short] = np.where(scored[short], target[short], 0)
+    scored[k > 0, :overlap] = False
+    return t, target, doc, scored
 
 
 class Trainer:
     """Adam over the windows of texts as they come; what it has seen besides is one batch of texts."""
 
     def __init__(self, m: dict[str, np.ndarray], classes: Classes, seed: int, rate: float = 0.01, batch: int = 64) -> None:
-        #: Of each parameter its value, the mean of its gradients and that of their squares, side by side in each row.
-        self.state = {k: np.stack([v, np.zeros_like(v), np.zeros_like(v)], axis=1) for k, v in m.items()}
-        self.m = {k: v[:, 0] for k, v in self.state.items() if k == "E"} | {k: v.copy() for k, v in m.items() if k != "E"}
+        #: Rows of E, of which a step changes some, and all other parameters behind one another: values, means of gradients and those of their squares.
+        self.rows, rest = [m["E"].copy(), np.zeros_like(m["E"]), np.zeros_like(m["E"])], [k for k in m if k != "E"]
+        value = np.concatenate([m[k].ravel() for k in rest])
+        self.rest = [value, np.zeros_like(value), np.zeros_like(value)]
+        parts = np.split(value, np.cumsum([m[k].size for k in rest])[:-1])
+        self.m = {"E": self.rows[0]} | {k: v.reshape(m[k].shape) for k, v in zip(rest, parts)}
         self.touched = np.zeros(len(m["E"]), bool)
         self.classes, self.random, self.rate, self.batch, self.steps, self.seen = classes, np.random.default_rng(seed), rate, batch, 0, 0
 
@@ -265,26 +313,25 @@ class Trainer:
         t, target, _, scored = windows(ids, first, len(self.classes.of), 0)
         order = self.random.permutation(len(t))
         self.seen += len(t)
-        m = self.m
         for i in range(0, len(order), self.batch):
             w = order[i : i + self.batch]
             self.steps += 1
-            n = self.steps
-            _, g, rows = gradients(m, t[w], self.classes.of[target[w]], scored[w])
+            _, g, rows = gradients(self.m, t.take(w, axis=0), self.classes.of.take(target.take(w, axis=0)), scored.take(w, axis=0))
             self.touched[rows] = True
-            step, more = np.float32(self.rate / (1 - 0.9**n)), np.float32(1 / (1 - 0.99**n))
-            for name, grad in g.items():
-                state = self.state[name][rows] if name == "E" else self.state[name]
-                value, mean, square = state[:, 0], state[:, 1], state[:, 2]
-                mean *= np.float32(0.9)
-                mean += np.float32(0.1) * grad
-                square *= np.float32(0.99)
-                square += np.float32(0.01) * grad**2
-                value -= step * mean / (np.sqrt(square * more) + np.float32(1e-8))
-                if name == "E":
-                    self.state[name][rows] = state
-                else:
-                    m[name][:] = value
+            some = [x.take(rows, axis=0) for x in self.rows]
+            self._adam(*some, g["E"])
+            for x, new in zip(self.rows, some):
+                x[rows] = new
+            self._adam(*self.rest, np.concatenate([g[k].ravel() for k in self.m if k != "E"]))
+
+    def _adam(self, value: np.ndarray, mean: np.ndarray, square: np.ndarray, grad: np.ndarray) -> None:
+        n = self.steps
+        step, more = np.float32(self.rate / (1 - 0.9**n)), np.float32(1 / (1 - 0.99**n))
+        mean *= np.float32(0.9)
+        mean += np.float32(0.1) * grad
+        square *= np.float32(0.99)
+        square += np.float32(0.01) * grad**2
+        value -= step * mean / (np.sqrt(square * more) + np.float32(1e-8))
 
 
 def train_locally(m: dict[str, np.ndarray], classes: Classes, ids: np.ndarray, first: np.ndarray, seed: int, rate: float = 0.01, batch: int = 64) -> tuple[dict[str, np.ndarray], np.ndarray, int]:
@@ -294,42 +341,36 @@ def train_locally(m: dict[str, np.ndarray], classes: Classes, ids: np.ndarray, f
     return trainer.m, np.flatnonzero(trainer.touched), trainer.seen
 
 
-def hidden(m: dict[str, np.ndarray], t: np.ndarray, skip: int = 0) -> np.ndarray:
-    """As :func:`forward`, the hidden states alone, from place ``skip`` on: the attention weights' sums come from the product with a column of ones."""
-    x = m["E"][t] + m["P"]
-    qkv = (x.reshape(-1, WIDTH) @ m["A"]).reshape(*t.shape, 3 * WIDTH)
-    s = np.matmul(qkv[:, skip:, :WIDTH] * np.float32(WIDTH**-0.5), qkv[..., WIDTH : 2 * WIDTH].transpose(0, 2, 1))
-    s += _MASK[skip:]
-    exponentials(s)
-    v = np.ones((*t.shape, WIDTH + 1), np.float32)
-    v[..., :WIDTH] = qkv[..., 2 * WIDTH :]
-    o = np.matmul(s, v)
-    o = o[..., :WIDTH] / o[..., WIDTH:]
-    return x[:, skip:] + (o.reshape(-1, WIDTH) @ m["O"]).reshape(o.shape)
+def hidden(m: dict[str, np.ndarray], t: np.ndarray, skip: int = 0, fold: np.ndarray | None = None) -> np.ndarray:
+    """As :func:`forward`, the hidden states alone, from place ``skip`` on, with a column of ones behind them."""
+    x = m["E"].take(t, axis=0)
+    x += m["P"]
+    o = attention(x, folded(m) if fold is None else fold, skip)[0]
+    y = np.ones((*o.shape[:2], WIDTH + 1), x.dtype)
+    np.add(x[:, skip:], o, out=y[..., :WIDTH])
+    return y
 
 
 def score(m: dict[str, np.ndarray], classes: Classes, ids: np.ndarray, first: np.ndarray, batch: int = 64) -> np.ndarray:
     """Each text's summed negative log probability."""
     t, target, doc, scored = windows(ids, first, len(classes.of))
-    out = np.zeros(len(first) - 1)
-    ones = np.ones(CLASSES, np.float32)
+    out = np.zeros(len(t))
+    ones, fold, last = np.ones(CLASSES, np.float32), folded(m), np.concatenate([m["C"], m["b"]])
     # Of a text's later windows, the overlap is context alone.
     opens = np.diff(doc, prepend=-1) > 0
     for skip, some in ((0, np.flatnonzero(opens)), (OVERLAP, np.flatnonzero(~opens))):
         for i in range(0, len(some), batch):
             at = some[i : i + batch]
-            use = scored[at, skip:]
-            goal = target[at, skip:][use]
-            z = hidden(m, t[at], skip)[use] @ m["C"]
-            z += m["b"]
-            picked = z[np.arange(len(z)), classes.of[goal]]
+            goal = target.take(at, axis=0)[:, skip:].ravel()
+            z = hidden(m, t.take(at, axis=0), skip, fold).reshape(-1, WIDTH + 1) @ last
+            picked = z.ravel().take(np.arange(0, z.size, CLASSES) + classes.of.take(goal))
             if z.max(initial=0) > 60:
-                loss = picked - log_softmax(z)[np.arange(len(z)), classes.of[goal]]
-            else:
-                loss = np.log(np.exp(z, out=z) @ ones)
-            loss = loss - picked - classes.logp[goal]
-            out += np.bincount(np.repeat(doc[at], use.sum(axis=1)), loss, minlength=len(out))
-    return out
+                most = z.max(axis=-1)
+                z -= most[:, None]
+                picked -= most
+            loss = np.log(np.exp(z, out=z) @ ones) - picked - classes.logp.take(goal)
+            out[at] = loss.reshape(len(at), -1).sum(axis=1, where=scored.take(at, axis=0)[:, skip:], dtype=float)
+    return np.bincount(doc, out, minlength=len(first) - 1)
 
 
 def _kind(vocabulary: tuple[str, str]) -> np.dtype:
@@ -344,7 +385,7 @@ def encoded(docs: DataFrame, vocabulary: tuple[str, str]) -> DataFrame:
         kind = _kind(vocabulary)
         for batch in batches:
             data, offsets = tw.buffers(batch.column(1), lower=False)
-            for i, j in tw.groups(offsets, 1 << 20):
+            for i, j in tw.groups(offsets, 1 << 22):
                 with tw.at_hand():
                     ids, first = Pieces(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], vocabulary).sequence()
                 packed = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(first.astype(np.int64) * kind.itemsize), pa.py_buffer(ids.astype(kind))])

@@ -31,6 +31,39 @@ def test_pieces_are_the_whole_texts_ids(vocabulary):
     assert n.sum() == len(ids) and set(which) == set(ids)
 
 
+def test_pieces_of_equal_polynomials_keep_their_own_ids(vocabulary):
+    """Thue-Morse words of 2,048 letters and their complements agree in every polynomial hash modulo 2**64."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate({97: 98, 98: 97})
+    texts = ["x " + word, "x " + word.translate({97: 98, 98: 97})]
+    ids, first = lm.Pieces(*tw.buffers(pa.array(texts), lower=False), vocabulary).sequence()
+    enc = lm.encoder(*vocabulary)
+    assert [enc.decode(ids[first[i] : first[i + 1]].tolist()) for i in range(2)] == texts
+
+
+def test_distinct_pieces_are_encoded_in_one_go(vocabulary, monkeypatch):
+    """One call for all pieces that can stand behind one another, and one for each distinct piece that opens a text or is white space to its end."""
+    real, calls = lm.encoder(*vocabulary), []
+
+    class Counted:
+        n_vocab, token_byte_values, encode_single_token = real.n_vocab, real.token_byte_values, real.encode_single_token
+
+        def encode_ordinary(self, text):
+            calls.append(text)
+            return real.encode_ordinary(text)
+
+    monkeypatch.setattr(lm, "encoder", lambda *_: Counted())
+    odd = ["", "ends in blanks  ", "  ", "no\u00a0break\u00a0 \u3000 \u2003\u3000x\u0085\n\u0085 y", "été\u00a0\u00a0  là", "\r\n\t.\n\n!  '\x1c s"]
+    texts = ["one " + " ".join(f"w{i * k % 977}q" for i in range(300)) for k in range(1, 9)] + odd
+    ids, first = lm.Pieces(*tw.buffers(pa.array(texts), lower=False), vocabulary).sequence()
+    assert len(calls) < 30
+    for i, text in enumerate(texts):
+        if text not in odd:
+            assert ids[first[i] : first[i + 1]].tolist() == real.encode_ordinary(text)
+        assert real.decode(ids[first[i] : first[i + 1]].tolist()) == text
+
+
 @pytest.mark.parametrize("sizes", [[0], [1], [32, 33, 31], [24, 56, 57, 1000], [0, 5, 0]])
 def test_each_token_is_scored_once(sizes):
     first = np.concatenate([[0], np.cumsum(sizes)])
@@ -103,6 +136,18 @@ def test_gradients_by_differences():
             assert mine == pytest.approx((up - down) / (2 * step), rel=2e-2, abs=2e-5)
 
 
+def test_gradients_of_large_logits():
+    m, classes = tiny()
+    m["C"] *= 300
+    rng = np.random.default_rng(8)
+    t, target, use = rng.integers(0, 40, (3, lm.WINDOW)), rng.integers(0, lm.CLASSES, (3, lm.WINDOW)), rng.random((3, lm.WINDOW)) < 0.8
+    loss, g, _ = lm.gradients(m, t, target, use)
+    exact, want, _ = lm.gradients({k: v.astype(np.float64) for k, v in m.items()}, t, target, use)
+    assert loss == pytest.approx(exact, rel=1e-4)
+    for name in m:
+        assert g[name] == pytest.approx(want[name], rel=1e-3, abs=1e-4 * np.abs(want[name]).max())
+
+
 def test_training_lowers_the_loss():
     rng = np.random.default_rng(3)
     _, classes = tiny()
