@@ -263,3 +263,48 @@ def test_renames_miss_no_pair(spark):
             want.add((p, q))
             used |= {p, q}
     assert want and got == want
+
+
+def test_candidates_of_renames_are_few(spark):
+    """Texts of one vocabulary share many of their phrases; only pairs near the bound are compared in full, and none of those is missed."""
+    import itertools
+    import random
+
+    from quillon.functions.similarity import lz_set
+    from quillon.operators import overlap
+
+    r = random.Random(7)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(80)]
+    write = lambda n: " ".join(r.choice(words) for _ in range(n))
+    base = [write(n) for n in (1, 2, 5, 20, 60, 200, 700) for _ in range(12)]
+    change = lambda t, share: " ".join(x if r.random() > share else r.choice(words) for x in t.split())
+    sides = [[(f"{s}/{i}", sorted(lz_set(change(t, r.choice((0, 0.02, 0.1, 0.3))).encode()))) for i, t in enumerate(base + [write(len(t.split())) for t in base])] + [(f"{s}/empty", [])] for s in "lr"]
+    a, b = (spark.createDataFrame(side, "path string, hashes array<long>") for side in sides)
+    share = {(p, q): len({*x} & {*y}) / len({*x} | {*y}) for (p, x), (q, y) in itertools.product(*sides) if x or y}
+    for least in (0.3, 0.6, 0.9, 1.0):
+        met = [tuple(x) for x in overlap.candidates(a, b, least).collect()]
+        assert len(met) == len(set(met)) and set(met) >= {k for k, v in share.items() if v >= least > 0}
+        assert len(met) < 1.5 * sum(v >= least for v in share.values()) + 100
+    assert sum(v >= 0.6 for v in share.values()) > 50
+
+
+def test_blocks_of_candidates(spark, monkeypatch):
+    """Classes cut into many blocks on both sides give each pair once."""
+    from quillon.operators import overlap
+
+    monkeypatch.setattr(overlap, "BLOCK", 60)
+    monkeypatch.setattr(overlap, "TILE", 16)
+    sets = [(f"{i:03}", [i * 1_000_003 + k for k in range(20)]) for i in range(40)]
+    a, b = (spark.createDataFrame(sets, "path string, hashes array<long>").repartition(n) for n in (3, 2))
+    assert sorted(tuple(x) for x in overlap.candidates(a, b, 0.6).collect()) == [(p, p) for p, _ in sets]
+
+
+def test_renames_of_equal_shares_take_no_rounds(spark):
+    n = 70
+    pairs = [(f"a{i:02}", f"b{j:02}", 0.75) for i in range(n) for j in range(n)] + [("x", "b00", 0.8), ("x", "y", 0.7), ("z", "y", 0.65)]
+    group = "renames-of-equal-shares"
+    spark.sparkContext.setJobGroup(group, group)
+    got = {(r.a, r.b) for r in diff.best_first(spark.createDataFrame(pairs, "a string, b string, similarity double")).collect()}
+    assert got == {("x", "b00"), ("z", "y")} | {(f"a{i:02}", f"b{i + 1:02}") for i in range(n - 1)}
+    # A round a file would be as many jobs and more.
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) < n / 2
