@@ -64,7 +64,7 @@ def filtered_releases(releases: DataFrame, packagetype: str | None = None, filen
 
 def latest(table: DataFrame, n: int = 1, specifier: str | None = None, plain: bool = False) -> DataFrame:
     """The latest ``n`` versions of each name, those within ``specifier`` if it is given; what is no version is dropped."""
-    keyed = table.withColumn("__key", versions.plain_key(F.col("version")) if plain else versions.sort_key("version")).where("__key IS NOT NULL")
+    keyed = table.withColumn("__key", versions.plain_key(F.col("version")) if plain else versions.order_key(F.col("version"))).where("__key IS NOT NULL")
     if specifier:
         keyed = keyed.where(versions.within("version", F.lit(specifier)))
     place = F.row_number().over(Window.partitionBy("name").orderBy(F.col("__key").desc(), "version"))
@@ -170,8 +170,11 @@ def paired_versions(left: DataFrame, right: DataFrame, latest_only: bool = False
     The right side's latest version if the left has it too, else the left's latest if the right has it; where neither
     is shared, or with ``latest_only``, latest against latest. Names of one side only are left out.
     """
-    a, b = (latest(t.select("name", "version").distinct()).select("name", F.col("version").alias(c)) for t, c in ((left, "a"), (right, "b")))
-    has = lambda t, c: t.select("name", F.col("version").alias(c)).distinct().withColumn(f"has_{c}", F.lit(True))
-    both = a.join(b, "name").join(has(left, "b"), ["name", "b"], "left").join(has(right, "a"), ["name", "a"], "left")
-    common = F.lit(None).cast("string") if latest_only else F.when(F.col("has_b"), F.col("b")).when(F.col("has_a"), F.col("a"))
-    return both.select("name", F.coalesce(common, "a").alias("left_version"), F.coalesce(common, "b").alias("right_version"))
+    sides = left.select("name", "version", F.lit(True).alias("l"), F.lit(False).alias("r")).unionByName(right.select("name", "version", F.lit(False).alias("l"), F.lit(True).alias("r")))
+    seen = sides.where("name IS NOT NULL").groupBy("name", "version").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    # The least of the negated key and the version: the latest, of equal ones the first by name.
+    keyed = seen.withColumn("key", versions.order_key(F.col("version"))).where("key IS NOT NULL").withColumn("key", F.transform("key", lambda x: -x))
+    best = lambda side, other: F.min(F.when(F.col(side), F.struct("key", "version", F.col(other).alias("shared"))))
+    both = keyed.groupBy("name").agg(best("l", "r").alias("a"), best("r", "l").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    common = F.lit(None).cast("string") if latest_only else F.when(F.col("b.shared"), F.col("b.version")).when(F.col("a.shared"), F.col("a.version"))
+    return both.select("name", F.coalesce(common, "a.version").alias("left_version"), F.coalesce(common, "b.version").alias("right_version"))

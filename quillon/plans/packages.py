@@ -252,7 +252,7 @@ both_ AS (SELECT name, a, b, CASE WHEN EXISTS (SELECT 1 FROM l WHERE l.name = a.
 SELECT name, coalesce(common, a) AS left_version, coalesce(common, b) AS right_version FROM both_""")
 def version_pairing(spark, sf_dir):
     """The versions of two mirrors' packages to compare: a common one, if one's latest is in the other, else the latest of each."""
-    t = _releases(spark, sf_dir).select("name", "version").distinct()
+    t = _releases(spark, sf_dir).select("name", "version")
     p = F.split("version", "[.]")
     k = p[0].cast("int") * 100 + p[1].cast("int")
     return pk.paired_versions(t.where(k % 3 != 0), t.where(k % 4 != 0))

@@ -308,3 +308,26 @@ def test_renames_of_equal_shares_take_no_rounds(spark):
     assert got == {("x", "b00"), ("z", "y")} | {(f"a{i:02}", f"b{i + 1:02}") for i in range(n - 1)}
     # A round a file would be as many jobs and more.
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) < n / 2
+
+
+def test_order_keys_are_those_of_the_parser(spark):
+    """Plain versions are read without Python, with the same numbers; the rest, and what is no version, as before."""
+    from quillon.functions import versions
+
+    odd = ["1", "1.0", "0.0", "01.002", "1.2.3.4.5.6.7.8.9", "1!2.0", "1.0rc1", "1.0.post2", "1.0.dev3", "v2", " 1.0 ", "1.0\n", "1.", ".1", "1..2", "", "x", "1.0+local", "٣.1", "999999999999999999.1", "0" * 25 + "7", "2-1", None]
+    t = spark.createDataFrame([(x,) for x in odd], "version string")
+    for r in t.select("version", versions.order_key(F.col("version")).alias("key")).collect():
+        assert r.key == versions.version_key(r.version), r.version
+
+
+def test_paired_versions_read_each_side_once(spark):
+    """One aggregation of both sides, with no join and no window; equal versions go to the first by name, names of one side are left out."""
+    left = [("p", "1.0"), ("p", "2.0"), ("p", "2.0"), ("q", "1.0"), ("q", "1.0rc1"), ("r", "3"), ("s", "1"), ("t", "x"), ("u", "1.0"), ("u", "1"), (None, "1"), ("v", "10"), ("v", "9"), ("w", "1.12345"), ("w", "1.9999"), ("w", "2.0a1"), ("w", "0.1")]
+    right = [("p", "1.0"), ("p", "3.0"), ("q", "1.0rc1"), ("q", "1.0.dev1"), ("r", "4"), ("r", "3"), ("t", "1"), ("u", "1.0.0"), ("u", "0.9"), (None, "1"), ("v", "8"), ("v", "10"), ("w", "0.1"), ("w", "0.0.0.0.9")]
+    a, b = (spark.createDataFrame(x, "name string, version string") for x in (left, right))
+    both = pk.paired_versions(a, b)
+    got = {r["name"]: (r.left_version, r.right_version) for r in both.collect()}
+    assert got == {"p": ("2.0", "3.0"), "q": ("1.0rc1", "1.0rc1"), "r": ("3", "3"), "u": ("1", "1.0.0"), "v": ("10", "10"), "w": ("0.1", "0.1")}
+    assert {r["name"]: (r.left_version, r.right_version) for r in pk.paired_versions(a, b, True).where("name = 'q'").collect()} == {"q": ("1.0", "1.0rc1")}
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
